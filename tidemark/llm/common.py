@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,3 +58,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 <
 def raw(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     """A string column's UTF-8 bytes."""
     return batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
+
+
+def schema_plus(df: DataFrame, **types: str) -> StructType:
+    """df's schema with more columns."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in types.items():
+        out = out.add(name, kind)
+    return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import common, token_store
+from tidemark.llm import bpe, common, langid, simhash, token_store
 
 #: Name of the folder of tokenizer files; they aren't part of this repository.
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -24,8 +24,20 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, folder)
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(common.table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(common.table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_store": op2_token_store}
+    return {f.__name__: f for f in (op2_token_store, op6_bpe, op8_language_id, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
