@@ -103,10 +103,10 @@ def write_store(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int =
 
     def objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(model.value)
-        width = np.dtype("<u2" if max(encoder.vocab_size, end_id + 1) <= 1 << 16 else "<u4")
+        width = encoder.width
         end = np.array([end_id], width).tobytes()
         for batch in common.slices(batches, "text"):
-            streams = [x + end for x in encoder.encode([t or "" for t in batch.column(1).to_pylist()], width)]
+            streams = [encoder.encode(t or "") + end for t in batch.column(1).to_pylist()]
             ids = np.frombuffer(b"".join(streams), width)
             ends = np.cumsum([len(x) // width.itemsize for x in streams])
             marks = np.flatnonzero((rolling(ids) >> np.uint32(32 - CUT_BITS)) == 0) + 1

@@ -1,4 +1,9 @@
-"""Ids of texts from a tokenizer whose pieces never cross white space, encoding each white-space-free word once."""
+"""Ids of texts from the word-BPE tokenizer, encoding each piece of text once.
+
+Its pieces never cross white space. Where a text has only code points up to U+00FF and no special token, normalising is
+lower-casing and the pre-tokenizer's pieces are found by a plain pattern; the library's model then encodes each new
+piece. Other texts are cut at white space and the library encodes each new word whole.
+"""
 
 from __future__ import annotations
 
@@ -11,26 +16,48 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: What Unicode calls white space. str.split() also splits at U+001C to U+001F.
 SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_WORDS, _ODD = re.compile(f"[^{SPACE}]+"), re.compile("[\x1c-\x1f]")
+#: The pre-tokenizer's rule for lower-cased text up to U+00FF: letters, one digit, contractions, anything else.
+_LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECES = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^{SPACE}{_LETTERS}{_DIGITS}]+")
+_WORDS, _ODD, _WIDE = re.compile(f"[^{SPACE}]+"), re.compile("[\x1c-\x1f]"), re.compile("[^\0-\xff]|<\\|")
 
 
 def words(text: str) -> list[str]:
     return _WORDS.findall(text) if _ODD.search(text) else text.split()
 
 
-class WordEncoder:
-    """The cache holds at most `most` words; then it starts anew. Words over `longest` characters aren't kept."""
+class _Known(dict):
+    """What encode gave for each key; at most `most` keys of at most 64 characters are kept."""
+
+    def __init__(self, encode, most: int):
+        self.encode, self.most = encode, most
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.encode(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = out
+        return out
 
+
+class WordEncoder:
     _made: dict[int, WordEncoder] = {}
 
-    def __init__(self, model: str, most: int = 600_000, longest: int = 64):
+    def __init__(self, model: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.vocab_size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
-        self.most, self.longest, self.known = most, longest, {}
+        from tidemark.llm.bpe import byte_letters
+
+        whole = Tokenizer.from_str(model)
+        whole.no_padding()
+        whole.no_truncation()
+        core, letter = whole.model, {b: c for c, b in byte_letters().items()}
+        self.vocab_size = max(whole.get_vocab(with_added_tokens=True).values()) + 1
+        self.width = width = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
+        packed = lambda ids: np.array(ids, width).tobytes()
+        self.pieces = _Known(lambda p: packed([t.id for t in core.tokenize(p if p.isascii() and p.isalnum() else p.encode().decode("latin-1").translate(letter))]), most)
+        self.words = _Known(lambda w: packed(whole.encode(w, add_special_tokens=False).ids), most)
 
     @classmethod
     def of(cls, model: str) -> WordEncoder:
@@ -39,15 +66,8 @@ class WordEncoder:
             cls._made = {key: cls(model)}
         return cls._made[key]
 
-    def encode(self, texts: list[str], width: np.dtype) -> list[bytes]:
-        """Each text's ids as bytes."""
-        if len(self.known) > self.most:
-            self.known = {}
-        split, known = [words(t) for t in texts], self.known
-        new = list(set().union(*split).difference(known))
-        fresh = {w: np.array(e.ids, width).tobytes() for at in range(0, len(new), 4096) for w, e in zip(new[at : at + 4096], self.tokenizer.encode_batch(new[at : at + 4096], add_special_tokens=False), strict=True)}
-        known.update(fresh)
-        out = [b"".join(map(known.__getitem__, x)) for x in split]
-        for w in [w for w in fresh if len(w) > self.longest]:
-            del known[w]
-        return out
+    def encode(self, text: str) -> bytes:
+        """The text's ids, width bytes each."""
+        if not text.isascii() and _WIDE.search(text) or "<|" in text:
+            return b"".join(map(self.words.__getitem__, words(text)))
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
