@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, common, langid, simhash, token_store
+from tidemark.llm import bpe, common, decontaminate, langid, simhash, token_store, topk
 
 #: Name of the folder of tokenizer files; they aren't part of this repository.
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -28,6 +28,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(common.table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(common.table(spark, sf_dir, "documents"))
 
@@ -36,8 +40,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_store, op6_bpe, op8_language_id, op9_simhash)}
+    return {f.__name__: f for f in (op2_token_store, op6_bpe, op7_topk, op8_language_id, op9_simhash, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
