@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, common, decontaminate, langid, simhash, token_store, topk
+from tidemark.llm import bpe, common, decontaminate, langid, pii, secrets, simhash, token_store, topk
 
 #: Name of the folder of tokenizer files; they aren't part of this repository.
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -24,6 +24,14 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, folder)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(common.table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(common.table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
 
@@ -45,7 +53,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_store, op6_bpe, op7_topk, op8_language_id, op9_simhash, op10_decontamination)}
+    return {f.__name__: f for f in (op2_token_store, op4_secrets, op5_pii, op6_bpe, op7_topk, op8_language_id, op9_simhash, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
