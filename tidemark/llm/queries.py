@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, common, decontaminate, langid, pii, secrets, simhash, token_store, topk
+from tidemark.llm import bpe, common, decontaminate, langid, licenses, pii, secrets, simhash, suffix_dedup, token_store, topk
 
 #: Name of the folder of tokenizer files; they aren't part of this repository.
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -18,12 +18,20 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.table(spark, sf_dir, "documents"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.scratch(spark, "token-store")
     token_store.write_store(common.table(spark, sf_dir, "documents"), folder, tokenizer(WORD_BPE))
     return token_store.read_store(spark, folder)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(common.table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(common.table(spark, sf_dir, "documents"))
 
@@ -53,7 +61,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_store, op4_secrets, op5_pii, op6_bpe, op7_topk, op8_language_id, op9_simhash, op10_decontamination)}
+    return {f.__name__: f for f in (op1_licenses, op2_token_store, op3_suffix_dedup, op4_secrets, op5_pii, op6_bpe, op7_topk, op8_language_id, op9_simhash, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
