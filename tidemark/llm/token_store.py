@@ -155,11 +155,15 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
     def recipe_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            roots, places, keys = [], [], []
             for root, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys = [data[i : i + 32] for i in range(0, len(data), 32)]
-                if merkle_root(keys, n) != root:
+                own = [data[i : i + 32] for i in range(0, len(data), 32)]
+                if merkle_root(own, n) != root:
                     raise ValueError("a recipe doesn't match its Merkle root")
-                yield pa.RecordBatch.from_arrays([pa.array([root] * len(keys), pa.binary()), pa.array(range(len(keys)), pa.int32()), pa.array(keys, pa.binary())], ["root", "pos", "chunk"])
+                roots += [root] * len(own)
+                places += range(len(own))
+                keys += own
+            yield pa.RecordBatch.from_arrays([pa.array(roots, pa.binary()), pa.array(places, pa.int32()), pa.array(keys, pa.binary())], ["root", "pos", "chunk"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

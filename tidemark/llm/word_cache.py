@@ -1,8 +1,8 @@
 """Ids of texts from the word-BPE tokenizer, encoding each piece of text once.
 
 Its pieces never cross white space. Where a text has only code points up to U+00FF and no special token, normalising is
-lower-casing and the pre-tokenizer's pieces are found by a plain pattern; the library's model then encodes each new
-piece. Other texts are cut at white space and the library encodes each new word whole.
+lower-casing; each new stretch between white space is cut into the pre-tokenizer's pieces by a plain pattern, and the
+library's model encodes each new piece. Other texts are cut at white space and the library encodes each new word whole.
 """
 
 from __future__ import annotations
@@ -57,6 +57,7 @@ class WordEncoder:
         self.width = width = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
         packed = lambda ids: np.array(ids, width).tobytes()
         self.pieces = _Known(lambda p: packed([t.id for t in core.tokenize(p if p.isascii() and p.isalnum() else p.encode().decode("latin-1").translate(letter))]), most)
+        self.stretches = _Known(lambda w: b"".join(map(self.pieces.__getitem__, _PIECES.findall(w))), most)
         self.words = _Known(lambda w: packed(whole.encode(w, add_special_tokens=False).ids), most)
 
     @classmethod
@@ -70,4 +71,4 @@ class WordEncoder:
         """The text's ids, width bytes each."""
         if not text.isascii() and _WIDE.search(text) or "<|" in text:
             return b"".join(map(self.words.__getitem__, words(text)))
-        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
+        return b"".join(map(self.stretches.__getitem__, words(text.lower())))
