@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF, FAN, QUERIES, ROWS, SAMPLE = 128, 16, 8192, 32_768, 2048
+LEAF, FAN, QUERIES, ROWS, SAMPLE = 512, 8, 8192, 32_768, 2048
 NONE = np.iinfo(np.int64).min
 
 
