@@ -13,15 +13,15 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, root): of every node that has an edge (a, b), the smallest node reachable.
 
     Large-star and small-star steps in turn; each round's edges are written to folder, which cuts lineage. A node's
-    neighbours are never gathered: their minimum is aggregated, then joined back, so a hub is split like any skewed join.
+    neighbours are never gathered: their minimum is aggregated and written, then joined back, so that adaptive execution can split a hub.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, before = written(edges, f"{folder}/0"), None
     for n in range(1, 100):
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{folder}/{n}-least")
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{folder}/{n}-large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{folder}/{n}-less")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{folder}/{n}")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]

@@ -63,7 +63,7 @@ def _context(row: DataFrame, name: str, side: Column, at: Column, cut_first: Col
     return df.withColumn("__at", at).select("row", "doc_id", "entity", F.explode(whole).alias("w"), "__at").select("row", "doc_id", "entity", F.lower("w.value").alias("term"), (F.col("__at") + F.col("w.start")).alias("start"), (F.col("__at") + F.col("w.end")).alias("end"))
 
 
-def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
+def disclosing(found: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
     """row, terms: struct<start, rank, end, kind, removed>. found: row, doc_id, base with left and right contexts; docs: text."""
     each = found.select("row", "doc_id", F.explode("base").alias("s")).select("row", "doc_id", F.concat_ws(":", "s.kind", "s.value").alias("entity"), "s.start", "s.end", "s.left", "s.right")
     context = _context(each, "left", F.col("left"), F.col("start") - F.char_length("left"), F.col("start") > REACH, F.lit(False)).union(_context(each, "right", F.col("right"), F.col("end"), F.lit(False), F.char_length("right") == REACH))
@@ -75,6 +75,7 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = together.join(entities, "entity").join(words, "term").join(F.broadcast(total))
     share = F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.col("n") / F.col("n_e"))
     told = pairs.where("n > n_e").withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
+    told = common.written(told, f"{folder}/disclosing")
     terms = context.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share"))
     grouped = terms.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind"), (F.col("share") >= REMOVE).alias("removed"))).alias("terms"))
     apart = lambda t: ~F.exists("taken", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
@@ -99,7 +100,7 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     folder = common.scratch(docs.sparkSession, "pii")
     kept = common.written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.transform("base", near).alias("base")), f"{folder}/entities")
-    terms = disclosing(kept.where(F.size("base") > 0), docs)
+    terms = disclosing(kept.where(F.size("base") > 0), docs, folder)
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     added = F.coalesce(F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))), F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

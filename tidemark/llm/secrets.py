@@ -45,13 +45,15 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.sum("docs").alias("repositories"), F.count("*").alias("owners"))
 
 
-def judged(candidates: DataFrame) -> DataFrame:
+def judged(candidates: DataFrame, folder: str) -> DataFrame:
     """row, spans: struct<start, rank, end, kind, live> of candidates (row, doc_id, source, base, extra) that have any.
 
-    Candidates of kind owned stay only with a single owner.
+    Candidates of kind owned stay only with a single owner. Ownership is written to folder first: a join of plain exchanges
+    is one whose hot values are split at run time.
     """
     each = candidates.select("row", "doc_id", "source", F.explode(F.concat("base", "extra")).alias("s")).select("row", "doc_id", "source", "s.start", "s.rank", "s.end", "s.kind", F.sha2("s.value", 256).alias("value_hash"))
-    known = each.join(ownership(each.select("value_hash", "doc_id", "source")), "value_hash").where("kind <> 'owned' OR owners = 1")
+    owned = common.written(ownership(each.select("value_hash", "doc_id", "source")), f"{folder}/ownership")
+    known = each.join(owned, "value_hash").where("kind <> 'owned' OR owners = 1")
     return known.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind", (F.col("owners") < EXAMPLE_OWNERS).alias("live")))).alias("spans"))
 
 
@@ -64,7 +66,7 @@ def scan(docs: DataFrame) -> DataFrame:
     folder = common.scratch(docs.sparkSession, "secrets")
     kept = common.written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "base", "extra"), f"{folder}/candidates")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return kept.join(judged(kept), "row", "left").select(
+    return kept.join(judged(kept, folder), "row", "left").select(
         "doc_id",
         count("assign"),
         count("access"),

@@ -157,4 +157,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = roots.join(fps, roots["node"] == fps["fp"]).select("fp", "root", "least")
     groups = members.groupBy("root").agg(F.min("least").alias("component"))
     of_fp = fps.join(members.join(groups, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    of_fp = common.written(of_fp, f"{folder}/components-of-fingerprints")
     return marked.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

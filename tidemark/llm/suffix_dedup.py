@@ -178,10 +178,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     found = common.written(anchored(docs).select(F.monotonically_increasing_id().alias("row"), "*"), f"{folder}/anchors")
 
     each = found.select("row", F.posexplode(F.arrays_zip("buckets", "kinds"))).select("row", F.col("pos").alias("place"), F.col("col.buckets").alias("bucket"), F.col("col.kinds").alias("kind"))
-    repeated = each.groupBy("bucket").count().where("count > 1").select("bucket")
+    # what is joined on is a written table each time: a join of plain exchanges is one whose hot keys are split at run time
+    repeated = common.written(each.groupBy("bucket").count().where("count > 1").select("bucket"), f"{folder}/repeated")
     live = common.written(each.join(repeated, "bucket", "left_semi"), f"{folder}/live")
-    kinds = live.groupBy("bucket", "kind").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one"))
+    kinds = common.written(live.groupBy("bucket", "kind").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")), f"{folder}/kinds")
     mixed = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("bucket")
+    mixed = common.written(mixed, f"{folder}/mixed")
     whole = live.join(kinds.where("n > 1").select("bucket", "kind"), ["bucket", "kind"], "left_semi").select("row", "place", F.lit("whole").alias("what"))
     closer = kinds.join(mixed, "bucket", "left_semi").select("one.row", "one.place", F.when(F.col("n") == 1, "open").otherwise("shown").alias("what"))
     places = lambda what: F.collect_list(F.when(F.col("what") == what, F.col("place"))).alias(what)
@@ -190,7 +192,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     texts = packed(docs)
     asked = told.where(F.size("open") + F.size("shown") > 0).select("row", "key", "open", "shown")
     starts = common.written(open_starts(texts.dropDuplicates(["key"]).join(asked, "key").select("row", "packed", "open", "shown")), f"{folder}/starts")
-    twice = starts.groupBy("name").count().where("count > 1").select("name")
+    twice = common.written(starts.groupBy("name").count().where("count > 1").select("name"), f"{folder}/twice")
     more = starts.where("row IS NOT NULL").join(twice, "name", "left_semi").groupBy("row").agg(F.collect_list("start").alias("starts"))
     spans = told.select("row", "key", "whole").join(more, "row", "left").where("size(whole) > 0 OR starts IS NOT NULL")
     one = spans.groupBy("key").agg(F.max_by("whole", F.size("whole")).alias("whole"), F.max_by("starts", F.coalesce(F.size("starts"), F.lit(0))).alias("starts"))
