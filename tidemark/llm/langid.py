@@ -1,7 +1,8 @@
 """Language ID by compression: a text is compressed with each language's zstandard raw-content dictionary.
 
 The language whose dictionary gives the smallest output is chosen; the score is how much smaller that is than the second
-(0 to 1), and a text with a narrower margin than MARGIN is rejected. Texts are lower-cased and reduced to letters and
+(0 to 1), and a text with a narrower margin than MARGIN is rejected, if it has EVIDENCE bytes of letters: a few words
+compress alike under every dictionary, which says nothing against them. Texts are lower-cased and reduced to letters and
 spaces, then compressed whole, in blocks of BLOCK bytes, so that a long text doesn't serve as its own dictionary.
 
 Dictionaries are fitted on a bounded sample: of each of the MOST_LANGS most frequent languages the SAMPLE documents with
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import schema_plus
 
 
-MOST_LANGS, SAMPLE, PER_DOC, BLOCK, LEVEL, MARGIN = 200, 400, 512, 2048, 4, 0.002
+MOST_LANGS, SAMPLE, PER_DOC, BLOCK, LEVEL, MARGIN, EVIDENCE = 200, 400, 512, 2048, 4, 0.005, 64
 _LETTER = regex.compile(r"\p{L}")
 _TO_LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -76,8 +77,10 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(shared.value)
         for batch in batches:
-            found = [classifier.predict(t) for t in batch.column("text").to_pylist()]
-            new = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array([x == "und" or s < MARGIN for x, s in found], pa.bool_())]
+            texts = batch.column("text").to_pylist()
+            found = [classifier.predict(t) for t in texts]
+            narrow = [x == "und" or s < MARGIN and len(letters(t)) >= EVIDENCE for t, (x, s) in zip(texts, found, strict=True)]
+            new = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array(narrow, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "lang_pred", "score", "rejected"])
 
     return kept.mapInArrow(run, schema_plus(kept, lang_pred="string", score="double", rejected="boolean"))
