@@ -471,22 +471,6 @@ def _(s, d):
     return _table(s, d)
 
 
-def _model(kind: str, **params):
-    def build(s: SparkSession, d: str) -> DataFrame:
-        from tidemark.plans import models
-
-        inputs = features.inputs_of("base")
-        rows = models.prepared(_table(s, d), inputs)
-        return models.ensemble(rows, kind, inputs, folds=2, **params)
-
-    return build
-
-
-query("gbt_scores", "i:message_id i:label s:split d:score")(_model("gbt", maxIter=5, maxDepth=3))
-query("rf_scores", "i:message_id i:label s:split d:score")(_model("rf", numTrees=10, maxDepth=5))
-query("mlp_scores", "i:message_id i:label s:split d:score")(_model("mlp", hidden=(16,), maxIter=20))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(BUILDS)
 
