@@ -118,6 +118,13 @@ def test_disclosing_terms(spark):
     assert all(not got[i]["spans"] for i in range(200))
 
 
+def test_addresses_with_zero_parts(spark):
+    good, bad = ["10.0.0.1", "127.0.0.1", "0.0.0.0", "00.000.0.010", "192.168.0.1"], ["0.0.0.256", "10.0.0.0000999"]
+    got = {r["doc_id"]: r for r in pii.scan(spark.createDataFrame([(i, f"from {x} on") for i, x in enumerate(good + bad)], "doc_id long, text string")).collect()}
+    assert [got[i]["n_ip"] for i in range(len(good + bad))] == [1] * len(good) + [0] * len(bad)
+    assert all(f"ip:5:{5 + len(x)}" in got[i]["spans"].split(",") for i, x in enumerate(good))
+
+
 def test_licenses(spark, documents, odd):
     rng = random.Random(3)
     known = [(n, t) for n, all_ in licenses.TEMPLATES.items() for t in all_]
