@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemark.llm import common, graph, simhash, stages, suffix_dedup, topk
+from tidemark.llm import common, graph, resemblance, simhash, stages, suffix_dedup, topk
 
 
 def test_suffix_dedup(spark, documents, odd):
@@ -135,3 +135,21 @@ def test_pipeline(spark, tmp_path):
     ids = [e.ids for e in Tokenizer.from_file(stages.tokenizer(stages.BYTE_BPE)).encode_batch([r["text"] for r in out.values()], add_special_tokens=False)]
     assert all(np.frombuffer(r["token_ids"], "<u4").tolist() == x for r, x in zip(out.values(), ids, strict=True))
     assert all(list(f(spark, docs.limit(0), str(tmp_path)).columns) == docs.columns for _, f in corpus_pipeline.STAGES[1:-1])
+
+
+def test_near_dedup_reaches_similarity(spark, documents, odd):
+    """Copies with words changed, at five-word similarity of 0.8 or more, go; those below stay."""
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(100_000)}" for _ in range(400)] for _ in range(20)]
+    change = lambda w, n: " ".join("new" if i % 40 == 20 and i // 40 < n else x for i, x in enumerate(w))
+    texts = [*(" ".join(w) for w in base), *(change(w, n) for n in (4, 8) for w in base), *(" ".join("far" if i % 20 == 10 else x for i, x in enumerate(w)) for w in base)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(396)} for t in texts]
+    root = closure(np.array([[len(a & b) >= 0.8 * len(a | b) for a in sets] for b in sets]))
+    assert len(set(root)) == 40
+    for large in (resemblance.LARGE, 2):
+        resemblance.LARGE, was = large, resemblance.LARGE
+        out = stages.simhash_near_dedup(spark, documents(texts), "")
+        assert sorted(r["doc_id"] for r in out.collect()) == sorted({100 + int(r) for r in root})
+        resemblance.LARGE = was
+    seen = {r["text"] for r in stages.simhash_near_dedup(spark, documents(odd), "").collect()}
+    assert {t for t in odd if t and t.strip()} <= seen

@@ -26,14 +26,14 @@ SHINGLE, SEED, RADIUS, BLOCKS, LARGE = 3, 42, 3, 4, 20_000
 _SPREAD = np.array([sum((b >> i & 1) << 8 * i for i in range(8)) for b in range(256)], np.uint64)
 
 
-def shingle_hashes(text: bytes) -> list[int]:
-    """XXH64 of the text's shingles, with repeats. A-Z are lower-cased; words are split at ASCII white space."""
+def shingle_hashes(text: bytes, size: int = SHINGLE) -> list[int]:
+    """XXH64 of the text's shingles of size words, with repeats. A-Z are lower-cased; words are split at ASCII white space."""
     words = text.lower().split()
-    if len(words) <= SHINGLE:
+    if len(words) <= size:
         return [xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else []
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     begins = [0, *accumulate(len(w) + 1 for w in words)]
-    return [digest(joined[a : b - 1], SEED) for a, b in zip(begins, begins[SHINGLE:], strict=False)]
+    return [digest(joined[a : b - 1], SEED) for a, b in zip(begins, begins[size:], strict=False)]
 
 
 def fingerprints_of(texts: list[bytes]) -> np.ndarray:
