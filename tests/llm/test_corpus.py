@@ -153,3 +153,11 @@ def test_near_dedup_reaches_similarity(spark, documents, odd):
         resemblance.LARGE = was
     seen = {r["text"] for r in stages.simhash_near_dedup(spark, documents(odd), "").collect()}
     assert {t for t in odd if t and t.strip()} <= seen
+
+
+def test_near_dedup_of_shared_ids(spark):
+    """Different texts under one doc_id stay, and copies without a doc_id go."""
+    texts = [" ".join(f"{c}{i}" for i in range(50)) for c in "abcd"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (2, texts[0])]
+    out = stages.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, out), key=lambda r: r[1]) == [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3])]
