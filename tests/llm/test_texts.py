@@ -125,6 +125,16 @@ def test_addresses_with_zero_parts(spark):
     assert all(f"ip:5:{5 + len(x)}" in got[i]["spans"].split(",") for i, x in enumerate(good))
 
 
+def test_disclosing_terms_far_from_entities(spark):
+    """Each place of a term counts, whatever its distance, and terms with digits or of two letters as well."""
+    far = "plain words about nothing " * 9
+    rows = [(i, f"plain words about nothing {i}") for i in range(200)] + [(500 + i, f"zorblax q7 {far}secret.person@mail.example.com {far}Zorblax") for i in range(3)]
+    got = {r["doc_id"]: r for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(rows[-1][1])
+    assert {"term:0:7", "term:8:10", f"term:{n - 7}:{n}"} <= set(got[502]["spans"].split(",")) and got[502]["n_removed"] == 3
+    assert all(not got[i]["spans"] for i in range(200))
+
+
 def test_licenses(spark, documents, odd):
     rng = random.Random(3)
     known = [(n, t) for n, all_ in licenses.TEMPLATES.items() for t in all_]

@@ -1,11 +1,10 @@
 """Personal data, and information-theoretic sanitisation around it, in DataFrame operations only.
 
-Patterns find the protected entities. Terms that stand within REACH code points of an entity are its context. Over the
-corpus, a term's disclosure of an entity is their pointwise mutual information as a share of the entity's information
-content: log2(N n_te / (n_t n_e)) / log2(N / n_e), where N counts documents, n_e those with the entity, n_t those with
-the term anywhere and n_te those with the term in the entity's context. Beyond REMOVE a term is removed, beyond
-GENERALISE generalised; both become spans of kind `term`. A pair must co-occur in SUPPORT documents, as one document says
-nothing about co-occurrence.
+Patterns find the protected entities. Over the corpus, a term's disclosure of an entity is their pointwise mutual
+information as a share of the entity's information content: log2(N n_te / (n_t n_e)) / log2(N / n_e), where N counts
+documents, n_e those with the entity, n_t those with the term and n_te those with both, anywhere. Beyond REMOVE a term is
+removed, beyond GENERALISE generalised: each place of it in documents with the entity, outside of entities, becomes a span
+of kind `term`. A pair must co-occur in SUPPORT documents, as one document says nothing about co-occurrence.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import common
 from tidemark.llm.spans import listed, tagged, with_spans
 
-REACH, SUPPORT, GENERALISE, REMOVE = 48, 2, 0.8, 0.95
+SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.95
 #: The base kinds' patterns, in forms without repeated groups that vary in width: those recurse, and a long text overflows the
 #: stack. Local parts and numbers begin where their run begins, or where the last match ended. A dot goes on in a domain only
 #: before a label. Only whole runs of card digits of 14 to 19 can count, so no longer repetition is tried.
@@ -56,30 +55,31 @@ def with_entities(docs: DataFrame) -> DataFrame:
     return df.withColumn("base", base).drop("__email", "__ip", "__card", "__phone")
 
 
-def _context(row: DataFrame, name: str, side: Column, at: Column, cut_first: Column, cut_last: Column) -> DataFrame:
-    """Whole words of a stretch beside an entity: row, entity, doc_id, term, start, end."""
-    df = with_spans(row.withColumn("__side", side), "__words", "__side", WORD)
-    whole = F.filter("__words", lambda w: ~(cut_first & (w["start"] == 0)) & ~(cut_last & (w["end"] == F.char_length("__side"))) & (F.char_length(w["value"]) >= 3) & ~w["value"].rlike("[0-9]"))
-    return df.withColumn("__at", at).select("row", "doc_id", "entity", F.explode(whole).alias("w"), "__at").select("row", "doc_id", "entity", F.lower("w.value").alias("term"), (F.col("__at") + F.col("w.start")).alias("start"), (F.col("__at") + F.col("w.end")).alias("end"))
+def _words() -> Column:
+    return F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), BETWEEN), lambda w: w != ""))).alias("term")
 
 
 def disclosing(found: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
-    """row, terms: struct<start, rank, end, kind, removed>. found: row, doc_id, base with left and right contexts; docs: text."""
-    each = found.select("row", "doc_id", F.explode("base").alias("s")).select("row", "doc_id", F.concat_ws(":", "s.kind", "s.value").alias("entity"), "s.start", "s.end", "s.left", "s.right")
-    context = _context(each, "left", F.col("left"), F.col("start") - F.char_length("left"), F.col("start") > REACH, F.lit(False)).union(_context(each, "right", F.col("right"), F.col("end"), F.lit(False), F.char_length("right") == REACH))
-    inside = found.select("row", F.transform("base", lambda s: F.struct(s["start"], s["end"])).alias("taken"))
-    together = context.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    entities = each.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), BETWEEN))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    """row, terms: struct<start, rank, end, kind, removed>. found: row, base, text of documents with entities; docs: text."""
+    each = found.select("row", F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity"))
+    entities = each.groupBy("entity").agg(F.count("*").alias("n_e"))
+    frequent = common.written(entities.where(F.col("n_e") >= SUPPORT), f"{folder}/frequent")  # no other pair can co-occur so often
+    held = common.written(each.join(frequent, "entity").select("row", "entity"), f"{folder}/held")
+    texts = found.join(held.select("row").distinct(), "row", "left_semi")
+    together = held.join(texts.select("row", _words()), "row").groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    words = docs.select(_words()).groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.agg(F.count("*").alias("n"))  # one row
-    pairs = together.join(entities, "entity").join(words, "term").join(F.broadcast(total))
+    pairs = together.join(frequent, "entity").join(words, "term").join(F.broadcast(total))
     share = F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.col("n") / F.col("n_e"))
     told = pairs.where("n > n_e").withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
     told = common.written(told, f"{folder}/disclosing")
-    terms = context.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share"))
-    grouped = terms.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind"), (F.col("share") >= REMOVE).alias("removed"))).alias("terms"))
-    apart = lambda t: ~F.exists("taken", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    return grouped.join(inside, "row").select("row", F.filter("terms", apart).alias("terms"))
+    marked = common.written(held.join(told, "entity").groupBy("row", "term").agg(F.max("share").alias("share")), f"{folder}/marked")
+    spans = with_spans(texts.join(marked.select("row").distinct(), "row", "left_semi"), "__words", "text", WORD)
+    taken = F.transform("base", lambda s: F.struct(s["start"], s["end"])).alias("taken")
+    places = spans.select("row", taken, F.explode("__words").alias("w")).select("row", "taken", F.lower("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+    apart = ~F.exists("taken", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
+    terms = places.join(marked, ["row", "term"]).where(apart)
+    return terms.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind"), (F.col("share") >= REMOVE).alias("removed"))).alias("terms"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -89,18 +89,11 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = with_entities(docs)
-    near = lambda s: F.struct(
-        s["start"].alias("start"),
-        s["rank"].alias("rank"),
-        s["end"].alias("end"),
-        s["kind"].alias("kind"),
-        s["value"].alias("value"),
-        F.substring("text", F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH))).alias("left"),
-        F.substring("text", s["end"] + 1, F.lit(REACH)).alias("right"),
-    )
     folder = common.scratch(docs.sparkSession, "pii")
-    kept = common.written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.transform("base", near).alias("base")), f"{folder}/entities")
-    terms = disclosing(kept.where(F.size("base") > 0), docs, folder)
+    # the lambda's variable holds base once; the text is kept only with entities
+    both = F.transform(F.array("base"), lambda b: F.struct(b.alias("base"), F.when(F.size(b) > 0, F.col("text")).alias("text")))[0]
+    kept = common.written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", both.alias("e")), f"{folder}/entities").select("row", "doc_id", "e.base", "e.text")
+    terms = disclosing(kept.where(F.size("base") > 0).select("row", "base", "text"), docs, folder)
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     added = F.coalesce(F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))), F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
