@@ -114,7 +114,7 @@ def test_disclosing_terms(spark):
     rows = [(i, f"plain words about nothing {i}") for i in range(200)] + [(500 + i, f"note {i} ask zorblax at secret.person@mail.example.com today") for i in range(3)]
     got = {r["doc_id"]: r for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     start = rows[-1][1].index("zorblax")
-    assert f"term:{start}:{start + 7}" in got[502]["spans"].split(",")
+    assert f"removed:{start}:{start + 7}" in got[502]["spans"].split(",")
     assert all(not got[i]["spans"] for i in range(200))
 
 
@@ -131,7 +131,7 @@ def test_disclosing_terms_far_from_entities(spark):
     rows = [(i, f"plain words about nothing {i}") for i in range(200)] + [(500 + i, f"zorblax q7 {far}secret.person@mail.example.com {far}Zorblax") for i in range(3)]
     got = {r["doc_id"]: r for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     n = len(rows[-1][1])
-    assert {"term:0:7", "term:8:10", f"term:{n - 7}:{n}"} <= set(got[502]["spans"].split(",")) and got[502]["n_removed"] == 3
+    assert {"removed:0:7", "removed:8:10", f"removed:{n - 7}:{n}"} <= set(got[502]["spans"].split(",")) and got[502]["n_removed"] == 3
     assert all(not got[i]["spans"] for i in range(200))
 
 
@@ -200,3 +200,56 @@ def test_language_id(spark, odd):
     assert {r["lang_pred"] for r in got if r["doc_id"] in (1000, 1001, 1002, 1006)} == {"und"}
     empty = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").limit(0))
     assert empty.count() == 0
+
+
+def test_every_code_point(spark):
+    """Letters, numbers and spaces are the library's, whatever Unicode version other modules have."""
+    texts = [f"a{chr(c)}1 {chr(c)}{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c % 5 == 0 or 0x10000 <= c < 0x12000)]
+    coder, (_, ids) = bpe.ByteBpe(open(BYTE).read()), library(BYTE, texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == ids
+
+
+def test_disclosure_by_brute_force(spark):
+    """Terms that disclose an entity, their places and the sanitised text, against plain counting."""
+    rng = random.Random(12)
+    mails = [f"p{i}@mail{i % 3}.example.com" for i in range(6)]
+    texts = []
+    for _ in range(150):
+        words = [rng.choice(["alpha", "Beta", "gamma", "delta7", "été", "İz", "omega"]) + str(rng.randrange(4)) for _ in range(rng.randrange(30))]
+        if rng.random() < 0.5:
+            k = rng.randrange(6)
+            words[rng.randrange(len(words) + 1) : 0] = [mails[k], f"Mark{k}"] + [f"hint{k}"] * (rng.random() < 0.7)
+        if rng.random() < 0.1:
+            words.append(f"hint{rng.randrange(6)}")
+        texts.append((rng.choice([" ", ", ", " - "])).join(words) + (" filler" * 2500 + " Mark1" if rng.random() < 0.03 else ""))
+    low = lambda w: w.lower()
+    split = [re.findall(pii.WORD, t) for t in texts]
+    held = [{f"{k}:{t[a:b].lower()}" for a, _, b, k in private_spans(t)} for t in texts]
+    n_t, n_e, n_te = {}, {}, {}
+    for ws, es in zip(split, held, strict=True):
+        for e in es:
+            n_e[e] = n_e.get(e, 0) + 1
+        for w in {low(w) for w in ws}:
+            n_t[w] = n_t.get(w, 0) + 1
+            for e in es:
+                n_te[e, w] = n_te.get((e, w), 0) + 1
+    n = len(texts)
+    share = {k: np.log2(n * c / (n_t[k[1]] * n_e[k[0]])) / np.log2(n / n_e[k[0]]) for k, c in n_te.items() if c >= 2}
+    got = {r["doc_id"]: r for r in pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        base = private_spans(t)
+        spans = list(base)
+        for m in re.finditer(pii.WORD, t):
+            best = max((share.get((e, low(m.group())), 0) for e in held[i]), default=0)
+            if best >= 0.8 and not any(a < m.end() and m.start() < b for a, _, b, _ in base):
+                spans.append((m.start(), 4, m.end(), "removed") if best >= 0.95 else (m.start(), 5, m.end(), "general"))
+        spans.sort()
+        seen |= {k for *_, k in spans}
+        assert got[i]["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+        out, at = "", 0
+        for a, rank, b, k in spans:
+            out += t[at:a] + (f"[{k.upper()}]" if rank < 4 else pii.GENERAL if rank == 5 else "")
+            at = b
+        assert got[i]["sanitised_sha256"] == hashlib.sha256((out + t[at:]).encode()).hexdigest()
+    assert {"email", "removed", "general"} <= seen

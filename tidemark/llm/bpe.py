@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import common
 from tidemark.llm.word_cache import SPACE
 
-#: The splitting rule of the vocabulary's pre-tokenizer (fixed values).
+#: The splitting rule of the vocabulary's pre-tokenizer (fixed values), for text up to U+00FF; what counts as a letter or a
+#: number beyond depends on the Unicode version, so the library's own pre-tokenizer splits stretches with other characters.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: No piece crosses the boundaries that this coarser rule draws.
 STRETCHES = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]"
@@ -37,7 +38,10 @@ class ByteBpe:
     _made: dict[int, ByteBpe] = {}
 
     def __init__(self, model: str, most: int = 600_000, longest: int = 64):
+        from tokenizers import Tokenizer
+
         spec, letters = json.loads(model), byte_letters()
+        self.library = Tokenizer.from_str(model).pre_tokenizer
         unlettered = lambda s: bytes(letters[c] for c in s)
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         vocab = {s: i for s, i in spec["model"]["vocab"].items() if s not in self.added}
@@ -132,9 +136,15 @@ class ByteBpe:
             live, x, y = live[on], np.where(undo_left, self.right[x], x)[on], np.where(undo_left, y, self.left[y])[on]
         return ok[inverse]
 
+    def split(self, stretch: str) -> list[str]:
+        """A stretch's pieces."""
+        if stretch.isascii() or stretch.isspace() or max(stretch) <= "\xff":
+            return self.pieces.findall(stretch)
+        return [stretch[a:b] for _, (a, b) in self.library.pre_tokenize_str(stretch)]
+
     def learn(self, words: list[str]) -> None:
         """Encode new stretches into the cache."""
-        pieces = [[p.encode() for p in self.pieces.findall(w)] for w in words]
+        pieces = [[p.encode() for p in self.split(w)] for w in words]
         new = list(dict.fromkeys(p for x in pieces for p in x))
         guess = [self.greedy(p) for p in new]
         sizes = np.array([len(g) for g in guess], np.int64)
@@ -193,7 +203,10 @@ def encode(docs: DataFrame, tokenizer_file: str, decoded: bool = True) -> DataFr
 
 
 def digests(docs: DataFrame, tokenizer_file: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: what encode() gives, as digests that are taken where it is made."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: what encode() gives, as digests that are taken where it is made.
+
+    One row for each row of docs (doc_id, text), repeated ones included; null text is empty, an empty table gives no rows.
+    """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))
 
