@@ -4,7 +4,8 @@ Patterns find the protected entities. Over the corpus, a term's disclosure of an
 information as a share of the entity's information content: log2(N n_te / (n_t n_e)) / log2(N / n_e), where N counts
 documents, n_e those with the entity, n_t those with the term and n_te those with both, anywhere. Beyond REMOVE a term is
 removed, beyond GENERALISE generalised: each place of it in documents with the entity, outside of entities, becomes a span
-of kind `term`. A pair must co-occur in SUPPORT documents, as one document says nothing about co-occurrence.
+of kind `removed` or `general`. A pair must co-occur in SUPPORT documents, as one document says nothing about co-occurrence.
+In the sanitised text entities are named by their kind, removed terms are gone, generalised ones say what they are.
 """
 
 from __future__ import annotations
@@ -13,9 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
-from tidemark.llm.spans import listed, tagged, with_spans
+from tidemark.llm.spans import listed, replaced, tagged, with_spans
 
 SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.95
+#: Tables of at most so many terms are broadcast (100 bytes each or so); larger ones are joined by exchanges.
+FEW = 500_000
+#: Words of a text that are placed together, and those whose lengths are added up together.
+SEGMENT, BLOCK = 1024, 32
 #: The base kinds' patterns, in forms without repeated groups that vary in width: those recurse, and a long text overflows the
 #: stack. Local parts and numbers begin where their run begins, or where the last match ended. A dot goes on in a domain only
 #: before a label. Only whole runs of card digits of 14 to 19 can count, so no longer repetition is tried.
@@ -24,6 +29,8 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: What stands for a generalised term.
+GENERAL = "[TERM]"
 #: Words: ASCII letters and digits and everything beyond ASCII.
 WORD, BETWEEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -55,47 +62,104 @@ def with_entities(docs: DataFrame) -> DataFrame:
     return df.withColumn("base", base).drop("__email", "__ip", "__card", "__phone")
 
 
-def _words() -> Column:
-    return F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), BETWEEN), lambda w: w != ""))).alias("term")
+def _words(text: str = "text") -> Column:
+    return F.explode(F.array_distinct(F.filter(F.split(F.lower(text), BETWEEN), lambda w: w != ""))).alias("term")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if a count shows that it has FEW rows at most."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def told_terms(texts: DataFrame, docs: DataFrame, frequent: DataFrame, folder: str) -> DataFrame:
+    """entity, term, removed: what discloses. texts: text, entities of documents with frequent entities (entity, n_e); docs: text."""
+    both = texts.select("entities", _words()).select(F.explode("entities").alias("entity"), "term")
+    together = common.written(both.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT), f"{folder}/together")
+    terms = common.written(together.select("term").distinct(), f"{folder}/terms")
+    words = docs.select(_words()).join(_small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    total = docs.agg(F.count("*").alias("n"))  # one row
+    pairs = together.join(frequent, "entity").join(common.written(words, f"{folder}/words"), "term").join(F.broadcast(total))
+    share = F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.col("n") / F.col("n_e"))
+    told = pairs.where("n > n_e").withColumn("share", share).where(F.col("share") >= GENERALISE)
+    return common.written(told.select("entity", "term", (F.col("share") >= REMOVE).alias("removed")), f"{folder}/told")
+
+
+def placed(texts: DataFrame) -> DataFrame:
+    """row, start, end, removed: every place of each row's terms. texts: row, text, gone and dim (terms to remove and to generalise).
+
+    A text's words are cut into segments, each with the code points before it; inside one, lengths are added up by blocks.
+    """
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    sizes = F.zip_with("words", F.slice(F.split("text", WORD, -1), 1, F.greatest(F.size("words"), F.lit(1))), lambda w, g: F.struct(F.coalesce(F.char_length(g), F.lit(0)).cast("long").alias("gap"), F.coalesce(F.char_length(w), F.lit(0)).cast("long").alias("len")))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + x["gap"] + x["len"])
+    df = texts.select("row", "text", "gone", "dim", words.alias("words")).where(F.size("words") > 0).withColumn("sizes", sizes)
+    segments = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / SEGMENT).cast("int"))
+    part = lambda c, i: F.slice(c, i * SEGMENT + 1, F.lit(SEGMENT))
+    df = df.select("row", "gone", "dim", F.transform(segments, lambda i: F.struct(total(part("sizes", i)).alias("all"), part("words", i).alias("words"), part("sizes", i).alias("sizes"))).alias("parts"))
+    df = df.select("row", "gone", "dim", F.explode(F.transform("parts", lambda x, i: F.struct(F.aggregate(F.slice("parts", 1, i), F.lit(0).cast("long"), lambda acc, p: acc + p["all"]).alias("before"), x["words"].alias("words"), x["sizes"].alias("sizes")))).alias("s"))
+    low = F.transform("s.words", lambda w: F.lower(w))
+    df = df.select("row", "s.before", "s.sizes", low.alias("low"), F.array_intersect(low, F.col("gone")).alias("gone"), F.array_intersect(low, F.col("dim")).alias("dim")).where((F.size("gone") > 0) | (F.size("dim") > 0))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("sizes") - 1) / BLOCK).cast("int")), lambda b: total(F.slice("sizes", F.lit(1), b * BLOCK)))
+    df = df.select("row", "before", "sizes", "low", "gone", "dim", blocks.alias("blocks"))
+    marks = F.filter(F.transform("low", lambda w, i: F.struct(i.alias("i"), F.array_contains("gone", w).alias("removed"), F.array_contains("dim", w).alias("dimmed"))), lambda m: m["removed"] | m["dimmed"])
+    df = df.select("row", "before", "sizes", "blocks", F.explode(marks).alias("m"))
+    at, block = F.col("m.i"), F.floor(F.col("m.i") / BLOCK).cast("int")
+    own = F.element_at("sizes", at + 1)
+    start = F.col("before") + F.element_at("blocks", block + 1) + total(F.slice("sizes", block * BLOCK + 1, at - block * BLOCK)) + own["gap"]
+    return df.select("row", start.alias("start"), (start + own["len"]).alias("end"), "m.removed")
 
 
 def disclosing(found: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
-    """row, terms: struct<start, rank, end, kind, removed>. found: row, base, text of documents with entities; docs: text."""
+    """row, terms: struct<start, rank, end, kind, value>. found: row, base, text of documents with entities; docs: text."""
     each = found.select("row", F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity"))
     entities = each.groupBy("entity").agg(F.count("*").alias("n_e"))
     frequent = common.written(entities.where(F.col("n_e") >= SUPPORT), f"{folder}/frequent")  # no other pair can co-occur so often
-    held = common.written(each.join(frequent, "entity").select("row", "entity"), f"{folder}/held")
-    texts = found.join(held.select("row").distinct(), "row", "left_semi")
-    together = held.join(texts.select("row", _words()), "row").groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    words = docs.select(_words()).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.agg(F.count("*").alias("n"))  # one row
-    pairs = together.join(frequent, "entity").join(words, "term").join(F.broadcast(total))
-    share = F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.col("n") / F.col("n_e"))
-    told = pairs.where("n > n_e").withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
-    told = common.written(told, f"{folder}/disclosing")
-    marked = common.written(held.join(told, "entity").groupBy("row", "term").agg(F.max("share").alias("share")), f"{folder}/marked")
-    spans = with_spans(texts.join(marked.select("row").distinct(), "row", "left_semi"), "__words", "text", WORD)
-    taken = F.transform("base", lambda s: F.struct(s["start"], s["end"])).alias("taken")
-    places = spans.select("row", taken, F.explode("__words").alias("w")).select("row", "taken", F.lower("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+    held = each.join(frequent, "entity").groupBy("row").agg(F.collect_list("entity").alias("entities"))  # of one document
+    texts = common.written(found.join(common.written(held, f"{folder}/held"), "row"), f"{folder}/texts")
+    told = told_terms(texts, docs, frequent, folder)
+    met = texts.select("row", "entities", _words()).select("row", F.explode("entities").alias("entity"), "term").join(_small(told), ["entity", "term"])
+    worst = met.groupBy("row", "term").agg(F.max("removed").alias("removed"))
+    which = lambda removed: F.collect_list(F.when(F.col("removed") == F.lit(removed), F.col("term")))
+    marked = common.written(worst.groupBy("row").agg(which(True).alias("gone"), which(False).alias("dim")), f"{folder}/marked")
+    places = common.written(placed(texts.join(marked, "row")), f"{folder}/places")
+    taken = found.select("row", F.transform("base", lambda s: F.struct(s["start"], s["end"])).alias("taken"))
     apart = ~F.exists("taken", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    terms = places.join(marked, ["row", "term"]).where(apart)
-    return terms.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind"), (F.col("share") >= REMOVE).alias("removed"))).alias("terms"))
+    span = F.struct("start", F.when(F.col("removed"), 4).otherwise(5).alias("rank"), "end", F.when(F.col("removed"), "removed").otherwise("general").alias("kind"), F.lit("").alias("value"))
+    return places.join(taken, "row").where(apart).groupBy("row").agg(F.collect_list(span).alias("terms"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): counts, digest of base spans, all spans, n_removed and n_generalised terms.
+def sanitise(docs: DataFrame) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, base and terms (struct<start, rank, end, kind, value>), sanitised, text_sha256.
 
-    A null text is empty. Repeated rows are documents of their own.
+    sanitised is the text with its spans replaced, null where nothing was found; then text_sha256 has the text's digest. A
+    null text is empty. Repeated rows are documents of their own. An empty table gives no rows.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = with_entities(docs)
     folder = common.scratch(docs.sparkSession, "pii")
     # the lambda's variable holds base once; the text is kept only with entities
-    both = F.transform(F.array("base"), lambda b: F.struct(b.alias("base"), F.when(F.size(b) > 0, F.col("text")).alias("text")))[0]
-    kept = common.written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", both.alias("e")), f"{folder}/entities").select("row", "doc_id", "e.base", "e.text")
+    both = F.transform(F.array("base"), lambda b: F.struct(b.alias("base"), F.when(F.size(b) > 0, F.col("text")).alias("text"), F.when(F.size(b) == 0, F.sha2("text", 256)).alias("text_sha256")))[0]
+    kept = common.written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", both.alias("e")), f"{folder}/entities").select("row", "doc_id", "e.*")
     terms = disclosing(kept.where(F.size("base") > 0).select("row", "base", "text"), docs, folder)
-    plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    added = F.coalesce(F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))), F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>"))
-    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    which = lambda removed: F.coalesce(F.size(F.filter("terms", lambda s: s["removed"] == F.lit(removed))), F.lit(0)).cast("long")
-    return kept.join(terms, "row", "left").select("doc_id", count("email"), count("ip"), count("card"), count("phone"), F.sha2(listed(plain), 256).alias("base_sha256"), listed(F.concat(plain, added)).alias("spans"), which(True).alias("n_removed"), which(False).alias("n_generalised"))
+    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>")
+    found = kept.join(terms, "row", "left").withColumn("terms", F.coalesce("terms", none))
+    shown = lambda s: F.when(s["rank"] < 4, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(s["rank"] == 5, GENERAL).otherwise("")
+    text = F.when(F.size("base") > 0, replaced("text", F.array_sort(F.concat("base", "terms")), shown))
+    return found.select("doc_id", "base", "terms", text.alias("sanitised"), "text_sha256")
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """Per row of docs (doc_id, text): counts, digest of base spans, all spans, n_removed and n_generalised terms, digest of the sanitised text.
+
+    Nulls, repeated rows and empty tables as in sanitise().
+    """
+    count = lambda spans, kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    return sanitise(docs).select(
+        "doc_id",
+        *(count("base", kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")),
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+        listed(F.concat("base", "terms")).alias("spans"),
+        count("terms", "removed").alias("n_removed"),
+        count("terms", "general").alias("n_generalised"),
+        F.coalesce(F.sha2("sanitised", 256), "text_sha256").alias("sanitised_sha256"),
+    )

@@ -48,3 +48,13 @@ def tagged(name: str, kind: str, rank: int, keep=None, entity=None) -> Column:
 def listed(spans: Column) -> Column:
     """kind:start:end by start, then rank, comma-joined."""
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def replaced(text: str, spans: Column, shown) -> Column:
+    """The text with each of the spans (sorted) as shown(span); where they overlap, only what comes after the earlier one is cut."""
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    step = lambda acc, s: F.struct(
+        F.greatest(acc["at"], s["end"]).alias("at"),
+        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), shown(s))).otherwise(acc["out"]).alias("out"),
+    )
+    return F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
