@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder for tables that cut lineage, in the folder that spark.checkpoint.dir names.
 
-    That folder is shared by driver and executors. Only where it is unset, as in tests, one is made.
-    The folder is deleted when the session's JVM ends.
+    That folder is shared by driver and executors. Only in local mode, as in tests, one is made where it is unset; a
+    cluster must name one. The folder is deleted when the session's JVM ends.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", root)

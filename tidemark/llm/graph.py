@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
 
+MOST_ROUNDS = 100
+
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, root): of every node that has an edge (a, b), the smallest node reachable.
 
     Large-star and small-star steps in turn; each round's edges are written to folder, which cuts lineage. A node's
     neighbours are never gathered: their minimum is aggregated and written, then joined back, so that adaptive execution can split a hub.
+    Rounds go on until nothing changes; their number grows with the logarithm of the nodes, so MOST_ROUNDS means an error.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, before = written(edges, f"{folder}/0"), None
-    for n in range(1, 100):
+    for n in range(1, MOST_ROUNDS):
         both = edges.union(edges.select("v", "u"))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{folder}/{n}-least")
         large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{folder}/{n}-large")
@@ -26,9 +29,9 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         edges = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{folder}/{n}")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
         if state == before:
-            break
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
         before = state
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+    raise RuntimeError("components didn't converge")
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
