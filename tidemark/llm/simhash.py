@@ -38,15 +38,19 @@ def shingle_hashes(text: bytes, size: int = SHINGLE) -> list[int]:
 
 def fingerprints_of(texts: list[bytes]) -> np.ndarray:
     """A bit is 1 if set in over half of the shingles' hashes; 0 without words."""
-    hashes = [shingle_hashes(t) for t in texts]
+    return bits_of([np.array(shingle_hashes(t), np.uint64) for t in texts])
+
+
+def bits_of(hashes: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each list of hashes."""
     sizes = np.array([len(h) for h in hashes], np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(hashes), np.uint64)
     if not sizes.sum():
         return out
-    lanes = _SPREAD[np.fromiter((x for h in hashes for x in h), np.uint64, int(sizes.sum())).view(np.uint8).reshape(-1, 8)]
+    lanes = _SPREAD[np.concatenate(hashes).view(np.uint8).reshape(-1, 8)]
     ends = np.cumsum(sizes)
     cuts = [np.arange(end - n, end, 255) for end, n in zip(ends, sizes, strict=True)]  # 255 ones fit a lane
-    owner = np.repeat(np.arange(len(texts)), [len(c) for c in cuts])
+    owner = np.repeat(np.arange(len(hashes)), [len(c) for c in cuts])
     sums = np.add.reduceat(lanes, np.concatenate(cuts), axis=0).view(np.uint8).reshape(-1, 64).astype(np.int64)
     firsts = np.flatnonzero(np.diff(owner, prepend=-1))
     counts = np.add.reduceat(sums, firsts, axis=0)
@@ -90,19 +94,19 @@ class BkForest:
         self.child_keys = np.concatenate(edges[1:]) if len(edges) > 1 else np.array([], np.int64)  # parent * 65 + distance, ascending
         self.first_child = len(edges[0]) if edges else 0
 
-    def links(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query item, earlier item of its group) at RADIUS or fewer bits."""
+    def links(self, queries: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query item, earlier item of its group) at radius or fewer bits."""
         q, node, left, right = queries, self.root_of[queries], [], []
         while len(q):
             item = self.node_item[node]
             d = np.bitwise_count(self.values[q] ^ self.values[item]).astype(np.int64)
-            hit = (d <= RADIUS) & (item < q)
+            hit = (d <= radius) & (item < q)
             left.append(q[hit])
             right.append(item[hit])
             if not len(self.child_keys):
                 break
-            lo = np.searchsorted(self.child_keys, node * 65 + np.maximum(d - RADIUS, 0))
-            hi = np.searchsorted(self.child_keys, node * 65 + np.minimum(d + RADIUS, 64), side="right")
+            lo = np.searchsorted(self.child_keys, node * 65 + np.maximum(d - radius, 0))
+            hi = np.searchsorted(self.child_keys, node * 65 + np.minimum(d + radius, 64), side="right")
             n = hi - lo
             q = np.repeat(q, n)
             node = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()) + self.first_child
