@@ -145,15 +145,19 @@ def test_licenses(spark, documents, odd):
         for _ in range(rng.randrange(3)):
             words[rng.randrange(len(words))] = "xx"
         texts.append(f"{fill(rng.randrange(40))} {' '.join(words)} {fill(rng.randrange(300))}")
-    got = {r["doc_id"]: r for r in licenses.scan(documents(texts)).collect()}
+    texts += [f"x {t} y" for _, t in known] + [f"{fill(1500)} {known[2][1]} {fill(900)}"]
+    got, all_ = {r["doc_id"]: r for r in licenses.scan(documents(texts)).collect()}, licenses.templates(licenses.TEMPLATES)
+    assert [got[100 + len(texts) - 1 - len(known) + i]["licenses"] for i in range(len(known))] == [n for n, _ in known]  # none but its own
     for i, t in enumerate(texts):
         words = licenses.words_of(t or "")
         has, best = [" ".join(words[j : j + 5]) for j in range(len(words) - 4)], {}
-        for name, own in licenses.templates(licenses.TEMPLATES):
+        for (name, own), others in zip(all_, licenses.apart(all_), strict=True):
             size, stride = licenses.window_size(len(own))
-            share = max((len(set(own) & set(has[b : b + size])) / len(own) for b in range(0, len(has), stride)), default=0) if set(own) & set(has) else 0
-            if share >= 0.8:
-                best[name] = max(best.get(name, 0), share)
+            for b in range(0, len(has), stride) if set(own) & set(has) else ():
+                window = set(has[b : b + size])
+                share = len(set(own) & window) / len(own)
+                if share >= 0.8 and all(len(set(x) & window) >= 0.8 * len(x) for x in others):
+                    best[name] = max(best.get(name, 0), share)
         assert (got[100 + i]["licenses"], got[100 + i]["best"]) == (",".join(sorted(best)), ",".join(f"{best[k]:.3f}" for k in sorted(best)))
     assert licenses.scan(documents(["x"]).limit(0)).count() == 0
 
