@@ -257,3 +257,37 @@ def test_disclosure_by_brute_force(spark):
             at = b
         assert got[i]["sanitised_sha256"] == hashlib.sha256((out + t[at:]).encode()).hexdigest()
     assert {"email", "removed", "general"} <= seen
+
+
+def test_language_id_by_brute_force(spark):
+    """Dictionaries of few documents and every prediction, against plain code; each language's share of a small total."""
+    rng = random.Random(3)
+    tongues = {f"l{k:02d}": ["".join(rng.choice("abcdefgé") for _ in range(rng.randrange(2, 8))) for _ in range(60)] for k in range(12)}
+    rows = [(i, " ".join(rng.choice(tongues[k]) for _ in range(rng.randrange(1, 90))), k) for i, k in enumerate(rng.choice(list(tongues)) for _ in range(400))]
+    rows += [(7, rows[7][1], rows[7][2])] * 3 + [(500, None, "l01"), (501, "", "l01"), (502, "12 34", None), (503, rows[0][1], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for total in (langid.TOTAL, 12 * 65 * 20):
+        langid.TOTAL, was = total, langid.TOTAL
+        held = {}
+        for i, t, k in set(rows):
+            if t is not None and k is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+                held.setdefault(k, set()).update(langid.pieces_of(t))
+        digest = lambda p: hashlib.blake2b(p, digest_size=8).digest()
+        want = {k: b"\n".join(sorted(held[k], key=digest)[: total // len(held) // 65]) for k in sorted(held)}
+        assert langid.fit(df) == want
+        got = [tuple(r) for r in langid.identify(df).collect()]
+        langid.TOTAL = was
+        import zstandard
+
+        known = {k: zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for k, v in want.items()}
+        expected = []
+        for i, t, _ in rows:
+            out = zlib.crc32(str(i).encode()) % 4 == 2
+            if not t or not re.search("[a-z]", t):
+                expected.append((i, out, "und", 0.0, True))
+                continue
+            body = b" ".join(re.sub(r"[^a-z\x80-\U0010ffff]", " ", t.lower()).encode().split())
+            sizes = sorted((len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False).compress(body)), k) for k, d in known.items())
+            score = 1 - sizes[0][0] / sizes[1][0]
+            expected.append((i, out, sizes[0][1], score, score < langid.MARGIN))
+        assert sorted(got, key=str) == sorted(expected, key=str)

@@ -1,16 +1,19 @@
 """Language ID by compression: a text is compressed with each language's zstandard raw-content dictionary.
 
 The language whose dictionary gives the smallest output is chosen; the score is how much smaller that is than the second
-(0 to 1), and a text with a narrower margin than MARGIN is rejected, if it has EVIDENCE bytes of letters: a few words
-compress alike under every dictionary, which says nothing against them. Texts are lower-cased and reduced to letters and
-spaces, then compressed whole, in blocks of BLOCK bytes, so that a long text doesn't serve as its own dictionary.
+(0 to 1), and a text with a narrower margin than MARGIN is rejected, whatever its length: a few words that compress alike
+under every dictionary don't tell their language. Texts are lower-cased and reduced to letters and spaces, then compressed
+whole, in blocks of BLOCK bytes, so that a long text doesn't serve as its own dictionary.
 
-Dictionaries are fitted on a bounded sample: of each of the MOST_LANGS most frequent languages the SAMPLE documents with
-the smallest hash of doc_id, PER_DOC bytes of each.
+Dictionaries are fitted on a bounded sample: of each language at most SAMPLE documents, those with the smallest hash of
+doc_id and text, and of each whole text the PIECES pieces of PIECE bytes with the smallest hash, wherever they stand. All
+languages have one; where they are so many that dictionaries would exceed TOTAL bytes, each has an equal share of that.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,8 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import schema_plus
 
-
-MOST_LANGS, SAMPLE, PER_DOC, BLOCK, LEVEL, MARGIN, EVIDENCE = 200, 400, 512, 2048, 4, 0.005, 64
+SAMPLE, PIECES, PIECE, TOTAL, BLOCK, LEVEL, MARGIN = 400, 8, 64, 64 << 20, 2048, 4, 0.005
 _LETTER = regex.compile(r"\p{L}")
 _TO_LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -31,22 +33,47 @@ def letters(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(_TO_LETTERS).split())
 
 
+def _digest(piece: bytes) -> bytes:
+    return hashlib.blake2b(piece, digest_size=8).digest()
+
+
+def pieces_of(text: str) -> list[bytes]:
+    """The pieces with the smallest hashes, from anywhere in the text."""
+    body = letters(text)
+    return sorted({body[i : i + PIECE] for i in range(0, len(body), PIECE)}, key=_digest)[:PIECES]
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame) -> dict[str, bytes]:
-    """A dictionary for each language, from documents (doc_id, text, lang) that aren't held out; the most frequent first."""
+def sampled(docs: DataFrame) -> DataFrame:
+    """lang, text of the documents to fit on: of each language at most SAMPLE, without those held out and without repeated rows.
+
+    Twice as many are expected to have a hash below a bound that the language's count gives; so few rows are ranked.
+    """
     usable = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
-    langs = [r["lang"] for r in counts]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = usable.where(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(f"n <= {SAMPLE}").select("doc_id", "lang")
-    texts = usable.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")  # MOST_LANGS * SAMPLE rows at most
-    found: dict[str, list] = {lang: [] for lang in langs}
-    for r in texts.select("doc_id", "lang", F.substring("text", 1, 2 * PER_DOC).alias("part")).collect():
-        found[r["lang"]].append((r["doc_id"], letters(r["part"])[:PER_DOC]))
-    return {lang: b"\n".join(x for _, x in sorted(parts)) for lang, parts in found.items()}
+    usable = usable.select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).alias("h"))
+    counts = usable.groupBy("lang").count()
+    near = usable.select("lang", "h").join(counts, "lang").where(F.col("h") / float(1 << 62) < 2 * SAMPLE / F.col("count"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = near.groupBy("lang", "h").agg(F.count("*").alias("n")).withColumn("rank", rank).where(f"rank <= {SAMPLE}").select("lang", "h")
+    return usable.join(picked, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
+
+
+def fit(docs: DataFrame) -> dict[str, bytes]:
+    """A dictionary for each language, from documents (doc_id, text, lang) that aren't held out; in the order of their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pieces_of(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(found, pa.list_(pa.binary()))], ["lang", "pieces"])
+
+    held: dict[str, set[bytes]] = defaultdict(set)
+    for r in sampled(docs).mapInArrow(run, "lang string, pieces array<binary>").toLocalIterator():  # SAMPLE * PIECES * PIECE bytes a language
+        held[r["lang"]].update(map(bytes, r["pieces"]))
+    most = TOTAL // max(1, len(held)) // (PIECE + 1)
+    return {lang: b"\n".join(sorted(held[lang], key=_digest)[:most]) for lang in sorted(held)}
 
 
 class Classifier:
@@ -70,8 +97,11 @@ class Classifier:
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """docs plus lang_pred, score and rejected; lang_pred is `und`, and rejected, for null texts and those without letters."""
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # MOST_LANGS * SAMPLE * PER_DOC bytes at most
+    """docs plus lang_pred, score and rejected; lang_pred is `und`, and rejected, for null texts and those without letters.
+
+    Columns of these names are replaced. Repeated rows get the same; without any dictionary all are `und`.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # TOTAL bytes at most
     kept = docs.drop("lang_pred", "score", "rejected")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +109,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             found = [classifier.predict(t) for t in texts]
-            narrow = [x == "und" or s < MARGIN and len(letters(t)) >= EVIDENCE for t, (x, s) in zip(texts, found, strict=True)]
+            narrow = [x == "und" or s < MARGIN for x, s in found]
             new = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array(narrow, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "lang_pred", "score", "rejected"])
 
@@ -87,7 +117,10 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected for every row of docs (doc_id, text, lang)."""
+    """doc_id, held_out, lang_pred, score, rejected for every row of docs (doc_id, text, lang).
+
+    Null and empty texts are `und`, a null doc_id isn't held out; ties go to the first language by name. An empty table gives no rows.
+    """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     found = predict(docs.select("doc_id", "text"), fit(docs))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
