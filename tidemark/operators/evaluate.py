@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import scratch, written
+
+#: Ranges of scores that running sums are made in.
+RANGES = 64
 #: Sizes of targeted groups.
 TOP_K = (1000, 2000, 3000, 5000, 10000)
 
@@ -29,11 +33,13 @@ def classification(cm: DataFrame) -> DataFrame:
 def curve(df: DataFrame, label: str = "label", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """Per distinct score: pos, neg, and tp, fp among scores at least as high, p and n in all.
 
-    Scores are pre-aggregated; running sums are made inside ranges of scores and over the ranges' totals, so no task holds
-    all scores.
+    Scores are pre-aggregated and written; running sums are made inside ranges of them and over the ranges' totals. Ranges
+    lie between quantiles of the distinct scores, so no task holds all of them however they crowd.
     """
     counts = df.groupBy(*by, score).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
-    parts = counts.withColumn("__r", F.floor(F.col(score) * 64))
+    counts = written(counts, f"{scratch(df.sparkSession, 'curve')}/scores")
+    cuts = counts.agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 100 * RANGES).alias("__cuts"))  # one row
+    parts = counts.join(F.broadcast(cuts)).withColumn("__r", F.size(F.filter("__cuts", lambda c: c <= F.col(score)))).drop("__cuts")
     totals = parts.groupBy(*by, "__r").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
     above = Window.partitionBy(*by).orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy(*by)

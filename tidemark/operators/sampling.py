@@ -29,11 +29,10 @@ def rate_for(df: DataFrame, target: int, label: str = "is_purchased", oversample
 
 
 def exact_sample(df: DataFrame, positives: int, negatives: int, label: str = "is_purchased", seed: int = 1) -> DataFrame:
-    """Exactly so many of each class, or an error. Only the smallest hashes of each task travel."""
-    order = Window.partitionBy(label).orderBy(unit_hash(seed=seed), "message_id")
-    ranked = df.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= F.greatest(F.lit(positives), F.lit(negatives)))
+    """Exactly so many of each class, those with the smallest hashes; an error where a class is short, found by counting first."""
+    check_sizes(df, positives, negatives, label)
     want = F.when(F.col(label) == 1, positives).otherwise(negatives)
-    return ranked.where(F.col("__n") <= want).drop("__n")
+    return _class_rank(df, label, seed).where(F.col("__rank") < want).drop("__rank", "__size")
 
 
 def check_sizes(df: DataFrame, positives: int, negatives: int, label: str = "is_purchased") -> None:
@@ -44,9 +43,7 @@ def check_sizes(df: DataFrame, positives: int, negatives: int, label: str = "is_
 
 def capped_negatives(df: DataFrame, most: int, label: str = "is_purchased", seed: int = 1) -> DataFrame:
     """All positives, and the `most` negatives with the smallest hashes."""
-    order = Window.partitionBy(label).orderBy(unit_hash(seed=seed), "message_id")
-    kept = df.where(F.col(label) == 0).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
-    return df.where(F.col(label) == 1).unionByName(kept)
+    return _class_rank(df, label, seed).where((F.col(label) == 1) | (F.col("__rank") < most)).drop("__rank", "__size")
 
 
 def subsample(df: DataFrame, n: int, seed: int = 1) -> DataFrame:

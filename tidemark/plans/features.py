@@ -9,6 +9,7 @@ from tidemark.functions import clean
 from tidemark.functions.calendar import calendar
 from tidemark.operators import history, impute, rolling, similarity
 from tidemark.sources import crm
+from tidemark.sources.scratch import scratch, written
 
 IMPUTED = [f"__{c}" for c in (*history.RECENCIES, "avg_time_since_first_purchase")]
 CAMPAIGN = similarity.ATTRIBUTES
@@ -53,11 +54,12 @@ def state(df: DataFrame, tau: dict[str, float] | None = None, strict_time: bool
 def build(df: DataFrame, tau: dict[str, float] | None = None, fit_on: Column | None = None, accuracy: int | None = None, strict_time: bool = False) -> DataFrame:
     """The feature table of an enriched log. fit_on: on which rows medians are fitted (all, by default).
 
-    accuracy: approximate medians for a log whose distinct values don't fit a task.
+    accuracy: approximate medians for a log whose distinct values don't fit a task. The clients' state is written once;
+    medians, the open rate of all clients and the table itself read it.
     """
-    df = state(fact_columns(df), tau, strict_time)
-    df = rolling.global_open_rate(df)
+    stated = written(state(fact_columns(df), tau, strict_time), f"{scratch(df.sparkSession, 'features')}/state")
+    df = rolling.global_open_rate(stated)
     columns = [*IMPUTED, "__purchase_days", "__topic_gap"]
-    df = impute.with_medians(df, columns, fit_on=fit_on, accuracy=accuracy)
+    df = df.join(F.broadcast(impute.medians(stated, columns, fit_on=fit_on, accuracy=accuracy)))  # one row
     df = impute.topic_features(impute.purchase_features(impute.filled(df, IMPUTED)))
     return df.select("message_id", "client_id", "sent_at", "t", "is_purchased", *INPUTS, *EXTRAS)

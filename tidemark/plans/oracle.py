@@ -61,7 +61,7 @@ CTES: dict[str, str] = {
     "camp0": f"""SELECT p_partkey AS campaign_id, lower(replace(trim(CASE p_type WHEN 'ECONOMY' THEN ' Event' WHEN 'LARGE' THEN 'happy birthday' WHEN 'MEDIUM' THEN 'Leave review'
         WHEN 'PROMO' THEN 'offer after purchase' WHEN 'SMALL' THEN 'sale out ' ELSE 'survey' END), ' ', '.')) AS topic0,
         lower({case('p_size % 4', ('bulk', 'Transactional', 'trigger', 'test'))}) AS type0, {case('p_size % 5', ('email', 'mobile_push', 'sms', 'multichannel', 'web_push'))} AS channel0,
-        CASE WHEN p_size % 6 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) * CAST(1.5 AS DOUBLE) - 6 END AS duration_h FROM part WHERE p_partkey < 90""",
+        CASE WHEN p_size % 6 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) * CAST(1.5 AS DOUBLE) - 6 END AS duration_h FROM part WHERE p_partkey % 10 <> 9""",
     "camp": f"""SELECT campaign_id, {hot('type0', 'camp_campaign_type', clean.CAMPAIGN_TYPES)}, {hot('channel0', 'camp_channel', clean.CAMPAIGN_CHANNELS)},
         {hot(f"CASE WHEN topic0 IN ({one_of(clean.TOPICS)}) THEN topic0 ELSE 'other' END", 'camp_topic', clean.TOPICS)},
         greatest(CAST(0.1 AS DOUBLE), coalesce(duration_h, CAST(24 AS DOUBLE))) AS avg_campaign_duration FROM camp0""",
