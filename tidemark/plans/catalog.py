@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import clean
 from tidemark.functions.calendar import calendar
 from tidemark.operators import diagnostics, evaluate, history, impute, rolling, sampling, similarity
-from tidemark.plans import features, oracle, studies
+from tidemark.plans import features, models, oracle, studies
 from tidemark.sources import crm
 
 #: Sizes of samples and groups that suit the driver's tables.
@@ -313,6 +313,11 @@ def _(s, d):
     return diagnostics.target_correlation(_table(s, d), SIMPLE).withColumn("abs_corr", F.round("abs_corr", 6)).orderBy(F.desc("abs_corr"), "feature").limit(5)
 
 
+@query("target_correlation_bottom", "s:feature d:abs_corr", "SELECT * FROM (" + tall({f: f"round({corr(f, 'is_purchased')}, 6)" for f in SIMPLE}, [f"'{f}' AS feature, {f} AS abs_corr" for f in SIMPLE]) + ") ORDER BY abs_corr, feature LIMIT 4")
+def _(s, d):
+    return diagnostics.target_correlation(_table(s, d), SIMPLE).withColumn("abs_corr", F.round("abs_corr", 6)).orderBy("abs_corr", "feature").limit(4)
+
+
 MEANS = tall({f"{f}_{v}": f"avg(CASE WHEN is_purchased = {v} THEN {f} END)" for f in SIMPLE for v in (0, 1)}, [f"'{f}' AS feature, {f}_1 AS buyer_mean, {f}_0 AS other_mean" for f in SIMPLE])
 
 
@@ -471,6 +476,51 @@ def _(s, d):
     return _table(s, d)
 
 
+#: Sizes of models that suit the driver's tables.
+TREES = {"maxIter": 10, "maxDepth": 4}
+REPORTED = "s:experiment i:num_features d:optimal_threshold d:accuracy d:precision d:recall d:f1_score d:f2_score d:roc_auc d:pr_auc"
+
+
+def _training(s, d):
+    return models.training_rows(_table(s, d), features.INPUTS)
+
+
+@query("gbt_scores", "i:message_id i:label s:split d:score")
+def _(s, d):
+    return models.ensemble(_training(s, d), "gbt", features.INPUTS, **TREES)
+
+
+@query("rf_scores", "i:message_id i:label s:split d:score")
+def _(s, d):
+    return models.ensemble(_training(s, d), "rf", features.INPUTS, numTrees=20)
+
+
+@query("mlp_scores", "i:message_id i:label s:split d:score")
+def _(s, d):
+    return models.ensemble(_training(s, d), "mlp", features.INPUTS, maxIter=40)
+
+
+@query("model_ablation", f"{REPORTED} i:top100_hits i:top200_hits i:top300_hits i:tn i:fp i:fn i:tp")
+def _(s, d):
+    return studies.report_rows(models.ablation(_table(s, d), "rf", sizes=(100, 200, 300), folds=2, numTrees=10, maxDepth=6))
+
+
+@query("model_topk_delta", "s:experiment s:item d:value s:change")
+def _(s, d):
+    return studies.topk_delta(studies.report_rows(models.ablation(_table(s, d), "rf", ["base", "all"], (100, 200, 300), folds=2, numTrees=10, maxDepth=6)))
+
+
+@query("model_search", "i:place i:trees i:depth d:pr_auc")
+def _(s, d):
+    found = models.search(_training(s, d), "rf", features.INPUTS, {"maxDepth": [4, 6]}, {"numTrees": 10}, folds=2)
+    return s.createDataFrame([(i + 1, p["numTrees"], p["maxDepth"], v) for i, (p, v) in enumerate(found)], "place int, trees int, depth int, pr_auc double")
+
+
+@query("tau_model_targeting", "s:tau_multiplier i:top_k i:tp_hits d:population_share d:precision_at_k d:cumulative_recall d:lift_vs_random")
+def _(s, d):
+    return models.tau_targeting(logged(s, d), "rf", TOP_K, folds=2, numTrees=10, maxDepth=6)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(BUILDS)
 

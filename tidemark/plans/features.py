@@ -51,15 +51,23 @@ def state(df: DataFrame, tau: dict[str, float] | None = None, strict_time: bool
     return rolling.rolling(df).withColumns(calendar())
 
 
-def build(df: DataFrame, tau: dict[str, float] | None = None, fit_on: Column | None = None, accuracy: int | None = None, strict_time: bool = False) -> DataFrame:
-    """The feature table of an enriched log. fit_on: on which rows medians are fitted (all, by default).
+def stated(df: DataFrame, tau: dict[str, float] | None = None, strict_time: bool = False) -> DataFrame:
+    """The state of an enriched log, written once: medians, the open rate of all clients and the table itself read it."""
+    return written(state(fact_columns(df), tau, strict_time), f"{scratch(df.sparkSession, 'features')}/state")
 
-    accuracy: approximate medians for a log whose distinct values don't fit a task. The clients' state is written once;
-    medians, the open rate of all clients and the table itself read it.
-    """
-    stated = written(state(fact_columns(df), tau, strict_time), f"{scratch(df.sparkSession, 'features')}/state")
-    df = rolling.global_open_rate(stated)
+
+def completed(df: DataFrame, fit_on: Column | None = None, accuracy: int | None = None) -> DataFrame:
+    """The feature table of a written state."""
     columns = [*IMPUTED, "__purchase_days", "__topic_gap"]
-    df = df.join(F.broadcast(impute.medians(stated, columns, fit_on=fit_on, accuracy=accuracy)))  # one row
+    medians = impute.medians(df, columns, fit_on=fit_on, accuracy=accuracy)
+    df = rolling.global_open_rate(df).join(F.broadcast(medians))  # one row
     df = impute.topic_features(impute.purchase_features(impute.filled(df, IMPUTED)))
     return df.select("message_id", "client_id", "sent_at", "t", "is_purchased", *INPUTS, *EXTRAS)
+
+
+def build(df: DataFrame, tau: dict[str, float] | None = None, fit_on: Column | None = None, accuracy: int | None = None, strict_time: bool = False) -> DataFrame:
+    """The feature table of an enriched log. fit_on: on which rows medians are fitted (all, by default).
+
+    accuracy: approximate medians for a log whose distinct values don't fit a task.
+    """
+    return completed(stated(df, tau, strict_time), fit_on, accuracy)

@@ -14,8 +14,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluate, sampling
-from tidemark.plans import features
+from tidemark.operators import evaluate, history, sampling
+from tidemark.plans import features, studies
+from tidemark.sources.scratch import scratch, written
 
 SEED = 1
 
@@ -53,57 +54,71 @@ def scored(model, df: DataFrame) -> DataFrame:
 
 
 def ensemble(rows: DataFrame, kind: str, inputs: list[str], folds: int = 3, most_negatives: int = 200_000, **params) -> DataFrame:
-    """Scores of validation and test rows: the mean over models, each fitted without one fold of the training rows."""
-    out = None
+    """Scores of validation and test rows: the mean over models, each fitted without one fold of the training rows.
+
+    rows are a written table. Each fold's training rows are written, as every pass of a fit reads them; negatives are
+    capped, which bounds them.
+    """
+    folder, out = scratch(rows.sparkSession, "ensemble"), None
     for fold in range(folds):
-        part = sampling.capped_negatives(rows.where((F.col("split") == "train") & (F.col("fold") != fold)), most_negatives, label="label")
-        model = classifier(kind, inputs, **params).fit(weighted(part))
+        part = sampling.capped_negatives(rows.where((F.col("split") == "train") & (F.pmod("fold", F.lit(folds)) != fold)), most_negatives, label="label")
+        model = classifier(kind, inputs, **params).fit(written(weighted(part), f"{folder}/{fold}"))
         found = scored(model, rows.where("split <> 'train'"))
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("message_id", "label", "split").agg(F.avg("score").alias("score"))
+    return written(studies.fold_mean(out, "split"), f"{folder}/scores")
 
 
-def report(scores: DataFrame, n_inputs: int) -> dict:
-    """Threshold from validation rows, metrics on test rows."""
-    points = evaluate.curve(scores.where("split = 'validation'"))
-    threshold = evaluate.best_threshold(points).collect()[0]["threshold"]
+def report(scores: DataFrame, n_inputs: int, sizes: tuple[int, ...] = (1000, 2000, 3000)) -> DataFrame:
+    """One row of metrics on test rows, at the threshold that is best on validation rows."""
+    best = evaluate.best_threshold(evaluate.curve(scores.where("split = 'validation'"))).select(F.coalesce("threshold", F.lit(0.5)).alias("optimal_threshold"))
     test = scores.where("split = 'test'")
-    found = evaluate.classification(evaluate.confusion(test, threshold if threshold is not None else 0.5)).collect()[0].asDict()
-    ranks = evaluate.curve(test)
-    hits = {f"top{r['top_k']}_hits": r["tp_hits"] for r in evaluate.ranked_hits(test, (1000, 2000, 3000)).collect()}
-    return {"num_features": n_inputs, "optimal_threshold": threshold, **{k: found[k] for k in ("accuracy", "precision", "recall", "f1_score", "f2_score")}, "roc_auc": evaluate.roc_auc(ranks).collect()[0][0], "pr_auc": evaluate.average_precision(ranks).collect()[0][0], **hits, "confusion_matrix": {k: found[k] for k in ("tn", "fp", "fn", "tp")}}
-
-
-def search(rows: DataFrame, kind: str, inputs: list[str], grid: dict[str, list], fixed: dict | None = None) -> tuple[dict, float]:
-    """The grid's setting with the best mean average precision over folds; fixed: parameters known beforehand."""
-    best: tuple[dict, float] = ({}, -1.0)
-    train = rows.where("split = 'train'").persist()
-    try:
-        for values in product(*grid.values()):
-            params = (fixed or {}) | dict(zip(grid, values, strict=True))
-            total = 0.0
-            folds = sorted(r[0] for r in train.select("fold").distinct().collect())
-            for fold in folds:
-                model = classifier(kind, inputs, **params).fit(weighted(train.where(F.col("fold") != fold)))
-                total += evaluate.average_precision(evaluate.curve(scored(model, train.where(F.col("fold") == fold)))).collect()[0][0]
-            if total / len(folds) > best[1]:
-                best = (params, total / len(folds))
-    finally:
-        train.unpersist()
-    return best
-
-
-def ablation(table: DataFrame, kind: str, experiments: list[str] | None = None, **params) -> dict[str, dict]:
-    """A report for each experiment's inputs."""
-    out = {}
+    marked = test.join(F.broadcast(best)).withColumn("over", F.col("score") - F.col("optimal_threshold"))  # one row
+    cm, ranks = evaluate.classification(evaluate.confusion(marked, 0.0, score="over")), evaluate.curve(test)
+    hits = evaluate.ranked_hits(test, sizes).agg(*(F.coalesce(F.max(F.when(F.col("top_k") == k, F.col("tp_hits"))), F.lit(0)).alias(f"top{k}_hits") for k in sizes))
+    out = best
+    for one in (cm, evaluate.roc_auc(ranks), evaluate.average_precision(ranks), hits):
+        out = out.join(F.broadcast(one))  # one row each
+    return out.select(F.lit(n_inputs).alias("num_features"), "optimal_threshold", "accuracy", "precision", "recall", "f1_score", "f2_score", "roc_auc", "pr_auc", *(f"top{k}_hits" for k in sizes), F.struct("tn", "fp", "fn", "tp").alias("confusion_matrix"))
+
+
+def search(rows: DataFrame, kind: str, inputs: list[str], grid: dict[str, list], fixed: dict | None = None, folds: int = 3) -> list[tuple[dict, float]]:
+    """The grid's settings with their mean average precision over folds, best first; fixed: parameters known beforehand."""
+    train, out = rows.where("split = 'train'"), []
+    for values in product(*grid.values()):
+        params, total = (fixed or {}) | dict(zip(grid, values, strict=True)), 0.0
+        for fold in range(folds):
+            model = classifier(kind, inputs, **params).fit(weighted(train.where(F.pmod("fold", F.lit(folds)) != fold)))
+            total += evaluate.average_precision(evaluate.curve(scored(model, train.where(F.pmod("fold", F.lit(folds)) == fold)))).collect()[0][0]
+        out.append((params, total / folds))
+    return sorted(out, key=lambda x: -x[1])
+
+
+def ablation(table: DataFrame, kind: str, experiments: list[str] | None = None, sizes: tuple[int, ...] = (1000, 2000, 3000), **params) -> DataFrame:
+    """experiment and its report r, for each experiment's inputs."""
+    rows, out = training_rows(table, features.INPUTS), None
     for name in experiments or list(features.EXPERIMENTS):
         inputs = features.inputs_of(name)
-        rows = prepared(table, inputs).persist()
-        out[name] = report(ensemble(rows, kind, inputs, **params), len(inputs))
-        rows.unpersist()
+        one = report(ensemble(rows, kind, inputs, **params), len(inputs), sizes)
+        one = one.select(F.lit(name).alias("experiment"), F.struct(*one.columns).alias("r"))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
+def tau_targeting(log: DataFrame, kind: str, sizes: tuple[int, ...], multipliers: tuple[float, ...] = studies.MULTIPLIERS, **params) -> DataFrame:
+    """Targeting on test rows by a model for each multiplier, all from one written state; splits are the same for all."""
+    state, out = features.stated(log), None
+    for m in multipliers:
+        rows = training_rows(features.completed(history.fatigue(state, studies.tau_of(m))), features.INPUTS)
+        test = ensemble(rows, kind, features.INPUTS, **params).where("split = 'test'").withColumn("tau_multiplier", F.lit(f"{m:.2f}x"))
+        out = test if out is None else out.unionByName(test)
+    return evaluate.targeting(out, sizes, by=("tau_multiplier",))
+
+
+def training_rows(table: DataFrame, inputs: list[str]) -> DataFrame:
+    """prepared(), written."""
+    return written(prepared(table, inputs), f"{scratch(table.sparkSession, 'training')}/rows")
+
+
 def save(model, path: str) -> None:
     model.write().overwrite().save(path)
 
@@ -112,5 +127,3 @@ def load(path: str):
     from pyspark.ml import PipelineModel
 
     return PipelineModel.load(path)
-
-

@@ -59,9 +59,17 @@ def ablation_delta(reports: DataFrame) -> DataFrame:
     return tall.join(base, "metric").select("experiment", "metric", "value", F.when(F.col("experiment") != "base", change(F.col("base"), F.col("value"), "%+.3f%%")).otherwise("").alias("change"))
 
 
-def fold_mean(scores: DataFrame) -> DataFrame:
-    """The ensemble's score: the mean over folds of (message_id, label, fold, score)."""
-    return scores.groupBy("message_id", "label").agg(F.avg("score").alias("score"))
+def fold_mean(scores: DataFrame, *kept: str) -> DataFrame:
+    """The ensemble's score: the mean over folds of (message_id, label, score, and the columns that are kept)."""
+    return scores.groupBy("message_id", "label", *kept).agg(F.avg("score").alias("score"))
+
+
+def topk_delta(reports: DataFrame) -> DataFrame:
+    """Of flat report rows with top1000_hits to top3000_hits and confusion counts: each as a row beside the base's, with the relative change."""
+    names = [c for c in reports.columns if c.startswith("top") and c.endswith("_hits")] + ["tn", "fp", "fn", "tp"]
+    tall = reports.select("experiment", F.explode(F.array(*(F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("value")) for c in names))).alias("x")).select("experiment", "x.*")
+    base = tall.where("experiment = 'base'").select("item", F.col("value").alias("base"))
+    return tall.join(base, "item").select("experiment", "item", "value", F.when(F.col("experiment") != "base", change(F.col("base"), F.col("value"), "%+.3f%%")).otherwise("").alias("change"))
 
 
 def regression_check(found: dict[str, float], expected: dict[str, float], tolerance: float = 1e-12) -> list[str]:
