@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: The closed lists of labels.
 CAMPAIGN_TYPES = ("bulk", "transactional", "trigger")
@@ -55,6 +56,11 @@ def one_hot(column: Column, prefix: str, values: tuple[str, ...]) -> list[Column
     return [F.when(column == v, 1).otherwise(0).alias(f"{prefix}{v.replace('.', '_')}") for v in values]
 
 
+def hours_between(started: str, finished: str) -> Column:
+    """Hours from one text timestamp to another, null where either isn't one."""
+    return epoch_hours(timestamp_or_null(finished)) - epoch_hours(timestamp_or_null(started))
+
+
 def duration_hours(hours: Column) -> Column:
     """Null is 24; at least 0.1."""
     return F.greatest(F.lit(0.1), F.coalesce(hours, F.lit(24.0)))
@@ -101,3 +107,8 @@ def existing(df: DataFrame, names: list[str]) -> DataFrame:
 
 def zero_filled(df: DataFrame, names: list[str]) -> DataFrame:
     return df.fillna(0, names)
+
+
+def normalised(df: DataFrame) -> DataFrame:
+    """Booleans as 0 and 1; other columns, missing text included, as they are."""
+    return df.withColumns({f.name: F.col(f.name).cast("int") for f in df.schema if isinstance(f.dataType, BooleanType)})

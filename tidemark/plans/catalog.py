@@ -527,3 +527,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from tidemark.plans import io_queries  # noqa: E402, F401  (registers its queries)

@@ -82,6 +82,12 @@ def campaigns(raw: DataFrame) -> DataFrame:
 
 
 
+def campaign_dimension(raw: DataFrame) -> DataFrame:
+    """A campaign file's columns under the names that campaigns() reads; columns that it lacks are null."""
+    raw = raw.withColumnRenamed("id", "campaign_id")
+    raw = clean.ensure_columns(raw, {c: F.lit(None).cast("string") for c in ("topic", "campaign_type", "channel", "started_at", "finished_at")})
+    return raw.withColumn("duration_h", clean.hours_between("started_at", "finished_at")).drop("started_at", "finished_at")
+
 
 def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("client_id")).agg(F.min("o_orderdate").alias("first_purchase_date"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from itertools import count, takewhile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 #: Columns of the raw log.
 LOG_COLUMNS = "message_id campaign_id message_type client_id channel category platform email_provider stream date sent_at is_opened is_clicked is_unsubscribed is_hard_bounced is_blocked is_purchased purchased_at opened_first_time_at clicked_first_time_at unsubscribed_at complained_at".split()
 
+#: Columns of the dimensions' files.
+DIMENSIONS = {"campaigns": "id:long campaign_type:string channel:string topic:string started_at:string finished_at:string", "clients": "client_id:long first_purchase_date:string", "holidays": "date:string is_holidays:int"}
+
 
 def read_log_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A CSV log, everything as text, pruned to the columns asked for that it has."""
@@ -25,7 +30,7 @@ def read_log(spark: SparkSession, path: str, columns: list[str] | None = None, s
     """A log in Parquet (a file or a folder of parts) or, by its ending, CSV; corrupt Parquet files can be skipped."""
     if path.rstrip("/").endswith(".csv"):
         return read_log_csv(spark, path, columns)
-    rows = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).parquet(path)
+    rows = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).option("recursiveFileLookup", True).parquet(path)
     return rows.select([c for c in columns if c in rows.columns]) if columns else rows
 
 
@@ -33,9 +38,17 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV in UTF-8 with a header line in each part."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
+    """CSV in UTF-8 with a header line in each part, which bom begins with a byte order mark."""
+    named = df.withColumnRenamed(df.columns[0], f"\ufeff{df.columns[0]}") if bom else df
+    named.write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_dimension(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A dimension's CSV file in the types of DIMENSIONS; what doesn't fit its type is null."""
+    rows = read_log_csv(spark, path)
+    kinds = {c: kind for c, kind in (x.split(":") for x in DIMENSIONS[name].split())}
+    return rows.select(*(F.col(c).try_cast(kinds.get(c, "string")).alias(c) for c in rows.columns))
 
 
 def write_report(df: DataFrame, path: str) -> None:
@@ -43,6 +56,42 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_documents(rows: DataFrame, path: str) -> None:
+    """A small column of JSON texts as one file of concatenated documents."""
+    rows.coalesce(1).write.mode("overwrite").text(path)
+
+
+def counted_parts(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """path, size, modified, n of each Parquet file under path; counts of unchanged files are taken from folder, where all are kept.
+
+    Files that can't be read aren't counted.
+    """
+    key = ["path", "size", "modified"]
+    meta = lambda df: df.select(*(F.col(f"_metadata.file_{c}").alias(n) for c, n in (("path", "path"), ("size", "size"), ("modification_time", "modified"))))
+    rows = meta(spark.read.option("ignoreCorruptFiles", True).schema("message_id string").parquet(path))
+    known = [*takewhile(lambda x: exists(spark, x), (f"{folder}/{i}" for i in count()))]
+    schema = "path string, size long, modified timestamp, n long"
+    done = spark.read.schema(schema).parquet(*known) if known else spark.createDataFrame([], schema)
+    new = rows.join(F.broadcast(done), key, "left_anti").groupBy(*key).agg(F.count("*").alias("n"))  # a row per file
+    write_parquet(new, f"{folder}/{len(known)}")
+    return spark.read.schema(schema).parquet(*known, f"{folder}/{len(known)}")
+
+
+def corrupt_parts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """path of each file under path that can't be read as Parquet."""
+    good = spark.read.option("ignoreCorruptFiles", True).schema(schema).parquet(path).select(F.col("_metadata.file_path").alias("path")).distinct()
+    listed = spark.read.format("binaryFile").load(path).select("path")
+    plain = lambda df: df.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
+    return plain(listed).join(plain(good), "path", "left_anti")
+
+
+def resumed(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The finished table at path, else what build gives, written there."""
+    if not exists(spark, path):
+        write_parquet(build(), path)
+    return spark.read.parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a finished table stands at path, so that a study can go on where it stopped."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
