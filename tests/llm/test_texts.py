@@ -174,10 +174,10 @@ def test_decontamination(spark, documents, odd):
         w = words(text)
         for i in range(max(1, len(w) - 9)) if w else ():
             windows.setdefault(tuple(w[i : i + 10]), set()).add(item)
-    for block in (50_000, 7):
-        decontaminate.PER_BLOCK, was = block, decontaminate.PER_BLOCK
+    for block in (decontaminate.BLOCK, 7):
+        decontaminate.BLOCK, was = block, decontaminate.BLOCK
         got = {r["doc_id"]: r for r in decontaminate.scan(documents(texts), bench, ["doc_id"]).collect()}
-        decontaminate.PER_BLOCK = was
+        decontaminate.BLOCK = was
         for n, t in enumerate(texts):
             w, hit, found = words(t), set(), set()
             for size in {len(k) for k in windows}:

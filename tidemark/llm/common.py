@@ -2,44 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
+
+from tidemark.sources.scratch import scratch, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder for tables that cut lineage, in the folder that spark.checkpoint.dir names.
-
-    That folder is shared by driver and executors. Only in local mode, as in tests, one is made where it is unset; a
-    cluster must name one. The folder is deleted when the session's JVM ends.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    folder = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
-
-
-def written(df: DataFrame, folder: str) -> DataFrame:
-    """df as a Parquet table in folder: computed once, and safe when executors are lost."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, of about most_bytes in the text column (one row at least)."""
     for batch in batches:
@@ -66,5 +42,5 @@ def schema_plus(df: DataFrame, **types: str) -> StructType:
     """df's schema with more columns."""
     out = StructType(list(df.schema.fields))
     for name, kind in types.items():
-        out = out.add(name, kind)
+        out = out.add(name, DataType.fromDDL(kind))
     return out

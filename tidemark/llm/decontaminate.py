@@ -1,126 +1,190 @@
 """Benchmark decontamination: a prefix-filtered set join of item windows with documents.
 
-A window is WINDOW consecutive words of an item. Its words are ordered by rarity over all documents; as the whole window
-must occur, the necessary prefix is its one rarest word. Documents meet windows at that word only; the word's position in
-the window gives the only place where the window can begin, which must lie inside the document (positional and length
-bounds); the window's words are then compared there. Windows are broadcast in blocks of at most PER_BLOCK, one of which a
-task holds at a time, so memory is bounded however large the benchmark is.
+A window is WINDOW consecutive words of an item; its tokens are its shingles of SHINGLE words (of all words, if fewer),
+each a 64-bit hash. Tokens are ordered by rarity, which is counted over all documents. As the whole window must occur, its
+necessary prefix is its one rarest token, and a window with a token that no document has is left out. Documents list the
+places of prefix tokens with the words around, and are joined with the windows' prefixes on the token; its offset in the
+window gives the only place where the window can begin, which must lie inside the document (positional and length bounds),
+and there the words are compared. So hashes only choose candidates, and the result is exact.
+
+Tasks look tokens up in sorted blocks of at most BLOCK hashes (8 bytes each), one pass over documents for each block.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-WINDOW, PER_BLOCK = 10, 50_000
+WINDOW, SHINGLE, BLOCK = 10, 3, 16 << 20
 #: A-Z lower-cased, 0-9, a-z and bytes from 0x80 on kept, all else a space.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Odd factors of the words of a token, by place.
+_FACTORS = np.random.default_rng(11).integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TO_WORDS).split()
 
 
-def windows_of(words: list[bytes]) -> list[tuple[bytes, ...]]:
-    """An item of fewer words, but not none, is one window."""
-    return [tuple(words[i : i + WINDOW]) for i in range(max(1, len(words) - WINDOW + 1))] if words else []
+class _Hashes(dict):
+    """Words' hashes; a million at most are kept."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word)
+        return out
 
-def blocks_of(benchmark: DataFrame) -> Iterator[dict[tuple[bytes, ...], list[str | None]]]:
-    """Windows with the items that have them, PER_BLOCK at most at a time (more only inside one item)."""
-    block: dict[tuple[bytes, ...], list[str | None]] = defaultdict(list)
-    for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string").cast("binary")).toLocalIterator():
-        for window in dict.fromkeys(windows_of(words_of(bytes(text or b"")))):
-            block[window].append(item)
-        if len(block) >= PER_BLOCK:
-            yield block
-            block = defaultdict(list)
-    if block:
-        yield block
 
+def tokens_of(words: list[bytes], hashes: _Hashes, size: int) -> np.ndarray:
+    """The hash of the shingle of size words that begins at each place."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.array([], np.int64)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    out = np.full(n, size, np.uint64)
+    for i in range(size):
+        out += h[i : i + n] * _FACTORS[i]
+    return out.view(np.int64)
 
-def _each(shared: list) -> Iterator:
-    """The broadcast blocks' values, one in memory at a time (a single one stays)."""
-    for x in shared:
-        yield x.value
-        if len(shared) > 1:
-            del x._value
 
+def windows_of(benchmark: DataFrame) -> DataFrame:
+    """item, win (words), tokens of every window; an item of fewer words than WINDOW, but not none, is one window."""
 
-def frequencies(docs: DataFrame, vocabularies: list) -> dict[bytes, int]:
-    """In how many documents each word of the benchmark occurs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for whole in batches:
+            for batch in common.slices(iter([whole]), "text"):
+                items, wins, tokens = [], [], []
+                for item, text in zip(batch.column(0).to_pylist(), common.raw(batch, "text"), strict=True):
+                    words = words_of(text)
+                    size = min(SHINGLE, len(words))
+                    own = tokens_of(words, hashes, size) if words else None
+                    for i in range(max(1, len(words) - WINDOW + 1)) if words else ():
+                        win = words[i : i + WINDOW]
+                        items.append(item)
+                        wins.append(win)
+                        tokens.append(own[i : i + len(win) - size + 1])
+                yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(wins, pa.list_(pa.binary())), pa.array(tokens, pa.list_(pa.int64()))], ["item", "win", "tokens"])
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "item string, win array<binary>, tokens array<long>").distinct()
+
+
+def blocks_of(tokens: DataFrame) -> list:
+    """Broadcast sorted arrays of the distinct tokens, of about BLOCK each at most."""
+    tokens = tokens.distinct()
+    n = -(-tokens.count() // BLOCK)
+    parts = (tokens.where(F.pmod(F.xxhash64("token"), F.lit(n)) == i) if n > 1 else tokens for i in range(n))
+    return [tokens.sparkSession.sparkContext.broadcast(np.sort(part.toArrow().column(0).to_numpy())) for part in parts]
+
+
+def _found(own: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in own, places in known) of the tokens that are known."""
+    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    hit = np.flatnonzero(known[at] == own)
+    return hit, at[hit]
+
+
+def frequencies(docs: DataFrame, block, sizes: list[int]) -> DataFrame:
+    """token, n: in how many documents (text) each of the block's tokens occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        for batch in batches:
-            found = [set(words_of(t)) for t in common.raw(batch, "text")]
-            for vocabulary in _each(vocabularies):
-                for x in found:
-                    counts.update(vocabulary & x)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r["word"]): r["n"] for r in counted.toLocalIterator()}
-
-
-def index_of(block: dict[tuple[bytes, ...], list[str | None]], seen: dict[bytes, int]) -> dict[bytes, list[tuple[int, list[bytes], list[str | None]]]]:
-    """For each window's rarest word: where it first stands in the window, the window, its items."""
-    out = defaultdict(list)
-    for window, items in block.items():
-        rarest = min(set(window), key=lambda w: (seen.get(w, 0), w))
-        out[rarest].append((window.index(rarest), list(window), items))
-    return dict(out)
-
-
-def hits(words: list[bytes], index: dict) -> tuple[list[tuple[int, int]], set[str | None]]:
-    """(begin, length) of all windows that occur, and their items."""
-    spans, items, n = [], set(), len(words)
-    for at in [i for i, w in enumerate(words) if w in index]:
-        for offset, window, owners in index[words[at]]:
-            begin = at - offset
-            if begin >= 0 and begin + len(window) <= n and words[begin : begin + len(window)] == window:
-                spans.append((begin, len(window)))
-                items.update(owners)
-    return spans, items
+        known, hashes = block.value, _Hashes()
+        counts = np.zeros(len(known), np.int64)
+        for whole in batches:
+            for batch in common.slices(iter([whole]), "text"):
+                for text in common.raw(batch, "text"):
+                    words = words_of(text)
+                    for size in sizes:
+                        counts[np.unique(_found(tokens_of(words, hashes, size), known)[1])] += 1
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(known[seen]), pa.array(counts[seen])], ["token", "n"])
 
+    return docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
-def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns in keep, then n_words, n_hit, n_items, items_sha256, contaminated, for every row of docs.
 
-    Null texts have no words. Repeated items count once; an item without an id is found but not listed.
+def places(rows: DataFrame, block, sizes: list[int]) -> DataFrame:
+    """rows without text, plus n_words and met: struct<token, at, offset, around>, where the block's tokens begin.
+
+    around are the words that a window with the token there can reach, at their offset.
     """
-    sc = docs.sparkSession.sparkContext
-    vocabularies = [sc.broadcast({w for window in block for w in window}) for block in blocks_of(benchmark)]
-    seen = frequencies(docs, vocabularies) if vocabularies else {}
-    indexes = [sc.broadcast(index_of(block, seen)) for block in blocks_of(benchmark)]
-    new = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean"}
-    rows = docs.select(*(F.col(c) for c in keep if c not in new), F.col("text").cast("string").cast("binary").alias("__text"))
+    kind = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int32()), ("offset", pa.int32()), ("around", pa.list_(pa.binary()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, hashes = block.value if block else np.array([], np.int64), _Hashes()
         for whole in batches:
-            for batch in common.slices(iter([whole]), "__text"):
-                split = [words_of(t) for t in batch.column("__text").to_pylist()]
-                found: list[tuple[list[tuple[int, int]], set[str | None]]] = [([], set()) for _ in split]
-                for index in _each(indexes):
-                    for words, (spans, items) in zip(split, found, strict=True):
-                        more, owners = hits(words, index)
-                        spans += more
-                        items |= owners
-                out = []
-                for words, (spans, items) in zip(split, found, strict=True):
-                    hit = bytearray(len(words) if spans else 0)
-                    for begin, length in spans:
-                        hit[begin : begin + length] = b"\1" * length
-                    names = sorted(x for x in items if x is not None)
-                    out.append((len(words), sum(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(spans)))
-                made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], *new])
-
-    return rows.mapInArrow(run, common.schema_plus(rows.drop("__text"), **new))
+            for batch in common.slices(iter([whole]), "text"):
+                sums, out = [], []
+                for text in common.raw(batch, "text"):
+                    words, met = words_of(text), []
+                    for size in sizes if len(known) else ():
+                        own = tokens_of(words, hashes, size)
+                        for at in _found(own, known)[0].tolist():
+                            first = max(0, at - WINDOW + 1)
+                            met.append({"token": int(own[at]), "at": at, "offset": at - first, "around": words[first : at + WINDOW]})
+                    sums.append(len(words))
+                    out.append(met)
+                kept = batch.drop_columns(["text"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sums, pa.int64()), pa.array(out, kind)], [*kept.schema.names, "n_words", "met"])
+
+    return rows.mapInArrow(run, common.schema_plus(rows.drop("text"), n_words="long", met="array<struct<token:bigint,at:int,offset:int,around:array<binary>>>"))
+
+
+def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """token, place, win: each window's rarest token and where it stands in it; windows with a token that no document has are left out."""
+    each = windows.select("win", F.posexplode("tokens").alias("place", "token")).distinct().join(counts, "token", "left")
+    best = each.groupBy("win").agg(F.min(F.struct("n", "token", "place")).alias("b"), F.count_if(F.col("n").isNull()).alias("absent"))
+    return best.where("absent = 0").select("b.token", "b.place", "win")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns in keep, then n_words, n_hit, n_items, items_sha256, contaminated, for every row of docs.
+
+    Null texts have no words; repeated rows are rows of their own. Repeated items count once; an item without an id is
+    found but not listed. Without items or windows nothing is hit; an empty table gives no rows.
+    """
+    folder = common.scratch(docs.sparkSession, "decontaminate")
+    windows = common.written(windows_of(benchmark), f"{folder}/windows")
+    sizes = [r[0] for r in windows.select(F.least(F.size("win"), F.lit(SHINGLE)).alias("size")).distinct().collect()]  # SHINGLE values at most
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    counts = None
+    for block in blocks_of(windows.select(F.explode("tokens").alias("token"))):
+        part = frequencies(texts, block, sizes)
+        counts = part if counts is None else counts.union(part)
+    counts = counts if counts is not None else docs.sparkSession.createDataFrame([], "token long, n long")
+    wanted = common.written(prefixes(windows, common.written(counts, f"{folder}/counts")), f"{folder}/prefixes")
+
+    rows = docs.select(*(F.col(c).alias(f"__kept_{i}") for i, c in enumerate(keep)), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
+    blocks = blocks_of(wanted.select("token")) or [None]
+    if len(blocks) > 1:  # so that every pass has the same numbers
+        rows = common.written(rows, f"{folder}/numbered")
+    found = [common.written(places(rows, block, sizes), f"{folder}/places-{i}") for i, block in enumerate(blocks)]
+    met = None
+    for part in found:
+        each = part.select("row", F.explode("met").alias("m")).select("row", "m.*")
+        met = each if met is None else met.union(each)
+    begin = F.col("offset") - F.col("place")
+    fits = (begin >= 0) & (begin + F.size("win") <= F.size("around"))
+    same = F.slice("around", F.greatest(begin, F.lit(0)) + 1, F.size("win")) == F.col("win")
+    hits = common.written(met.join(wanted, "token").where(fits).where(same).select("row", (F.col("at") - F.col("place")).alias("begin"), "win"), f"{folder}/hits")
+    covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("begin", F.size("win").alias("n"))), lambda s: F.sequence(s["begin"], s["begin"] + s["n"] - 1))))
+    n_hit = hits.groupBy("row").agg(F.size(covered).cast("long").alias("n_hit"))
+    items = hits.select("row", "win").distinct().join(windows.select("win", "item"), "win").where("item IS NOT NULL").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    facts = n_hit.join(items, "row", "left")
+    none = F.lit(0).cast("long")
+    return found[0].join(facts, "row", "left").select(
+        *(F.col(f"__kept_{i}").alias(c) for i, c in enumerate(keep)),
+        "n_words",
+        F.coalesce("n_hit", none).alias("n_hit"),
+        F.coalesce(F.size("items").cast("long"), none).alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
+    )
