@@ -91,10 +91,11 @@ def test_top_k(spark):
     points = np.round(rng.normal(size=(700, 16)), 1)
     points[100:140] = points[100]
     rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)] + [(2000, None), (2020, [1.0, None]), (2040, [float("nan")] * 16), (2060, [float("inf")] + [0.0] * 15), (2080, [1.0, 2.0])]
-    for block in (8192, 7):
-        topk.QUERIES, was = block, topk.QUERIES
+    for block in (topk.QUERIES, 7):
+        was = topk.QUERIES, topk.ROWS, topk.LEAF
+        topk.QUERIES, topk.ROWS, topk.LEAF = (block, block * 10, block // 2 + 1)
         got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 20, 20).collect()]
-        topk.QUERIES = was
+        topk.QUERIES, topk.ROWS, topk.LEAF = was
         ids = np.array([*range(700), 2080])
         v = np.floor(64 * np.vstack([points.astype(np.float32), np.array([[1.0, 2.0] + [0.0] * 14], np.float32)]).astype(np.float64)).astype(np.int64)
         want = []
@@ -105,6 +106,28 @@ def test_top_k(spark):
     assert topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").limit(0), 20, 20).count() == 0
 
 
+def test_cover_tree():
+    """Nesting, covering and separation, on clustered and on evenly spread points, with repeated ones."""
+    rng = np.random.default_rng(4)
+    for points in (rng.integers(-50, 50, (40, 8)).repeat(30, axis=0) * 20 + rng.integers(-6, 7, (1200, 8)), rng.integers(-999, 999, (900, 3)), np.zeros((700, 4), np.int64)):
+        tree, inner = topk.CoverTree(np.arange(len(points)), points), 0
+        assert sorted(tree.ids) == list(range(len(points)))
+        for node, children in enumerate(tree.children):
+            own = tree.points[tree.begin[node] : tree.end[node]].astype(float)
+            far = np.sqrt(((own - tree.centre[node]) ** 2).sum(axis=1))
+            assert far.max() <= tree.radius[node] + 1e-9 and (far == 0).any()
+            if children:
+                inner += 1
+                assert tree.radius[node] <= 2.0 ** tree.level[node]
+                centres = np.array([tree.centre[c] for c in children])
+                assert (centres == tree.centre[node]).all(axis=1).any()
+                assert all(tree.radius[c] <= 2.0 ** (tree.level[node] - 1) for c in children)
+                d = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2)) + np.eye(len(centres)) * 1e9
+                assert d.min() > 2.0 ** (tree.level[node] - 1)
+                assert [tree.begin[node], *(tree.end[c] for c in sorted(children, key=lambda c: tree.begin[c]))][-1] == tree.end[node]
+        assert inner or len(points) == 700
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against what a plain version keeps; then run() against the stages."""
     pytest.importorskip("public_tokenizers")

@@ -1,15 +1,20 @@
 """Exact top-k search by inner product: dual-tree search over cover trees.
 
-Trees are built of nested nets: a node's points are divided among FAN of them picked farthest-first, each to the nearest,
-and every node knows its covering radius. Queries come in blocks of QUERIES, each one tree, broadcast with that bound;
-each task indexes its rows in blocks of ROWS and descends pairs of nodes together. A pair is dropped when the most that
-any of its inner products can be (from centres, covering radii and norms) is below the worst k-th score of the queries
-there. Those start from the scores against a bounded sample, so dropping begins at once. Every row is indexed and every
-answer is exact; ties go to the smaller vec_id.
+Vectors are grouped by the nearest of some points of a bounded sample, one for each ROWS vectors and CENTRES at most; groups
+are cut into blocks of at most about ROWS rows and QUERIES queries, each with a cover tree, made once and written. A table of pairs of blocks is joined with both, and
+each task descends a pair of trees together. A pair of blocks or of nodes is dropped when the most that any of its inner
+products can be (from centres, covering radii and norms) is below the worst k-th score of the queries there. Those start
+from scores against the sample, and grow by a first pass over the pairs of the same group, before all other pairs. Every
+row is indexed and every answer is exact; ties go to the smaller vec_id.
+
+A cover tree's node of level l covers its points within 2^l; its children are points of it, itself among them, more than
+2^(l-1) apart, and cover it within that. Where such a net would hold much of a node's points itself, or a node has LEAF
+points or fewer, levels below are left out and the node is a leaf.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,46 +22,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF, FAN, QUERIES, ROWS, SAMPLE = 512, 8, 8192, 32_768, 2048
+from tidemark.llm import common
+
+LEAF, DENSE, QUERIES, ROWS, SAMPLE, CENTRES = 256, 8, 4096, 16_384, 2048, 256
 NONE = np.iinfo(np.int64).min
+FITS = float(1 << 62)
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id, v: floor(64 * x) of each component; vectors that are null or hold null or non-finite components are left out."""
+    """vec_id, v: floor(64 * x) of each component; vectors that are null or hold null or non-finite components are left out.
+
+    So are those whose squared norm doesn't fit 62 bits: all scores of the others fit 64.
+    """
     x = F.col("embedding").cast("array<double>")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * 64).cast("long")).alias("v"))
+    small = F.aggregate(x, F.lit(0.0), lambda acc, c: acc + F.floor(c * 64).cast("double") * F.floor(c * 64).cast("double")) < FITS
+    kept = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(F.when(fine, F.forall(x, lambda c: F.abs(c) < 2.0**25) & small).otherwise(False))
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * 64).cast("long")).alias("v"))
+
+
+def net(real: np.ndarray, first: int, radius: float, most: int) -> tuple[list[int], np.ndarray] | None:
+    """Centres (first one of them) more than radius apart that cover all points within it, and each point's; None beyond most."""
+    owner, open_, centres, at = np.full(len(real), -1), np.arange(len(real)), [], first
+    while True:
+        near = ((real[open_] - real[at]) ** 2).sum(axis=1) <= radius * radius
+        owner[open_[near]] = len(centres)
+        centres.append(at)
+        open_ = open_[~near]
+        if not len(open_):
+            return centres, owner
+        if len(centres) >= most:
+            return None
+        at = int(open_[0])
 
 
 class CoverTree:
-    """Points in node order; for each node: its run of points, centre, covering radius, children."""
+    """Points in node order; for each node: its run of points, level, centre (a point of it), covering radius, children."""
 
     def __init__(self, ids: np.ndarray, points: np.ndarray):
-        order, todo = np.arange(len(ids)), [(0, len(ids), -1)]
-        self.begin, self.end, self.centre, self.radius, self.children = [], [], [], [], []
-        real = points.astype(np.float64)
+        order, real = np.arange(len(ids)), points.astype(np.float64)
+        self.begin, self.end, self.level, self.centre, self.radius, self.children = [], [], [], [], [], []
+        todo = [(0, len(ids), 0, None, -1)] if len(ids) else []
         while todo:
-            lo, hi, parent = todo.pop()
-            node, mine = len(self.begin), real[order[lo:hi]]
-            centre = mine.mean(axis=0)
-            self.begin.append(lo), self.end.append(hi), self.centre.append(centre), self.children.append([])
-            self.radius.append(float(np.sqrt(((mine - centre) ** 2).sum(axis=1).max())))
+            lo, hi, centre, level, parent = todo.pop()  # the centre is a point's place in points
+            mine = real[order[lo:hi]]
+            reach = float(np.sqrt(((mine - real[centre]) ** 2).sum(axis=1).max()))
+            level = level if level is not None else int(np.ceil(np.log2(reach))) if reach else 0
+            node = len(self.begin)
+            for held, x in ((self.begin, lo), (self.end, hi), (self.level, level), (self.centre, real[centre]), (self.radius, reach), (self.children, [])):
+                held.append(x)
             if parent >= 0:
                 self.children[parent].append(node)
-            if hi - lo <= LEAF or self.radius[-1] == 0:
+            if hi - lo <= LEAF or reach == 0:
+                continue
+            below = min(level, int(np.ceil(np.log2(reach)))) - 1
+            while (found := net(mine, int(np.flatnonzero(order[lo:hi] == centre)[0]), 2.0**below, (hi - lo) // DENSE)) and len(found[0]) == 1:
+                below -= 1
+            if found is None:
                 continue
-            nearest, owner, pick = np.full(hi - lo, np.inf), np.zeros(hi - lo, np.int64), int(((mine - centre) ** 2).sum(axis=1).argmax())
-            for f in range(FAN):
-                d = ((mine - mine[pick]) ** 2).sum(axis=1)
-                closer = d < nearest
-                owner[closer], nearest[closer] = f, d[closer]
-                pick = int(nearest.argmax())
-                if nearest[pick] == 0:
-                    break
+            self.level[node] = below + 1  # levels between have this node only
+            centres, owner = found
+            places = order[lo:hi][centres]
             by = np.argsort(owner, kind="stable")
             order[lo:hi] = order[lo:hi][by]
             ends = lo + np.cumsum(np.bincount(owner))
-            todo += [(int(a), int(b), node) for a, b in zip([lo, *ends[:-1]], ends, strict=True) if b > a]
+            todo += [(int(x), int(y), int(at), below, node) for x, y, at in zip([lo, *ends[:-1]], ends, places, strict=True)]
         self.ids, self.points, self.norm = ids[order], points[order], [float(np.sqrt((c * c).sum())) for c in self.centre]
 
 
@@ -118,62 +148,119 @@ def search(queries: CoverTree, data: CoverTree, best: Best) -> None:
         descend(0, np.array([0]))
 
 
-def _matrix(lists: list[list[int]], width: int) -> np.ndarray:
-    out = np.zeros((len(lists), width), np.int64)
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x[:width]
+def _points(lists: pa.ListArray, width: int) -> np.ndarray:
+    """A matrix of vectors; shorter ones are padded with zeros."""
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.offsets)
+    sizes = np.diff(ends)
+    if (sizes == width).all():
+        return flat.reshape(-1, width).astype(np.int64)
+    out = np.zeros((len(sizes), width), np.int64)
+    for i, (a, b) in enumerate(zip(ends[:-1] - ends[0], ends[1:] - ends[0], strict=True)):
+        out[i, : b - a] = flat[a:b]
     return out
 
 
+def grouped(rows: DataFrame, sample: np.ndarray, n: int) -> DataFrame:
+    """rows plus group: the nearest of n points of the sample, picked farthest first."""
+    real = sample.astype(np.float64)
+    nearest, picked = np.full(len(real), np.inf), [0]
+    while len(picked) < min(n, len(real)):
+        nearest = np.minimum(nearest, ((real - real[picked[-1]]) ** 2).sum(axis=1))
+        picked.append(int(nearest.argmax()))
+    centres = real[picked]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _points(batch.column("v"), centres.shape[1]).astype(np.float64)
+            group = ((centres * centres).sum(axis=1)[None, :] - 2 * (x @ centres.T)).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group.astype(np.int32))], [*batch.schema.names, "group"])
+
+    return rows.mapInArrow(run, "vec_id long, v array<long>, group int")
+
+
+def blocks(rows: DataFrame, size: int, k: int, sample: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """block, group, centre, radius, norm, floor, tree: rows of a group in blocks of about size. With a sample, they are queries."""
+    counts = rows.groupBy("group").agg(F.ceil(F.count("*") / size).alias("parts"))  # CENTRES rows
+    dealt = rows.join(F.broadcast(counts), "group").withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")))
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lists = table.column("v").chunk(0)
+        ids, width = table.column("vec_id").to_numpy(), int(np.diff(np.asarray(lists.offsets)).max())
+        tree = CoverTree(ids, _points(lists, max(width, sample[1].shape[1]) if sample else width))
+        best = Best(len(ids), k, np.full(len(ids), NONE))
+        if sample:
+            search(tree, CoverTree(*sample), best)
+        out = {"block": [f"{table.column('group')[0]}-{table.column('part')[0]}"], "group": [table.column("group")[0].as_py()], "centre": [tree.centre[0].tolist()], "radius": [tree.radius[0]], "norm": [tree.norm[0]], "floor": [int(best.floor.min())], "tree": [pickle.dumps((tree, best.floor))]}
+        return pa.table(out, schema=pa.schema([("block", pa.string()), ("group", pa.int32()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), ("norm", pa.float64()), ("floor", pa.int64()), ("tree", pa.binary())]))
+
+    return dealt.select("group", "part", "vec_id", "v").groupBy("group", "part").applyInArrow(pack, "block string, group int, centre array<double>, radius double, norm double, floor long, tree binary")
+
+
+def searched(pairs: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: the best of each pair of blocks (queries, floors, data); floors: struct<query_id, floor>, or null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (queries, floor), (data, _) = (pickle.loads(batch.column(c)[i].as_py()) for c in ("queries", "data"))
+                if known := batch.column("floors")[i].as_py():
+                    better = {x["query_id"]: x["floor"] for x in known}
+                    floor = np.maximum(floor, [better.get(q, NONE) for q in queries.ids.tolist()])
+                best = Best(len(queries.ids), k, floor)
+                search(queries, data, best)
+                q, at = np.nonzero(best.score != NONE)
+                yield pa.RecordBatch.from_arrays([pa.array(queries.ids[q]), pa.array(best.id[q, at]), pa.array(best.score[q, at])], ["query_id", "vec_id", "score"])
+
+    return pairs.select("queries", "floors", "data").mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def top_k(vectors: DataFrame, every: int, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, its k best other rows.
 
     Shorter vectors count as padded with zeros. Repeated vec_ids are rows of their own, except that a row is never a
-    candidate of a query with its own vec_id. Scores are 64-bit integers.
+    candidate of a query with its own vec_id, and of repeated query ids the smallest vector asks. Scores are 64-bit
+    integers. A table without vectors or without queries gives no rows.
     """
-    spark = vectors.sparkSession
-    rows = quantised(vectors)
-    width = rows.agg(F.max(F.size("v"))).collect()[0][0] or 0
-    sample = [(r["vec_id"], r["v"]) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
-    sample_ids, sample_points = np.array([i for i, _ in sample], np.int64), _matrix([v for _, v in sample], width)
-
-    def against(tree: CoverTree) -> DataFrame:
-        best = Best(len(tree.ids), k, np.full(len(tree.ids), NONE))
-        if len(np.unique(sample_ids)) == len(sample_ids):
-            search(tree, CoverTree(sample_ids, sample_points), best)
-        shared = spark.sparkContext.broadcast((tree, best.floor))  # QUERIES vectors at most
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            queries, floor = shared.value
-            best = Best(len(queries.ids), k, floor)
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROWS):
-                    part = batch.slice(at, ROWS)
-                    lists = part.column("v")
-                    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.offsets)
-                    sizes = np.diff(ends)
-                    points = flat.reshape(-1, width) if (sizes == width).all() else _matrix([flat[a - ends[0] : b - ends[0]] for a, b in zip(ends[:-1], ends[1:], strict=True)], width)
-                    search(queries, CoverTree(part.column("vec_id").to_numpy(), points.astype(np.int64)), best)
-            q, at = np.nonzero(best.score != NONE)
-            yield pa.RecordBatch.from_arrays([pa.array(queries.ids[q]), pa.array(best.id[q, at]), pa.array(best.score[q, at])], ["query_id", "vec_id", "score"])
-
-        return rows.mapInArrow(run, "query_id long, vec_id long, score long")
-
-    found, block = None, []
-
-    def flush() -> None:
-        nonlocal found, block
-        part = against(CoverTree(np.array([i for i, _ in block], np.int64), _matrix([v for _, v in block], width)))
-        found, block = part if found is None else found.union(part), []
-
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.first("v").alias("v")) if width else rows.limit(0)
-    for r in asked.toLocalIterator():  # QUERIES at a time
-        block.append((r["vec_id"], r["v"]))
-        if len(block) == QUERIES:
-            flush()
-    if block:
-        flush()
-    if found is None:
-        return rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark, folder = vectors.sparkSession, common.scratch(vectors.sparkSession, "topk")
+    rows = common.written(quantised(vectors), f"{folder}/rows")
+    width, n = rows.agg(F.max(F.size("v")), F.count("*")).collect()[0]
+    if not width:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    picked = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).toArrow().combine_chunks()  # SAMPLE vectors
+    sample = picked.column("vec_id").to_numpy(), _points(picked.column("v").chunk(0), width)
+    rows = common.written(grouped(rows, sample[1], min(CENTRES, -(-n // ROWS))), f"{folder}/grouped")
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min(F.struct("v", "group")).alias("x")).select("vec_id", "x.*")
+    data = common.written(blocks(rows, ROWS, k, None), f"{folder}/data")
+    queries = common.written(blocks(asked, QUERIES, k, sample), f"{folder}/queries")
+
+    # every pair of blocks: of each stated query block with all data blocks, by what is known of each
+    numbered = queries.select("block", "group", "centre", "radius", "norm", "floor").withColumn("all", F.lit(0))
+    known = data.select(F.col("block").alias("data_block"), F.col("group").alias("data_group"), F.col("centre").alias("c"), F.col("radius").alias("r"), F.col("norm").alias("n")).withColumn("all", F.lit(0))
+    pairs = numbered.join(known, "all")
+    dot = F.aggregate(F.zip_with("centre", "c", lambda x, y: F.coalesce(x, F.lit(0.0)) * F.coalesce(y, F.lit(0.0))), F.lit(0.0), lambda acc, x: acc + x)
+    spread = F.col("norm") * F.col("r") + F.col("radius") * (F.col("n") + F.col("r"))
+    most = dot + spread + 1e-6 * (1 + F.abs(dot) + spread)
+    pairs = common.written(pairs.select("block", "data_block", "floor", most.alias("most"), (F.col("group") == F.col("data_group")).alias("own")), f"{folder}/pairs")
+
+    def round_(chosen: DataFrame, floors: DataFrame | None) -> DataFrame:
+        trees = chosen.join(queries.select("block", F.col("tree").alias("queries")), "block").join(data.select(F.col("block").alias("data_block"), F.col("tree").alias("data")), "data_block")
+        trees = trees.join(floors, "block", "left") if floors is not None else trees.withColumn("floors", F.lit(None).cast("array<struct<query_id:bigint,floor:bigint>>"))
+        return searched(trees, k)
+
+    near = common.written(best_of(round_(pairs.where("own").select("block", "data_block"), None), k), f"{folder}/near")
+    block_of = near.where(f"rank = {k}").select("query_id", F.col("score").alias("floor"))
+    homes = asked.select(F.col("vec_id").alias("query_id"), "group", F.col("v"))
+    parts = asked.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))  # CENTRES rows
+    homes = homes.join(F.broadcast(parts), "group").select("query_id", F.concat_ws("-", "group", F.pmod(F.xxhash64("query_id", "v"), F.col("parts"))).alias("block"))
+    floors = homes.join(block_of, "query_id", "left").groupBy("block").agg(F.collect_list(F.when(F.col("floor").isNotNull(), F.struct("query_id", "floor"))).alias("floors"), F.min(F.coalesce("floor", F.lit(int(NONE)))).alias("worst"))
+    floors = common.written(floors, f"{folder}/floors")  # a row per block
+    rest = pairs.where("NOT own").join(floors.select("block", "worst"), "block").where(F.col("most") >= F.greatest("floor", "worst").cast("double")).select("block", "data_block")
+    far = round_(rest, floors.select("block", "floors"))
+    found = near.select("query_id", "vec_id", "score").union(far)
+    return best_of(found, k).select("query_id", "rank", "vec_id", "score")
