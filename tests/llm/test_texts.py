@@ -110,6 +110,35 @@ def test_ownership(spark):
     assert (got[9]["n_live"], got[9]["n_example"]) == (2, 0) and "owned:" in got[9]["spans"]
 
 
+def test_ownership_by_brute_force(spark):
+    """Verdicts and owned spans against plain counting of owners and repositories."""
+    rng = random.Random(9)
+    values = [f"password=pass{i}word" for i in range(8)] + [f"Zk{i}QwErTy0123456789abcd{i}XYZ" for i in range(8)]
+    rows = []
+    for i in range(160):
+        picked = [values[0], values[8]] if i < 30 else rng.sample(values[1:8] + values[9:], rng.randrange(3))
+        source = "one" if i < 30 else rng.choice(["a", "b", "c", "d", None]) if rng.random() < 0.5 else f"s{i % 40}"
+        if i >= 30 and values.index(picked[0] if picked else values[1]) % 2 == 0:
+            source = "only"
+        rows.append((i, " words ".join(["start", *picked, "end"]), source, "en"))
+    rows += rows[40:45] + [(300 + i, f"a Zku{i % 3}QwErTy0123456789abcdXYZ b", "solo", "en") for i in range(6)]
+    owners, repositories = {}, {}
+    found = [[(a, k, t[a:b] if k != "assign" else t[a:b].split("=")[1], b) for a, _, b, k in secret_spans(t)] + [(m.start(), "owned", m.group(), m.end()) for m in re.finditer(r"Zk\w+", t)] for _, t, _, _ in rows]
+    for (i, _, source, _), spans in zip(rows, found, strict=True):
+        for _, _, v, _ in spans:
+            owners.setdefault(v, set()).add(source)
+            repositories.setdefault(v, set()).add((source, i))
+    live = {v for v in owners if len(owners[v]) < 3 and len(repositories[v]) < 20}
+    got = sorted(((r["doc_id"], r["spans"], r["n_live"], r["n_example"]) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()))
+    want, kinds = [], set()
+    for (i, *_), spans in zip(rows, found, strict=True):
+        kept = sorted(s for s in spans if s[1] != "owned" or s[2] in live and len(owners[s[2]]) == 1)
+        kinds |= {(s[1], s[2] in live) for s in kept}
+        want.append((i, ",".join(f"{k}:{a}:{b}" for a, k, _, b in kept), sum(s[2] in live for s in kept), sum(s[2] not in live for s in kept)))
+    assert got == sorted(want)
+    assert kinds == {("assign", True), ("assign", False), ("owned", True)}
+
+
 def test_disclosing_terms(spark):
     rows = [(i, f"plain words about nothing {i}") for i in range(200)] + [(500 + i, f"note {i} ask zorblax at secret.person@mail.example.com today") for i in range(3)]
     got = {r["doc_id"]: r for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership, in DataFrame operations only.
 
 Candidates are found by patterns in every whole text. Each candidate value's hash is counted over distinct repositories
-(documents) and owners (sources): a value that EXAMPLE_OWNERS or more owners hold is a widely copied example, one that fewer hold
-looks live. The method also adds spans of kind `owned`: long mixed tokens outside all base spans that one owner alone has.
+(documents) and owners (sources). A value that EXAMPLE_OWNERS or more owners hold is a widely copied example, and so is one
+that EXAMPLE_REPOSITORIES or more repositories hold, be they of one owner; any other looks live. The method also adds spans
+of kind `owned`: long mixed tokens outside all base spans that look live and that one owner alone has.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import common
 from tidemark.llm.spans import listed, tagged, with_spans
 
-EXAMPLE_OWNERS = 3
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 20
 #: The base kinds' patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # AKIA[A-Z0-9]+ of 20 characters or more: a shorter run has no longer one inside
@@ -48,19 +49,21 @@ def ownership(found: DataFrame) -> DataFrame:
 def judged(candidates: DataFrame, folder: str) -> DataFrame:
     """row, spans: struct<start, rank, end, kind, live> of candidates (row, doc_id, source, base, extra) that have any.
 
-    Candidates of kind owned stay only with a single owner. Ownership is written to folder first: a join of plain exchanges
+    Candidates of kind owned stay only if they look live and have a single owner. Ownership is written to folder first: a join of plain exchanges
     is one whose hot values are split at run time.
     """
     each = candidates.select("row", "doc_id", "source", F.explode(F.concat("base", "extra")).alias("s")).select("row", "doc_id", "source", "s.start", "s.rank", "s.end", "s.kind", F.sha2("s.value", 256).alias("value_hash"))
     owned = common.written(ownership(each.select("value_hash", "doc_id", "source")), f"{folder}/ownership")
-    known = each.join(owned, "value_hash").where("kind <> 'owned' OR owners = 1")
-    return known.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind", (F.col("owners") < EXAMPLE_OWNERS).alias("live")))).alias("spans"))
+    live = (F.col("owners") < EXAMPLE_OWNERS) & (F.col("repositories") < EXAMPLE_REPOSITORIES)
+    known = each.join(owned, "value_hash").withColumn("live", live).where("kind <> 'owned' OR owners = 1 AND live")
+    return known.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind", "live"))).alias("spans"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text, source): counts, digest of base spans, all spans, n_live and n_example.
 
-    A null text is empty; a null source is one owner. Repeated rows are rows of their own but one repository.
+    A null text is empty; a null source is one owner. Repeated rows are rows of their own but one repository. An empty
+    table gives no rows.
     """
     rows = with_candidates(docs.select("doc_id", F.col("text").cast("string").alias("text"), "source"))
     folder = common.scratch(docs.sparkSession, "secrets")
