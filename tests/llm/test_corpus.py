@@ -61,7 +61,7 @@ def test_simhash(spark, documents, odd):
     assert simhash.near_duplicates(documents(["x"]).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("large", [20_000, 5])
+@pytest.mark.parametrize("large", [20_000, 5, 2])
 def test_links_of_crowded_fingerprints(spark, large, monkeypatch):
     monkeypatch.setattr(simhash, "LARGE", large)
     rng, values = random.Random(5), set()
@@ -157,7 +157,26 @@ def test_pipeline(spark, tmp_path):
 
     ids = [e.ids for e in Tokenizer.from_file(stages.tokenizer(stages.BYTE_BPE)).encode_batch([r["text"] for r in out.values()], add_special_tokens=False)]
     assert all(np.frombuffer(r["token_ids"], "<u4").tolist() == x for r, x in zip(out.values(), ids, strict=True))
-    assert all(list(f(spark, docs.limit(0), str(tmp_path)).columns) == docs.columns for _, f in corpus_pipeline.STAGES[1:-1])
+    assert all(list(f(spark, docs.limit(0), str(tmp_path)).columns) == docs.columns and f(spark, docs.limit(0), str(tmp_path)).count() == 0 for _, f in corpus_pipeline.STAGES[:-1])
+
+
+def test_clashing_columns_survive(spark, tmp_path):
+    """Columns named like an operator's own keep their values and types in every stage."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    names = "score lang_pred rejected n_words n_hit n_items items_sha256 contaminated base extra row spans n_tokens token_ids decoded component fp __text __live key".split()
+    texts = [" ".join(f"{a}{b}{i}" for a in "lorem ipsum dolor amet".split() for b in "abcdefgh") + (" password=s3cretvalue99 end" if i == 3 else "") for i in range(12)] + [None, ""]
+    rows = [(i, t, "aa" if i % 2 else "bb", "src", *(f"{n}-{i}" for n in names)) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    spark.createDataFrame([(1, "nothing of the sort")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path)).collect()
+        assert out, name
+        for r in out:
+            kept = [n if name != "bpe_encoding" or n not in ("n_tokens", "token_ids") else f"{n}_input" for n in names]
+            assert [r[k] for k in kept] == [f"{n}-{r['doc_id']}" for n in names], name
 
 
 def test_near_dedup_reaches_similarity(spark, documents, odd):

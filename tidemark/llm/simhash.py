@@ -1,7 +1,8 @@
 """SimHash near-duplicates: fingerprints, and links at RADIUS or fewer differing bits by BK-trees.
 
 Two fingerprints that differ in at most 3 bits agree in one of four 16-bit blocks. Every distinct fingerprint goes to its
-four (block, value) groups; a group too large for one tree is split again by blocks of the remaining bits. Each group is
+four (block, value) groups; a group too large for one tree is split again by blocks of the remaining bits, and what is too
+large still, by pairs of blocks of fingerprints. Each group is
 a BK-tree: children are keyed by their Hamming distance to the parent, and a search follows only edges within RADIUS of
 the query's distance. Trees travel with their shard of groups rather than being broadcast, as fingerprints have no bound.
 A shard returns a spanning forest of its links, so its output is no larger than its input.
@@ -127,6 +128,15 @@ def forest_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": nodes[moved], "b": nodes[root[moved]]})
 
 
+def halved(rows: DataFrame) -> DataFrame:
+    """rows (fp, block, value, bucket) with buckets of over LARGE as pairs of blocks of theirs, so that each is a bounded task and no pair is lost."""
+    sizes = rows.groupBy("bucket").count().where(f"count > {LARGE}")
+    parts = F.ceil(2 * F.col("count") / LARGE).cast("int")
+    own = F.pmod(F.xxhash64("fp"), parts)
+    crowded = rows.join(sizes, "bucket").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), parts - 1)))
+    crowded = crowded.select("fp", "block", "value", F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"))
+    return rows.join(sizes, "bucket", "left_anti").select("fp", "block", "value", "bucket").unionByName(crowded)
+
 
 def linked(fps: DataFrame) -> DataFrame:
     """Edges (a, b) that join all of fps (distinct fp) at RADIUS or fewer bits."""
@@ -142,7 +152,7 @@ def linked(fps: DataFrame) -> DataFrame:
         for b in range(0, 64, width):
             part = hot.where(F.col("block") == b).select("fp", "block", "value", F.explode(F.array(*(F.xxhash64("block", "value", F.lit(i), rotated(at)) for i, at in enumerate(others(b))))).alias("bucket"))
             split = part if split is None else split.unionByName(part)
-        rows = rows.join(large, ["block", "value"], "left_anti").unionByName(split)
+        rows = rows.join(large, ["block", "value"], "left_anti").unionByName(halved(split))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-BLOCKS * fps.count() // 100_000))
     return rows.select("fp", "bucket", F.pmod("bucket", F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(lambda t: forest_links(t.select(["bucket", "fp"])), "a long, b long")
 
