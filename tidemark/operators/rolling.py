@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.history import earlier, order, up_to_now
+from tidemark.operators.history import earlier, kernel, order, up_to_now
 
 MONTH, WEEK, BUCKET = 720.0, 168.0, 24.0
 
@@ -16,16 +16,13 @@ def _start(value: Column, hours: float) -> Column:
     return F.when(F.col("t").isNotNull(), F.min(value).over(reach))
 
 
-def rolling(df: DataFrame) -> DataFrame:
-    """u_open_cnt_30d, u_open_rate_30d, u_click_rate_30d, both velocities, u_cadence_std_30d.
-
-    A window's count and sums are differences of running totals, which never fall, so a range frame's least total is the
-    total at its start; equal times and the current row need no special care.
-    """
-    kept = set(df.columns)
+def _running() -> dict[str, Column]:
     before = lambda c: F.coalesce(F.sum(c).over(earlier()), F.lit(0))
     gap = F.col("t") - F.lag("t").over(order())
-    df = df.withColumns({"__rn": F.row_number().over(order()), "__open": before("is_opened"), "__click": before("is_clicked"), "__before": F.lag("t").over(order()), "__gap": F.coalesce(gap * gap, F.lit(0.0))})
+    return {"__rn": F.row_number().over(order()), "__open": before("is_opened"), "__click": before("is_clicked"), "__before": F.lag("t").over(order()), "__gap": F.coalesce(gap * gap, F.lit(0.0))}
+
+
+def _looked_back(df: DataFrame) -> DataFrame:
     df = df.withColumn("__gaps", F.sum("__gap").over(up_to_now()))
     starts = {f"__{c}_{n}": _start(F.col(f"__{c}"), h) for n, h in (("30", MONTH), ("7", WEEK)) for c in ("rn", "open", "click")}
     starts |= {"__t_30": _start(F.col("t"), MONTH), "__gaps_30": _start(F.col("__gaps"), MONTH), "__sq_to": F.lag("__gaps").over(order())}
@@ -47,8 +44,13 @@ def rolling(df: DataFrame) -> DataFrame:
         "u_click_velocity_7d_30d": speed("click"),
         "u_cadence_std_30d": F.when((m > 0) & F.col("t").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), variance))).otherwise(0.0),
     }
-    df = df.withColumns(out)
-    return df.select([c for c in df.columns if not c.startswith("__") or c in kept])
+    return df.withColumns(out).drop("__gaps", *_running(), *starts)
+
+
+#: u_open_cnt_30d, u_open_rate_30d, u_click_rate_30d, both velocities, u_cadence_std_30d. A window's count and sums are
+#: differences of running totals, which never fall, so a range frame's least total is the total at its start; equal times
+#: and the current row need no special care.
+rolling = kernel(_running, after=_looked_back)
 
 
 def global_open_rate(df: DataFrame) -> DataFrame:

@@ -44,11 +44,9 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def state(df: DataFrame, tau: dict[str, float] | None = None, strict_time: bool = False) -> DataFrame:
     """All per-client state, without imputation."""
-    df = history.distinct_campaigns(df)
-    df = history.last_purchase(history.recencies(history.previous_flags(history.counters(df)), strict_time))
-    df = history.channel_recency(history.cooldown(history.fatigue(history.channel_times(df), tau)))
-    df = similarity.path_alignment(similarity.like_last_success(history.topics(df)))
-    return rolling.rolling(df).withColumns(calendar())
+    kernels = (history.campaign_count, history.counters, history.previous_flags, history.recency(strict_time), history.last_purchase, history.channel_times, history.topics, similarity.like_last_success, similarity.path_alignment, rolling.rolling)
+    df = history.applied(history.first_campaigns(df), *kernels)
+    return history.channel_recency(history.cooldown(history.fatigue(df, tau))).withColumns(calendar())
 
 
 def stated(df: DataFrame, tau: dict[str, float] | None = None, strict_time: bool = False) -> DataFrame:
