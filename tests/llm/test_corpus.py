@@ -12,6 +12,16 @@ import xxhash
 from tidemark.llm import common, graph, resemblance, simhash, stages, suffix_dedup, topk
 
 
+def test_suffix_dedup_of_long_texts(spark):
+    """A passage of 900,000 bytes in texts of several pieces, at other distances from where pieces end."""
+    rng = random.Random(6)
+    noise = lambda n: rng.randbytes(n // 2).hex()
+    a = noise(1_500_000)
+    texts = [a, noise(300_000) + "z" + a[500_000:1_400_000] + "z" + noise(1_000_000), noise(2_200_000)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (1_500_000, 900_000, 1), 1: (2_200_002, 900_000, 1), 2: (2_200_000, 0, 0)}
+
+
 def test_suffix_dedup(spark, documents, odd):
     rng = random.Random(8)
     base = ["".join(rng.choice("abcde ") for _ in range(700)) for _ in range(4)]
@@ -21,6 +31,7 @@ def test_suffix_dedup(spark, documents, odd):
         at = rng.randrange(len(t) + 1)
         texts.append(t[:at] + "Z" + t[at + 1 :] if rng.random() < 0.5 else t)
     got = {r["doc_id"]: r for r in suffix_dedup.dedup(documents(texts)).collect()}
+    cut = {r["doc_id"]: r for r in suffix_dedup.deduplicated(documents(texts)).collect()}
     seen = Counter(b[i : i + 400] for t in texts for b in [(t or "").encode()] for i in range(len(b) - 399))
     for n, t in enumerate(texts):
         b = (t or "").encode()
@@ -31,6 +42,8 @@ def test_suffix_dedup(spark, documents, odd):
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
         assert tuple(got[100 + n])[1:] == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        r = cut[100 + n]
+        assert b"".join([b[x:y] for x, y in zip([0, *(s["end"] for s in r["spans"])], [*(s["start"] for s in r["spans"]), len(b)], strict=True)]) == kept and (bytes(r["kept"]) if r["kept"] is not None else b) == kept
     assert suffix_dedup.dedup(documents(["x"]).limit(0)).count() == 0
 
 

@@ -1,16 +1,19 @@
 """Repeated byte strings by bucket-pointer refinement of a sampled suffix array.
 
-A suffix's bucket at depth q is named by a 64-bit identifier of its first q bytes. Depths are refined by the identifiers
-of later offsets: depth 2q's is made of depth q's at the suffix and at q bytes on, reused from single bytes up to LENGTH.
-Names depend on content alone, so every task gives the same ones; only the buckets' sizes are global.
-
-1. Anchors: each start of a LENGTH-byte string points to the least of the half-length buckets inside it, so equal strings
-   point to equal buckets at equal distances. A bucket that occurs once ends there.
-2. An anchor's class is its run of starts with all bytes that they cover. Starts of a class that occurs twice repeat.
+A suffix's bucket is named by a 64-bit identifier of its first bytes. A deeper one is named by its buckets at the suffix and
+at later offsets: depth 2q by depth q there and q bytes on, down to single bytes, each made once and used again. Names depend
+on content alone, so every task gives the same ones; only which buckets have several members is global.
+
+1. Sampled suffixes: each LENGTH-byte string points to the least GRAM-byte bucket in its first half, its anchor, so equal
+   strings point to equal anchors at equal distances. Anchors are sorted into these buckets; one alone in its bucket ends there.
+2. Buckets of two or more are refined by the bucket GRAM bytes on, so to LENGTH / 2 bytes, and again by the anchor's class:
+   its run of starts with all bytes that they cover. Starts of a class that occurs twice in a bucket repeat.
 3. What is left lies near the ends of repeated passages: a class that occurs once, in a bucket of several classes. Only
    its starts, and those of one member of each other class of the bucket, are refined to LENGTH and counted one by one.
 
-Exact but for collisions of 64-bit identifiers.
+Exact but for collisions: classes are compared by 64 bits inside a bucket of 128, single starts by 96 bits.
+
+Long texts are worked on in pieces of PIECE starts, so memory follows PIECE rather than the text.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-LENGTH = 400
+LENGTH, PIECE = 400, 1 << 20
+GRAM, HALF = LENGTH // 4, LENGTH // 2
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -50,8 +54,8 @@ def buckets(data: np.ndarray, depth: int, known: dict[int, np.ndarray]) -> np.nd
             half = (depth + 1) // 2
             inner = buckets(data, half, known)
             known[depth] = _refined(inner[: len(data) - depth + 1], inner[depth - half : depth - half + len(data) - depth + 1])
-            if half > 1:
-                known.pop(half) if half != LENGTH // 2 else None
+            if half > 1 and half != GRAM:
+                known.pop(half)
     return known[depth]
 
 
@@ -65,30 +69,54 @@ def window_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Anchors:
-    """Of joined texts: per anchor its text, first and last start, bucket and class; and every start's name."""
-
-    def __init__(self, texts: list[bytes]):
-        sizes = np.array([len(t) for t in texts], np.int64)
-        data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes)
-        self.offset = ends - sizes
-        owner = np.repeat(np.arange(len(texts)), np.maximum(0, sizes - LENGTH + 1))
-        if not len(owner):
-            self.owner = self.first = self.last = np.array([], np.int64)
-            self.bucket = self.kind = self.names = np.array([], np.uint64)
+    """Of joined pieces of texts: per anchor its text, first and last start (in the joined bytes), ids, and class; every start's name.
+
+    pieces: (number of a text, where in it the piece begins, bytes). shift is what turns a start into one in its text.
+    """
+
+    def __init__(self, pieces: list[tuple[int, int, bytes]]):
+        sizes = np.array([len(t) for *_, t in pieces], np.int64)
+        data, ends = np.frombuffer(b"".join(t for *_, t in pieces), np.uint8), np.cumsum(sizes)
+        offset, n = ends - sizes, np.maximum(0, sizes - LENGTH + 1)
+        piece = np.repeat(np.arange(len(pieces)), n)
+        if not len(piece):
+            self.owner = self.first = self.last = self.shift = np.array([], np.int64)
+            self.near = self.next = self.kind = self.names = np.array([], np.uint64)
             return
-        starts = np.arange(len(owner)) + (self.offset - np.cumsum(np.maximum(0, sizes - LENGTH + 1)) + np.maximum(0, sizes - LENGTH + 1))[owner]
+        starts = np.arange(len(piece)) + (offset - np.cumsum(n) + n)[piece]
         known: dict[int, np.ndarray] = {}
         self.names = buckets(data, LENGTH, known)
-        half = known[LENGTH // 2]
-        keys = (half & ~_LOW) | np.arange(len(half), dtype=np.uint64)  # of equal ones the leftmost
-        anchor = (window_least(keys, LENGTH - LENGTH // 2 + 1)[starts] & _LOW).astype(np.int64)
-        at = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
-        self.owner, self.first, self.last = owner[at], starts[at], starts[np.append(at[1:], len(starts)) - 1]
+        gram = known[GRAM]
+        keys = (gram & ~_LOW) | np.arange(len(gram), dtype=np.uint64)  # of equal ones the leftmost
+        anchor = (window_least(keys, LENGTH - HALF + 1)[starts] & _LOW).astype(np.int64)
+        at = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(piece, prepend=-1) != 0))
+        self.first, self.last = starts[at], starts[np.append(at[1:], len(starts)) - 1]
+        self.owner = np.array([i for i, *_ in pieces])[piece[at]]
+        self.shift = (np.array([b for _, b, _ in pieces]) - offset)[piece[at]]
         place = anchor[at]
-        self.bucket = half[place]
+        self.near, self.next = gram[place], gram[place + GRAM]
         ends_name = _refined(self.names[self.first], self.names[self.last])
         self.kind = _refined(ends_name, ((place - self.first) * (LENGTH + 1) + self.last - self.first).astype(np.uint64))
 
+    def more_bits(self) -> np.ndarray:
+        """32 bits of each anchor's two ids, to go with the names of its starts."""
+        return (_refined(self.next, self.near) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def anchors_of(texts: list[bytes]) -> Iterator[Anchors]:
+    """Anchors of all texts, in their order, some pieces at a time. A run that a piece's end cuts is two classes."""
+    held, size = [], 0
+    for number, text in enumerate(texts):
+        for begin in range(0, max(1, len(text) - LENGTH + 1), PIECE):
+            piece = text[begin : begin + PIECE + LENGTH - 1]
+            if held and size + len(piece) > 2 * PIECE:
+                yield Anchors(held)
+                held, size = [], 0
+            held.append((number, begin, piece))
+            size += len(piece)
+    if held:
+        yield Anchors(held)
+
 
 def _long(text: bytes | None) -> bytes:
     return text if text is not None and len(text) >= LENGTH else b""
@@ -103,16 +131,17 @@ def _split(values: np.ndarray, owner: np.ndarray, n: int) -> list[np.ndarray]:
 
 
 def anchored(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the text), n_bytes, sha256 (of the text), buckets, kinds."""
+    """doc_id, key (of the text), n_bytes, sha256 (of the text), near, next, kinds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             texts = [t or b"" for t in common.raw(batch, "text")]
-            found = Anchors([_long(t) for t in texts])
-            lists = [pa.array(_split(x.view(np.int64), found.owner, len(texts)), pa.list_(pa.int64())) for x in (found.bucket, found.kind)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_key(t) for t in texts]), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), *lists], ["doc_id", "key", "n_bytes", "sha256", "buckets", "kinds"])
+            found = [(a.owner, a.near, a.next, a.kind) for a in anchors_of([_long(t) for t in texts])]
+            owner, *ids = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.array([], np.uint64),) * 4
+            lists = [pa.array(_split(x.view(np.int64), owner, len(texts)), pa.list_(pa.int64())) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_key(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), *lists], ["doc_id", "key", "n_bytes", "sha256", "near", "next", "kinds"])
 
-    return docs.mapInArrow(run, "doc_id long, key binary, n_bytes long, sha256 string, buckets array<long>, kinds array<long>")
+    return docs.mapInArrow(run, "doc_id long, key binary, n_bytes long, sha256 string, near array<long>, next array<long>, kinds array<long>")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -127,75 +156,100 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key binary, packed binary")
 
 
+def _placed(text: bytes, *lists: list[int] | None) -> Iterator[tuple[Anchors, list[list[int]]]]:
+    """A text's anchors some at a time, with those of each list's places that are among them, counted from there."""
+    before = 0
+    for found in anchors_of([text]):
+        n = len(found.first)
+        yield found, [[i - before for i in some or () if before <= i < before + n] for some in lists]
+        before += n
+
+
 def open_starts(rows: DataFrame) -> DataFrame:
-    """name, row, start of rows (row, packed, open, shown: places in the row's list of anchors); row is null for shown ones."""
+    """name, more, row, start of rows (row, packed, open, shown: places in the row's list of anchors); row is null for shown ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for row, data, opened, shown in zip(*(batch.column(c).to_pylist() for c in ("row", "packed", "open", "shown")), strict=True):
-                found = Anchors([unpack.decompress(data)])
-                for some, own in ((opened, row), (shown, None)):
-                    if some:
-                        starts = np.concatenate([np.arange(found.first[i], found.last[i] + 1) for i in some])
-                        yield pa.RecordBatch.from_arrays([pa.array(found.names[starts].view(np.int64)), pa.array([own] * len(starts), pa.int64()), pa.array(starts.astype(np.int32))], ["name", "row", "start"])
+                for found, parts in _placed(unpack.decompress(data), opened, shown):
+                    more = found.more_bits()
+                    for some, own in zip(parts, (row, None), strict=True):
+                        if some:
+                            starts = np.concatenate([np.arange(found.first[i], found.last[i] + 1) for i in some])
+                            runs = found.last[some] - found.first[some] + 1
+                            yield pa.RecordBatch.from_arrays([pa.array(found.names[starts].view(np.int64)), pa.array(np.repeat(more[some], runs)), pa.array([own] * len(starts), pa.int64()), pa.array((starts + np.repeat(found.shift[some], runs)).astype(np.int32))], ["name", "more", "row", "start"])
 
-    return rows.mapInArrow(run, "name long, row long, start int")
+    return rows.mapInArrow(run, "name long, more int, row long, start int")
 
 
 def removed(rows: DataFrame) -> DataFrame:
-    """key, n_removed, n_spans, kept_sha256, kept of rows (key, packed, whole: places of anchors, starts)."""
+    """key, n_removed, n_spans, kept_sha256, kept, spans of rows (key, packed, whole: places of anchors, starts)."""
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
             for key, data, whole, starts in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", "whole", "starts")), strict=True):
                 text = unpack.decompress(data)
-                found = Anchors([text]) if whole else None
-                edge = np.zeros(len(text) + 1, np.int32)
-                for i in whole or ():
-                    edge[found.first[i]] += 1
-                    edge[found.last[i] + LENGTH] -= 1
+                edge = np.zeros(len(text) + 2, np.int32)
+                for found, (some,) in _placed(text, whole) if whole else ():
+                    np.add.at(edge, found.first[some] + found.shift[some], 1)
+                    np.add.at(edge, found.last[some] + found.shift[some] + LENGTH, -1)
                 np.add.at(edge, np.array(starts or [], np.int64), 1)
                 np.add.at(edge, np.array(starts or [], np.int64) + LENGTH, -1)
                 gone = np.cumsum(edge[:-1]) > 0
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                out.append((key, int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 4, (pa.binary(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["key", "n_removed", "n_spans", "kept_sha256"])
+                kept, cuts = np.frombuffer(text, np.uint8)[~gone[:-1]].tobytes(), np.flatnonzero(np.diff(gone, prepend=False))
+                begins, ends = cuts[::2].tolist(), cuts[1::2].tolist()
+                out = ([key], [int(gone.sum())], [len(begins)], [hashlib.sha256(kept).hexdigest()], [kept], [[{"start": a, "end": b} for a, b in zip(begins, ends, strict=True)]])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary(), spans), strict=True)], ["key", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
 
-    return rows.mapInArrow(run, "key binary, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(run, "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of docs (doc_id, text).
-
-    A byte goes if a LENGTH-byte string that covers it also starts elsewhere, in the same text or another; matches stay
-    inside a text. Null text is empty; repeated rows repeat each other.
-    """
-    folder = common.scratch(docs.sparkSession, "suffixes")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def removals(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n_bytes, sha256 of each row of docs; what is removed from each text that loses bytes, by key)."""
     found = common.written(anchored(docs).select(F.monotonically_increasing_id().alias("row"), "*"), f"{folder}/anchors")
 
-    each = found.select("row", F.posexplode(F.arrays_zip("buckets", "kinds"))).select("row", F.col("pos").alias("place"), F.col("col.buckets").alias("bucket"), F.col("col.kinds").alias("kind"))
+    each = found.select("row", F.posexplode(F.arrays_zip("near", "next", "kinds"))).select("row", F.col("pos").alias("place"), "col.near", "col.next", F.col("col.kinds").alias("kind"))
     # what is joined on is a written table each time: a join of plain exchanges is one whose hot keys are split at run time
-    repeated = common.written(each.groupBy("bucket").count().where("count > 1").select("bucket"), f"{folder}/repeated")
-    live = common.written(each.join(repeated, "bucket", "left_semi"), f"{folder}/live")
-    kinds = common.written(live.groupBy("bucket", "kind").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")), f"{folder}/kinds")
-    mixed = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("bucket")
+    repeated = common.written(each.groupBy("near").count().where("count > 1").select("near"), f"{folder}/repeated")
+    live = common.written(each.join(repeated, "near", "left_semi"), f"{folder}/live")
+    bucket = ["near", "next"]
+    kinds = common.written(live.groupBy(*bucket, "kind").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")), f"{folder}/kinds")
+    mixed = kinds.groupBy(*bucket).agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select(*bucket)
     mixed = common.written(mixed, f"{folder}/mixed")
-    whole = live.join(kinds.where("n > 1").select("bucket", "kind"), ["bucket", "kind"], "left_semi").select("row", "place", F.lit("whole").alias("what"))
-    closer = kinds.join(mixed, "bucket", "left_semi").select("one.row", "one.place", F.when(F.col("n") == 1, "open").otherwise("shown").alias("what"))
+    whole = live.join(kinds.where("n > 1").select(*bucket, "kind"), [*bucket, "kind"], "left_semi").select("row", "place", F.lit("whole").alias("what"))
+    closer = kinds.join(mixed, bucket, "left_semi").select("one.row", "one.place", F.when(F.col("n") == 1, "open").otherwise("shown").alias("what"))
     places = lambda what: F.collect_list(F.when(F.col("what") == what, F.col("place"))).alias(what)
     told = common.written(whole.union(closer).groupBy("row").agg(places("whole"), places("open"), places("shown")).join(found.select("row", "key"), "row"), f"{folder}/told")
 
     texts = packed(docs)
     asked = told.where(F.size("open") + F.size("shown") > 0).select("row", "key", "open", "shown")
     starts = common.written(open_starts(texts.dropDuplicates(["key"]).join(asked, "key").select("row", "packed", "open", "shown")), f"{folder}/starts")
-    twice = common.written(starts.groupBy("name").count().where("count > 1").select("name"), f"{folder}/twice")
-    more = starts.where("row IS NOT NULL").join(twice, "name", "left_semi").groupBy("row").agg(F.collect_list("start").alias("starts"))
+    twice = common.written(starts.groupBy("name", "more").count().where("count > 1").select("name", "more"), f"{folder}/twice")
+    more = starts.where("row IS NOT NULL").join(twice, ["name", "more"], "left_semi").groupBy("row").agg(F.collect_list("start").alias("starts"))
     spans = told.select("row", "key", "whole").join(more, "row", "left").where("size(whole) > 0 OR starts IS NOT NULL")
     one = spans.groupBy("key").agg(F.max_by("whole", F.size("whole")).alias("whole"), F.max_by("starts", F.coalesce(F.size("starts"), F.lit(0))).alias("starts"))
-    cut = removed(texts.dropDuplicates(["key"]).join(one, "key"))
+    return found.select("doc_id", "key", "n_bytes", "sha256"), removed(texts.dropDuplicates(["key"]).join(one, "key"))
+
+
+def _prepared(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """doc_id, kept (the remaining bytes, null where all stay), spans (removed, as byte offsets) per row of docs (doc_id, text)."""
+    rows, cut = removals(_prepared(docs), common.scratch(docs.sparkSession, "suffixes"))
+    return rows.join(cut, "key", "left").select("doc_id", "kept", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of docs (doc_id, text).
+
+    A byte goes if a LENGTH-byte string that covers it also starts elsewhere, in the same text or another; matches stay
+    inside a text. Null text is empty; repeated rows repeat each other; an empty table gives no rows.
+    """
+    rows, cut = removals(_prepared(docs), common.scratch(docs.sparkSession, "suffixes"))
     none = F.lit(0).cast("long")
-    return found.join(cut, "key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
+    return rows.join(cut.drop("kept", "spans"), "key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
