@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
 from tidemark.sources.scratch import scratch, written  # noqa: F401
@@ -16,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def few(df: DataFrame, folder: str, most: int = 200_000) -> DataFrame:
+    """df as a written table, to be broadcast if a count shows that it has `most` rows at most; they must be short."""
+    df = written(df, folder)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, of about most_bytes in the text column (one row at least)."""
     for batch in batches:

@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import common
 from tidemark.llm.common import schema_plus
 
 SAMPLE, PIECES, PIECE, TOTAL, BLOCK, LEVEL, MARGIN = 400, 8, 64, 64 << 20, 2048, 4, 0.005
@@ -54,10 +55,12 @@ def sampled(docs: DataFrame) -> DataFrame:
     """
     usable = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     usable = usable.select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).alias("h"))
-    counts = usable.groupBy("lang").count()
+    folder = common.scratch(docs.sparkSession, "languages")
+    counts = common.few(usable.groupBy("lang").count(), f"{folder}/counts")  # a row per language
     near = usable.select("lang", "h").join(counts, "lang").where(F.col("h") / float(1 << 62) < 2 * SAMPLE / F.col("count"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     picked = near.groupBy("lang", "h").agg(F.count("*").alias("n")).withColumn("rank", rank).where(f"rank <= {SAMPLE}").select("lang", "h")
+    picked = common.few(picked, f"{folder}/picked")
     return usable.join(picked, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
 
 

@@ -66,22 +66,17 @@ def _words(text: str = "text") -> Column:
     return F.explode(F.array_distinct(F.filter(F.split(F.lower(text), BETWEEN), lambda w: w != ""))).alias("term")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if a count shows that it has FEW rows at most."""
-    return F.broadcast(df) if df.count() <= FEW else df
-
-
 def told_terms(texts: DataFrame, docs: DataFrame, frequent: DataFrame, folder: str) -> DataFrame:
     """entity, term, removed: what discloses. texts: text, entities of documents with frequent entities (entity, n_e); docs: text."""
     both = texts.select("entities", _words()).select(F.explode("entities").alias("entity"), "term")
     together = common.written(both.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT), f"{folder}/together")
-    terms = common.written(together.select("term").distinct(), f"{folder}/terms")
-    words = docs.select(_words()).join(_small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    terms = common.few(together.select("term").distinct(), f"{folder}/terms", FEW)
+    words = docs.select(_words()).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.agg(F.count("*").alias("n"))  # one row
     pairs = together.join(frequent, "entity").join(common.written(words, f"{folder}/words"), "term").join(F.broadcast(total))
     share = F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.col("n") / F.col("n_e"))
     told = pairs.where("n > n_e").withColumn("share", share).where(F.col("share") >= GENERALISE)
-    return common.written(told.select("entity", "term", (F.col("share") >= REMOVE).alias("removed")), f"{folder}/told")
+    return common.few(told.select("entity", "term", (F.col("share") >= REMOVE).alias("removed")), f"{folder}/told", FEW)
 
 
 def placed(texts: DataFrame) -> DataFrame:
@@ -117,7 +112,7 @@ def disclosing(found: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
     held = each.join(frequent, "entity").groupBy("row").agg(F.collect_list("entity").alias("entities"))  # of one document
     texts = common.written(found.join(common.written(held, f"{folder}/held"), "row"), f"{folder}/texts")
     told = told_terms(texts, docs, frequent, folder)
-    met = texts.select("row", "entities", _words()).select("row", F.explode("entities").alias("entity"), "term").join(_small(told), ["entity", "term"])
+    met = texts.select("row", "entities", _words()).select("row", F.explode("entities").alias("entity"), "term").join(told, ["entity", "term"])
     worst = met.groupBy("row", "term").agg(F.max("removed").alias("removed"))
     which = lambda removed: F.collect_list(F.when(F.col("removed") == F.lit(removed), F.col("term")))
     marked = common.written(worst.groupBy("row").agg(which(True).alias("gone"), which(False).alias("dim")), f"{folder}/marked")
