@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 
+from tidemark.operators import sampling
 from tidemark.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -31,16 +32,20 @@ def shown(rows):
     return sorted(tuple(one(v) for v in r) for r in rows)
 
 
-LIGHT = [k for k in catalog.SQL if not k.startswith("features_v") and k not in ("features_extras", "buyer_contrast", "target_correlation_top", "feature_variance")]
-
-
-@pytest.mark.parametrize("name", LIGHT)
+@pytest.mark.parametrize("name", list(catalog.SQL))
 def test_plan_equals_sql(spark, duck, name):
     df = catalog.queries()[name](spark, DATA)
     names = ", ".join(f'"{c}"' for c in df.columns)
     assert shown(df.collect()) == shown(duck.execute(f"SELECT {names} FROM ({catalog.oracle_sql()[name]})").fetchall())
 
 
+def test_exact_sample_of_too_few(spark):
+    df = spark.createDataFrame([(i, int(i < 3)) for i in range(50)], "message_id long, is_purchased int")
+    with pytest.raises(ValueError, match="3 positives and 47 negatives"):
+        sampling.exact_sample(df, 4, 10)
+    assert sampling.exact_sample(df, 3, 10).groupBy("is_purchased").count().orderBy("is_purchased").collect() == [(0, 10), (1, 3)]
+
+
 def test_entry_has_every_query():
     import __spark_entry__
 
