@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 from tidemark.sources.scratch import scratch, written  # noqa: F401
 
@@ -40,6 +41,35 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 <
             yield batch.slice(begin)
 
 
+def packed(df: DataFrame, column: str) -> DataFrame:
+    """df with a text column compressed, for dealing out; null stays null. unpacked() gives the text again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            yield _changed(batch, column, pa.array([None if t is None else pack.compress(t) for t in raw(batch, column)], pa.binary()))
+
+    return df.mapInArrow(run, _with_type(df, column, "binary"))
+
+
+def unpacked(df: DataFrame, column: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            texts = [None if t is None else unpack.decompress(t) for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+            yield _changed(batch, column, pa.array(texts, pa.binary()).cast(pa.string()))
+
+    return df.mapInArrow(run, _with_type(df, column, "string"))
+
+
+def _changed(batch: pa.RecordBatch, column: str, values: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([values if c == column else batch.column(i) for i, c in enumerate(batch.schema.names)], batch.schema.names)
+
+
+def _with_type(df: DataFrame, column: str, kind: str) -> StructType:
+    return StructType([StructField(f.name, DataType.fromDDL(kind)) if f.name == column else f for f in df.schema])
+
+
 def raw(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     """A string column's UTF-8 bytes."""
     return batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
