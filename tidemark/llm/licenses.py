@@ -122,7 +122,9 @@ def scan(docs: DataFrame, texts: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     segments = kept.select("row", F.posexplode("parts").alias("segment", "words"))
     shingled = F.transform(F.sequence(F.lit(1), F.size("words") - SHINGLE + 1), lambda i: F.array_join(F.slice("words", i, SHINGLE), " "))
     segments = common.written(segments.where(F.size("words") >= SHINGLE).select("row", "segment", shingled.alias("shingles")), f"{folder}/segments")
-    hashed = segments.select("row", "segment", F.transform("shingles", lambda s: F.xxhash64(s)).alias("hashes"))
+    # a small table is one or two tasks' scan, but its windows are the work
+    dealt = segments.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row", "segment")
+    hashed = dealt.select("row", "segment", F.transform("shingles", lambda s: F.xxhash64(s)).alias("hashes"))
     valued = hashed.select("row", "segment", F.size("hashes").alias("n"), *(F.transform("hashes", lambda s: F.xxhash64(s, F.lit(band))).alias(f"h{band}") for band in range(BANDS)))  # noqa: B023
 
     def windows(size: int, stride: int) -> Column:
