@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, common, decontaminate, langid, licenses, pii, secrets, simhash, suffix_dedup, token_store, topk
+from tidemark.llm import align, bpe, common, decontaminate, fim, langid, licenses, pii, secrets, simhash, substring_dedup, suffix_dedup, token_store, topk
 
 #: Name of the folder of tokenizer files; they aren't part of this repository.
-WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def tokenizer(name: str) -> str:
@@ -60,8 +60,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(common.table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digests(common.table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE), tokenizer(PIECE_BPE))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op2_token_store, op3_suffix_dedup, op4_secrets, op5_pii, op6_bpe, op7_topk, op8_language_id, op9_simhash, op10_decontamination)}
+    return {f.__name__: f for f in (op1_licenses, op2_token_store, op3_suffix_dedup, op4_secrets, op5_pii, op6_bpe, op7_topk, op8_language_id, op9_simhash, op10_decontamination, op11_substring_dedup, op12_alignment, op13_fill_in_middle)}
 
 
 #: Top 20 by integer inner product: every query against every row.
