@@ -70,16 +70,18 @@ def test_substring_dedup(spark, odd, large, monkeypatch):
 def test_super_kmers():
     """Every window is in one super-k-mer, equal windows have equal minimisers, and packed strings hold their windows."""
     rng = random.Random(2)
-    words = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(3000)]
-    hashes = substring_dedup._Hashes()
-    first, kinds = substring_dedup.super_kmers(words, hashes)
-    seen, n = {}, 0
-    for kind, string in zip(kinds.tolist(), substring_dedup.packed(words, first, range(len(first))), strict=True):
-        for win in substring_dedup.windows_of(string):
-            assert win == b" ".join(words[n : n + 13]) and seen.setdefault(win, kind) == kind
-            n += 1
-    assert n == len(words) - 12
-    assert len(substring_dedup.super_kmers(words[:12], hashes)[0]) == 0
+    texts = [[rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(n)] for n in (3000, 0, 12, 13, 40, 1, 500)]
+    owner, first, n, kinds = substring_dedup.super_kmers(texts, substring_dedup._Hashes())
+    seen, at = {}, {i: 0 for i in range(len(texts))}
+    for i, begin, size, kind in zip(owner.tolist(), first.tolist(), n.tolist(), kinds.tolist(), strict=True):
+        assert begin == at[i]
+        windows = substring_dedup.windows_of(b" ".join(texts[i][begin : begin + size + 12]))
+        assert len(windows) == size
+        for win in windows:
+            assert win == b" ".join(texts[i][at[i] : at[i] + 13]) and seen.setdefault(win, kind) == kind
+            at[i] += 1
+    assert [at[i] for i in range(len(texts))] == [max(0, len(t) - 12) for t in texts]
+    assert [len(x) for x in substring_dedup.super_kmers([[], texts[2]], substring_dedup._Hashes())] == [0] * 4
 
 
 def plain_alignment(a, b):

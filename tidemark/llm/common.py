@@ -24,6 +24,28 @@ def few(df: DataFrame, folder: str, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: Bits of a sieve; it has a 64th as many rows at most.
+SIEVE_BITS = 1 << 25
+
+
+def sieve(keys: DataFrame, key: str, folder: str) -> DataFrame:
+    """A table of bits (word, bits), SIEVE_BITS at most, of the column key (a hash) of keys; for sifted()."""
+    at = F.pmod(key, F.lit(SIEVE_BITS))
+    words = keys.select((at / 64).cast("long").alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b"))
+    return written(words.groupBy("__word").agg(F.bit_or("b").alias("__bits")), folder)
+
+
+def sifted(df: DataFrame, key: str, words: DataFrame, caught: bool) -> DataFrame:
+    """The rows of df whose hash (the column key) is among the sieve's, or shares a bit with one that is; else those that surely aren't.
+
+    So only what may match is dealt out for an exact join; the sieve itself is broadcast, as its size is bounded.
+    """
+    at = F.pmod(key, F.lit(SIEVE_BITS))
+    hit = F.coalesce(F.call_function("shiftrightunsigned", F.col("__bits"), (at % 64).cast("int")).bitwiseAND(1) == 1, F.lit(False))
+    met = df.withColumn("__word", (at / 64).cast("long")).join(F.broadcast(words), "__word", "left")
+    return met.where(hit if caught else ~hit).drop("__word", "__bits")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, of about most_bytes in the text column (one row at least)."""
     for batch in batches:

@@ -4,10 +4,12 @@ A window's minimiser is the least hash among its runs of GRAM words. Consecutive
 their words travel as one packed string to the minimiser's bucket, where windows are sorted and equal ones stand together.
 As a minimiser depends on its window's words alone, equal windows always meet in one bucket.
 
-1. Of each document only its minimisers' hashes are dealt out. One that a single doc_id has can't hold a shared window, so
-   only super-k-mers of the others are packed. Equal texts meet by their words: all but the first id's lose every window.
-2. Packed strings are aggregated to distinct ones with the least doc_id of each before they go to their buckets. There,
-   windows are sorted and each gets the least doc_id that has it. A window goes where that is smaller than the document's.
+1. Of each document only its minimisers' hashes are dealt out, in blocks. One that a single row has can't hold a shared window,
+   so only super-k-mers of the others are packed. What several rows of a block share is known there, and one of them is sent.
+   Equal texts meet by their words: all but the first id's lose every window.
+2. Packed strings are aggregated to distinct ones, by their hashes, with the least doc_id of each. Where a bucket has one, all
+   its windows have that; else its distinct strings go to the bucket, where windows are sorted and each gets the least
+   doc_id that has it. A window goes where that is smaller than the document's.
 3. A bucket of over LARGE distinct strings (one passage in many surroundings) is dealt out again, window by window, and
    aggregated, so no task holds it.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import common
 from tidemark.llm.suffix_dedup import window_least
 
-WINDOW, GRAM, LARGE, SHARD_BYTES = 13, 7, 20_000, 4 << 20
+WINDOW, GRAM, LARGE, SHARD_BYTES, SHARD_ROWS = 13, 7, 20_000, 4 << 20, 1 << 20
 #: Odd factors of the words of a run, by place.
 _FACTORS = np.random.default_rng(13).integers(0, 1 << 63, GRAM, np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -47,25 +50,27 @@ class _Hashes(dict):
         return out
 
 
-def super_kmers(words: list[bytes], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """(first window, minimiser) of each super-k-mer, in order; none of fewer words than WINDOW."""
-    n = len(words) - GRAM + 1
-    if len(words) < WINDOW:
-        return np.array([], np.int64), np.array([], np.int64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    grams = np.zeros(n, np.uint64)
+def super_kmers(texts: list[list[bytes]], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, windows, minimiser) of each super-k-mer, in order; a text of fewer words than WINDOW has none."""
+    sizes = np.array([*map(len, texts)], np.int64)
+    total = int(sizes.sum())
+    if total < WINDOW:
+        return (np.array([], np.int64),) * 4
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(texts)), np.uint64, total)
+    grams = np.zeros(total - GRAM + 1, np.uint64)
     for i in range(GRAM):
-        grams += h[i : i + n] * _FACTORS[i]
-    keys = (grams & ~_LOW) | np.arange(n, dtype=np.uint64)  # of equal ones the leftmost
+        grams += h[i : i + len(grams)] * _FACTORS[i]
+    keys = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)  # of equal ones the leftmost
     least = (window_least(keys, WINDOW - GRAM + 1) & _LOW).astype(np.int64)
-    first = np.flatnonzero(np.diff(least, prepend=-1))
-    return first, grams[least[first]].view(np.int64)
-
-
-def packed(words: list[bytes], first: np.ndarray, places: list[int]) -> list[bytes]:
-    """The packed strings of the super-k-mers at these places."""
-    ends = np.append(first[1:], len(words) - WINDOW + 1) + WINDOW - 1
-    return [b" ".join(words[first[i] : ends[i]]) for i in places]
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    whole = owner[: len(least)] == owner[WINDOW - 1 :]  # windows inside one text
+    new = (np.diff(least, prepend=-1) != 0) | (np.diff(owner[: len(least)], prepend=-1) != 0)
+    at = np.flatnonzero(whole & new)
+    text, begins = owner[at], np.cumsum(sizes) - sizes
+    first = at - begins[text]
+    follows = np.append(text[1:] == text[:-1], False) if len(at) else np.array([], bool)
+    n = np.where(follows, np.append(first[1:], 0)[: len(at)], sizes[text] - WINDOW + 1) - first
+    return text, first, n, grams[least[at]].view(np.int64)
 
 
 def windows_of(string: bytes) -> list[bytes]:
@@ -85,7 +90,9 @@ def marked(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in common.slices(iter([whole]), "text"):
                 texts = [(t or b"").split() for t in common.raw(batch, "text")]
-                kinds = [super_kmers(w, hashes)[1] if i is not None else [] for w, i in zip(texts, batch.column("doc_id").to_pylist(), strict=True)]
+                with_id = [w if i is not None else [] for w, i in zip(texts, batch.column("doc_id").to_pylist(), strict=True)]
+                owner, *_, kinds = super_kmers(with_id, hashes)
+                kinds = np.split(kinds, np.searchsorted(owner, np.arange(1, len(texts))))
                 columns = [pa.array([_key(w) for w in texts], pa.binary()), pa.array([len(w) for w in texts], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in texts], pa.string()), pa.array(kinds, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "key", "n_words", "sha256", "minimisers"])
 
@@ -104,24 +111,97 @@ def compressed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key binary, words binary")
 
 
+def _runs(rows: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """row, places: the places of each row."""
+    order = np.lexsort((places, rows))
+    rows, places = rows[order], places[order]
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(rows)), pa.int32()), pa.array(places, pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(rows[first]), lists], ["row", "places"])
+
+
+def _shared(kinds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts by minimiser and row, whether each in that order has a minimiser that several rows have)."""
+    order = np.lexsort((rows, kinds))
+    kinds, rows = kinds[order], rows[order]
+    first = np.flatnonzero(np.diff(kinds, prepend=kinds[0] - 1 if len(kinds) else 0) != 0) if len(kinds) else np.array([], np.int64)
+    last = np.append(first[1:], len(kinds)) - 1
+    return order, np.repeat(rows[first] != rows[last], last - first + 1)
+
+
+def _block(kinds: np.ndarray, rows: np.ndarray, places: np.ndarray) -> bytes:
+    """Entries as compressed bytes: rows as steps, so that they pack well. Rows ascend."""
+    steps = np.diff(rows, prepend=0)
+    return zstandard.ZstdCompressor(level=1).compress(kinds.tobytes() + steps.tobytes() + places.astype(np.int32).tobytes())
+
+
+def _entries(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(block)
+    n = len(data) // 20
+    return np.frombuffer(data, np.int64, n), np.cumsum(np.frombuffer(data, np.int64, n, 8 * n)), np.frombuffer(data, np.int32, n, 16 * n)
+
+
+def shared_places(found: DataFrame) -> DataFrame:
+    """row, places: of super-k-mers whose minimiser other rows have as well; found: a written table of row, minimisers. A row may come several times."""
+    total = found.agg(F.coalesce(F.sum(F.size("minimisers")), F.lit(0))).first()[0]
+    shards = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_ROWS))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("minimisers")
+            sizes = np.diff(np.asarray(lists.offsets))
+            kinds, rows = lists.flatten().to_numpy(), np.repeat(batch.column("row").to_numpy(), sizes)
+            places = np.arange(len(kinds)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            if not len(kinds):
+                continue
+            order, live = _shared(kinds, rows)
+            kinds, rows, places = kinds[order], rows[order], places[order]
+            first = np.diff(kinds, prepend=kinds[0] - 1) != 0
+            sent = ~live | first
+            shard = (kinds.view(np.uint64) >> np.uint64(20)) % np.uint64(shards)
+            out = []
+            for known, pick in ((False, sent), (True, live)):
+                at = np.flatnonzero(pick)
+                at = at[np.lexsort((rows[at], shard[at]))]
+                for part in np.split(at, np.flatnonzero(np.diff(shard[at])) + 1) if len(at) else ():
+                    out.append((int(shard[part[0]]), known, _block(kinds[part], rows[part], places[part])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["shard", "known", "block"])
+
+    def met(table: pa.Table) -> pa.Table:
+        parts = {k: [_entries(b) for b, known in zip(table.column("block").to_pylist(), table.column("known").to_pylist(), strict=True) if known == k] for k in (False, True)}
+        out = [_runs(rows, places) for _, rows, places in parts[True]]
+        if parts[False]:
+            kinds, rows, places = (np.concatenate(x) for x in zip(*parts[False], strict=True))
+            order, live = _shared(kinds, rows)
+            out.append(_runs(rows[order][live], places[order][live]))
+        return pa.Table.from_batches(out, pa.schema([("row", pa.int64()), ("places", pa.list_(pa.int32()))]))
+
+    dealt = found.select("row", "minimisers").where(F.size("minimisers") > 0).mapInArrow(blocks, "shard long, known boolean, block binary")
+    return dealt.groupBy("shard").applyInArrow(lambda t: met(t.select(["known", "block"])), "row long, places array<int>")
+
+
 def strings_of(held: DataFrame) -> DataFrame:
-    """row, doc, start (first window), minimiser, packed of rows (row, doc, places: of super-k-mers, words: compressed)."""
+    """row, doc, start (first window), n (windows), minimiser, packed of rows (row, doc, places: of super-k-mers, words: compressed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, hashes = zstandard.ZstdDecompressor(), _Hashes()
-        for batch in batches:
-            for row, doc, places, data in zip(*(batch.column(c).to_pylist() for c in ("row", "doc", "places", "words")), strict=True):
-                words = unpack.decompress(data).split(b" ")
-                first, kinds = super_kmers(words, hashes)
-                n = len(places)
-                columns = (pa.array([row] * n, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array(first[places]), pa.array(kinds[places]), pa.array(packed(words, first, places), pa.binary()))
-                yield pa.RecordBatch.from_arrays([*columns], ["row", "doc", "start", "minimiser", "packed"])
+        for whole in batches:
+            for batch in common.slices(iter([whole]), "words", 1 << 20):
+                texts = [unpack.decompress(x).split(b" ") for x in batch.column("words").to_pylist()]
+                owner, first, n, kinds = super_kmers(texts, hashes)
+                begins = np.searchsorted(owner, np.arange(len(texts)))
+                lists = batch.column("places")
+                sizes = np.diff(np.asarray(lists.offsets))
+                at = np.repeat(begins, sizes) + lists.flatten().to_numpy()
+                row, doc = (pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("row", "doc"))
+                strings = [b" ".join(texts[t][a:b]) for t, a, b in zip(owner[at].tolist(), first[at].tolist(), (first[at] + n[at] + WINDOW - 1).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([row, doc, *(pa.array(x[at]) for x in (first, n, kinds)), pa.array(strings, pa.binary())], ["row", "doc", "start", "n", "minimiser", "packed"])
 
-    return held.mapInArrow(run, "row long, doc long, start long, minimiser long, packed binary")
+    return held.mapInArrow(run, "row long, doc long, start long, n long, minimiser long, packed binary")
 
 
 def sorted_windows(table: pa.Table) -> pa.Table:
-    """k0, k1, leasts (the least doc_id of each window) of a shard's strings (k0, k1, packed, least), those with a window of another's."""
+    """k0, k1, leasts (the least doc_id of each window) of a shard's strings (k0, k1, packed, least, most), where one is below most."""
     table = table.combine_chunks()
     own = [windows_of(s) for s in table.column("packed").to_pylist()]
     sizes = np.array([len(x) for x in own], np.int64)
@@ -133,22 +213,24 @@ def sorted_windows(table: pa.Table) -> pa.Table:
     runs = np.diff(begins, append=len(at))
     lowest = np.empty(len(at), np.int64)
     lowest[at] = np.repeat(np.minimum.reduceat(least[at], begins), runs)
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(lowest))
-    return pa.table({"k0": table.column("k0"), "k1": table.column("k1"), "leasts": lists})
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(lowest))
+    some = pa.array(np.minimum.reduceat(lowest, begin[:-1]) < table.column("most").to_numpy())
+    return pa.table({"k0": table.column("k0"), "k1": table.column("k1"), "leasts": lists}).filter(some)
 
 
 def single_windows(strings: DataFrame) -> DataFrame:
-    """k0, k1, at, least, win: every window of strings (k0, k1, packed, least)."""
+    """k0, k1, most, least, at, win: every window of strings (k0, k1, packed, least, most)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [windows_of(s) for s in batch.column("packed").to_pylist()]
             sizes = np.array([len(x) for x in own], np.int64)
-            repeated = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("k0", "k1", "least")]
+            repeated = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("k0", "k1", "most", "least")]
             at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.RecordBatch.from_arrays([*repeated, pa.array(at), pa.array([w for x in own for w in x], pa.binary())], ["k0", "k1", "least", "at", "win"])
+            yield pa.RecordBatch.from_arrays([*repeated, pa.array(at), pa.array([w for x in own for w in x], pa.binary())], ["k0", "k1", "most", "least", "at", "win"])
 
-    return strings.select("k0", "k1", "least", "packed").mapInArrow(run, "k0 long, k1 long, least long, at long, win binary")
+    return strings.select("k0", "k1", "most", "least", "packed").mapInArrow(run, "k0 long, k1 long, most long, least long, at long, win binary")
 
 
 def removed(rows: DataFrame) -> DataFrame:
@@ -157,36 +239,47 @@ def removed(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for row, data, starts in zip(*(batch.column(c).to_pylist() for c in ("row", "words", "starts")), strict=True):
-                words = unpack.decompress(data).split(b" ")
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, np.array(starts, np.int64), 1)
-                np.add.at(edge, np.array(starts, np.int64) + WINDOW, -1)
-                gone = np.cumsum(edge) > 0
-                kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=False) if not g])
-                cuts = np.flatnonzero(np.diff(gone, prepend=False)).tolist()
-                out = ([row], [int(gone.sum())], [hashlib.sha256(kept).hexdigest()], [kept], [[{"start": a, "end": b} for a, b in zip(cuts[::2], cuts[1::2], strict=True)]])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.binary(), spans), strict=True)], ["row", "n_removed", "kept_sha256", "kept", "spans"])
+        for whole in batches:
+            for batch in common.slices(iter([whole]), "words", 1 << 20):
+                out = []
+                for row, data, starts in zip(*(batch.column(c).to_pylist() for c in ("row", "words", "starts")), strict=True):
+                    words = unpack.decompress(data).split(b" ")
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(edge, np.array(starts, np.int64), 1)
+                    np.add.at(edge, np.array(starts, np.int64) + WINDOW, -1)
+                    gone = np.cumsum(edge) > 0
+                    kept = b" ".join(compress(words, (~gone).tolist()))
+                    cuts = np.flatnonzero(np.diff(gone, prepend=False)).tolist()
+                    out.append((row, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "end": b} for a, b in zip(cuts[::2], cuts[1::2], strict=True)]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.binary(), spans), strict=True)], ["row", "n_removed", "kept_sha256", "kept", "spans"])
 
     return rows.select("row", "words", "starts").mapInArrow(run, "row long, n_removed long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>")
 
 
-def least_ids(strings: DataFrame, folder: str) -> DataFrame:
-    """k0, k1, leasts of strings (k0, k1, minimiser, packed, least, most), a written table of distinct ones."""
-    spark = strings.sparkSession
-    crowded = common.written(strings.groupBy("minimiser").count().where(f"count > {LARGE}").select("minimiser"), f"{folder}/crowded")
-    apart = strings.join(crowded, "minimiser", "left_anti")
-    size = strings.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
+def least_ids(distinct: DataFrame, strings: DataFrame, folder: str) -> DataFrame:
+    """k0, k1, leasts of distinct strings (minimiser, k0, k1, least, most, n, row, start: of one that is so), those with a window to go.
+
+    strings: row, start, packed. Both are written tables.
+    """
+    spark = distinct.sparkSession
+    buckets = distinct.groupBy("minimiser").agg(F.count("*").alias("size"))
+    several = common.written(buckets.where("size > 1"), f"{folder}/several")
+    alone = distinct.where("least < most").join(several, "minimiser", "left_anti").select("k0", "k1", F.array_repeat("least", F.col("n").cast("int")).alias("leasts"))
+    met = distinct.join(several, "minimiser").join(strings.select("row", "start", "packed"), ["row", "start"]).select("minimiser", "size", "k0", "k1", "packed", "least", "most")
+    met = common.written(met, f"{folder}/met")
+    size = met.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    dealt = apart.select(F.pmod(F.xxhash64("minimiser"), F.lit(shards)).alias("shard"), "k0", "k1", "packed", "least")
-    found = dealt.groupBy("shard").applyInArrow(lambda t: sorted_windows(t.select(["k0", "k1", "packed", "least"])), "k0 long, k1 long, leasts array<long>")
-    if crowded.isEmpty():
-        return found
-    each = common.written(single_windows(strings.join(crowded, "minimiser", "left_semi")), f"{folder}/windows")
-    lowest = common.written(each.groupBy("win").agg(F.min("least").alias("lowest")), f"{folder}/lowest")
-    more = each.join(lowest, "win").groupBy("k0", "k1").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "lowest"))), lambda x: x["lowest"]).alias("leasts"))
-    return found.unionByName(more)
+    dealt = met.where(f"size <= {LARGE}").select(F.pmod(F.xxhash64("minimiser"), F.lit(shards)).alias("shard"), "k0", "k1", "packed", "least", "most")
+    columns = ["k0", "k1", "packed", "least", "most"]
+    found = dealt.groupBy("shard").applyInArrow(lambda t: sorted_windows(t.select(columns)), "k0 long, k1 long, leasts array<long>")
+    crowded = met.where(f"size > {LARGE}")
+    if not several.where(f"size > {LARGE}").isEmpty():
+        each = common.written(single_windows(crowded), f"{folder}/windows")
+        lowest = common.written(each.groupBy("win").agg(F.min("least").alias("lowest")), f"{folder}/lowest")
+        more = each.join(lowest, "win").groupBy("k0", "k1", "most").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "lowest"))), lambda x: x["lowest"]).alias("leasts"))
+        found = found.unionByName(more.where(F.exists("leasts", lambda x: x < F.col("most"))).drop("most"))
+    return found.unionByName(alone)
 
 
 def removals(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -196,19 +289,18 @@ def removals(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     firsts = able.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("f"), F.max("doc_id").alias("last"))
     firsts = common.written(firsts.select("key", F.col("f.doc_id").alias("first"), F.col("f.row").alias("row"), "last"), f"{folder}/firsts")
 
-    each = found.select("row", "doc_id", F.posexplode("minimisers").alias("place", "minimiser"))
     # what is joined on is a written table each time: a join of plain exchanges is one whose hot keys are split at run time
-    shared = each.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("minimiser")
-    live = each.select("row", "place", "minimiser").join(common.written(shared, f"{folder}/shared"), "minimiser", "left_semi")
-    asked = common.written(live.groupBy("row").agg(F.collect_list("place").alias("places")), f"{folder}/asked")
-    asked = common.written(asked.join(firsts.select("row", "key", F.col("first").alias("doc")), "row"), f"{folder}/asked-first")
-    held = common.written(compressed(docs).dropDuplicates(["key"]).join(asked, "key").select("row", "doc", "places", "words"), f"{folder}/held")
+    asked = shared_places(found).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    asked = asked.join(firsts.select("row", "key", F.col("first").alias("doc")), "row")
+    asked = common.written(asked.withColumn("h", F.xxhash64("key")), f"{folder}/asked")
+    texts = common.sifted(compressed(docs).withColumn("h", F.xxhash64("key")), "h", common.sieve(asked, "h", f"{folder}/sieve"), True).drop("h")
+    held = common.written(texts.dropDuplicates(["key"]).join(asked, "key").select("row", "doc", "places", "words"), f"{folder}/held")
 
     strings = common.written(strings_of(held).withColumns({"k0": F.xxhash64("packed"), "k1": F.xxhash64(F.lit(7), "packed")}), f"{folder}/strings")
-    distinct = strings.groupBy("minimiser", "k0", "k1").agg(F.first("packed").alias("packed"), F.min("doc").alias("least"), F.max("doc").alias("most"))
-    distinct = common.written(distinct, f"{folder}/distinct")
-    told = least_ids(distinct, folder).join(distinct.select("k0", "k1", "most"), ["k0", "k1"]).where(F.exists("leasts", lambda x: x < F.col("most"))).select("k0", "k1", "leasts")
-    told = common.written(told, f"{folder}/told")
+    one = F.min(F.struct("doc", "row", "start")).alias("one")
+    distinct = strings.groupBy("minimiser", "k0", "k1").agg(one, F.max("doc").alias("most"), F.first("n").alias("n"))
+    distinct = common.written(distinct.select("minimiser", "k0", "k1", F.col("one.doc").alias("least"), "most", "n", "one.row", "one.start"), f"{folder}/distinct")
+    told = common.written(least_ids(distinct, strings, folder), f"{folder}/told")
     starts = F.filter(F.transform("leasts", lambda x, i: F.when(x < F.col("doc"), F.col("start") + i)), lambda x: x.isNotNull())
     gone = strings.select("row", "doc", "start", "k0", "k1").join(told, ["k0", "k1"]).select("row", starts.alias("starts")).where(F.size("starts") > 0)
     gone = common.written(gone.groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts")), f"{folder}/gone")
