@@ -13,7 +13,9 @@ How often two ids are linked is counted over all documents: bounded by the vocab
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 from typing import NamedTuple
 
@@ -30,6 +32,10 @@ MARK = "▁"
 FEW_PAIRS = 1_000_000
 
 
+#: Where a space has white space or an end of the text beside it.
+_NEXT_TO_SPACE = re.compile(r" \s|\s |^ | \Z")
+
+
 class Aligned(NamedTuple):
     """A stretch's alignment: token counts, groups as text, linked pairs of ids (a * B's size + b, 64 bits each)."""
 
@@ -47,12 +53,25 @@ def overlapped(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.n
     return np.searchsorted(b_ends, a_starts, side="right"), np.searchsorted(b_starts, a_ends, side="left") - 1
 
 
+def listed(ids_a: np.ndarray, ids_b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> tuple[str, list[int]]:
+    """All groups as `a1,a2|b1;`, one behind the other, and where each ends; a_last and b_last: places of the groups' last tokens."""
+    first_a, first_b = (np.concatenate([[0], x[:-1] + 1]) for x in (a_last, b_last))
+    own_a, own_b = np.repeat(np.arange(len(a_last)), a_last + 1 - first_a), np.repeat(np.arange(len(b_last)), b_last + 1 - first_b)
+    ids, marks = np.empty(len(ids_a) + len(ids_b), np.int64), np.zeros(len(ids_a) + len(ids_b), np.int64)
+    at_a, at_b = np.arange(len(ids_a)) + first_b[own_a], np.arange(len(ids_b)) + (a_last + 1)[own_b]
+    ids[at_a], ids[at_b] = ids_a, ids_b
+    marks[at_a[a_last]], marks[at_b[b_last]] = 1, 2
+    shown = [*map(str, ids.tolist())]
+    sizes = np.array([*map(len, shown)], np.int64) + 1
+    return "".join(chain.from_iterable(zip(shown, map(",|;".__getitem__, marks.tolist()), strict=True))), np.cumsum(sizes)[at_b[b_last]].tolist()
+
+
 class Aligner:
-    """Alignments of texts; those of stretches of at most `longest` characters are kept, `most` of them."""
+    """Alignments of texts; those of stretches of at most `longest` characters are kept, `most` new ones and as many that came before."""
 
     _made: dict[tuple[int, int], Aligner] = {}
 
-    def __init__(self, a_model: str, b_model: bytes, most: int = 300_000, longest: int = 64):
+    def __init__(self, a_model: str, b_model: bytes, most: int = 100_000, longest: int = 64):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -61,15 +80,20 @@ class Aligner:
         self.a.no_padding()
         self.a.no_truncation()
         letters = byte_letters()
-        self.a_bytes = {i: bytes(map(letters.get, p)) if all(c in letters for c in p) else p.encode() for p, i in self.a.get_vocab(with_added_tokens=True).items()}
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for p, i in vocabulary.items():
+            self.a_bytes[i] = bytes(map(letters.get, p)) if all(c in letters for c in p) else p.encode()
         self.n_b = self.b.vocab_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.n_b)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = (np.array([*map(len, known)], np.int64) for known in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id(MARK)
         plain = "  x  y\té "  # as it is, but for the space in front
         kept = b"".join(self.b_bytes[i] for i in self.b.encode(plain)) == f" {plain}".encode()
         self.cuts = kept and not self.b.is_unknown(self.space) and not any(MARK in p.lstrip(MARK) for p in pieces)
         self.known: dict[str, Aligned | None] = {}
+        self.before: dict[str, Aligned | None] = {}
         self.most, self.longest = most, longest
 
     @classmethod
@@ -82,7 +106,7 @@ class Aligner:
     def stretches(self, text: str) -> list[str]:
         """The text's parts; each is encoded with a space in front. Next to other white space no cut is made."""
         parts = text.split(" ") if self.cuts else [text]
-        if all(parts) and not any(p[0].isspace() or p[-1].isspace() for p in parts):
+        if not _NEXT_TO_SPACE.search(text):
             return parts
         out, joins = [], False
         for p in parts:
@@ -93,32 +117,49 @@ class Aligner:
             joins = not p or p[-1].isspace()
         return [*map(" ".join, out)]
 
-    def align(self, a: list[int], b: list[int], data: bytes) -> Aligned | None:
-        """None where the tokens' bytes aren't data."""
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != data or b"".join(b_parts) != data:
-            return None
-        a_ends, b_ends = (np.cumsum([len(x) for x in parts]) for parts in (a_parts, b_parts))
-        _, last = overlapped(a_ends, b_ends)
-        ends = np.flatnonzero(b_ends[last] == a_ends)  # A tokens behind which no B token spans the gap
-        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-        groups, i, j = [], 0, 0
-        for at, of in zip((ends + 1).tolist(), (last[ends] + 1).tolist(), strict=True):
-            groups.append(f"{','.join(map(str, a[i:at]))}|{','.join(map(str, b[j:of]))}")
-            i, j = at, of
-        return Aligned(len(a), len(b), len(groups), ";".join(groups), (ids_a[ends] * self.n_b + ids_b[last[ends]]).tobytes())
+    def exact(self, flat: np.ndarray, counts: np.ndarray, known: list[bytes], sizes: np.ndarray, data: list[bytes]) -> np.ndarray:
+        """Whether each stretch's tokens' bytes are its data."""
+        parts = [*map(known.__getitem__, flat.tolist())]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        if b"".join(parts) == b"".join(data) and (np.diff(np.concatenate([[0], np.cumsum(sizes[flat])])[ends]) == [*map(len, data)]).all():
+            return np.ones(len(data), bool)
+        return np.array([b"".join(parts[x:y]) == d for x, y, d in zip(ends[:-1].tolist(), ends[1:].tolist(), data, strict=True)])
 
     def learn(self, new: list[str]) -> None:
-        coded_a = self.a.encode_batch([f" {s}" for s in new], add_special_tokens=False)
-        for s, x, y in zip(new, coded_a, self.b.encode(new, num_threads=1), strict=True):
-            self.known[s] = self.align(x.ids, y if s else [self.space], f" {s}".encode())
+        """Align new stretches, all at once: one behind the other they are one text that both tokenizers cut between any two."""
+        data = [f" {s}".encode() for s in new]
+        a = [x.ids for x in self.a.encode_batch_fast([f" {s}" for s in new], add_special_tokens=False)]
+        b = [x if s else [self.space] for s, x in zip(new, self.b.encode(new, num_threads=1), strict=True)]
+        n_a, n_b = (np.array([*map(len, part)], np.int64) for part in (a, b))
+        ids_a, ids_b = (np.array([*chain.from_iterable(part)], np.int64) for part in (a, b))
+        fine = self.exact(ids_a, n_a, self.a_bytes, self.a_sizes, data) & self.exact(ids_b, n_b, self.b_bytes, self.b_sizes, data)
+        if not fine.all():
+            self.known.update((s, None) for s, ok in zip(new, fine, strict=True) if not ok)
+            new, ids_a, ids_b = [s for s, ok in zip(new, fine, strict=True) if ok], ids_a[np.repeat(fine, n_a)], ids_b[np.repeat(fine, n_b)]
+            n_a, n_b = n_a[fine], n_b[fine]
+        if not new:
+            return
+        a_ends, b_ends = np.cumsum(self.a_sizes[ids_a]), np.cumsum(self.b_sizes[ids_b])
+        _, last = overlapped(a_ends, b_ends)
+        ends = np.flatnonzero(b_ends[last] == a_ends)  # A tokens behind which no B token spans the gap
+        pairs = (ids_a[ends] * self.n_b + ids_b[last[ends]]).tobytes()
+        text, stops = listed(ids_a, ids_b, ends, last[ends])
+        groups = np.searchsorted(ends, np.cumsum(n_a) - 1, side="right")  # before the end of each stretch
+        lo, begin = 0, 0
+        for s, x, y, hi in zip(new, n_a.tolist(), n_b.tolist(), groups.tolist(), strict=True):
+            stop = stops[hi - 1]
+            self.known[s] = Aligned(x, y, hi - lo, text[begin : stop - 1], pairs[8 * lo : 8 * hi])
+            lo, begin = hi, stop
 
     def texts(self, texts: list[str | None]) -> list[list[Aligned]]:
         """Each text's stretches' alignments; none where the text has no tokens."""
         if len(self.known) > self.most:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         parts = [self.stretches(t) if t else [] for t in texts]
-        new = [*set().union(*parts).difference(self.known)]
+        new = set().union(*parts).difference(self.known)
+        again = new & self.before.keys()
+        self.known.update((s, self.before[s]) for s in again)
+        new = [*new - again]
         self.learn(new)
         out = [[*map(self.known.__getitem__, p)] for p in parts]
         for s in new:
@@ -142,7 +183,7 @@ def alignments(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner.of(*models.value)
         for whole in batches:
-            for batch in common.slices(iter([whole]), "text"):
+            for batch in common.slices(iter([whole]), "text", 1 << 20):
                 found = aligner.texts(batch.column(batch.schema.get_field_index("text")).to_pylist())
                 sums = [pa.array([sum(x[i] for x in f) for f in found], pa.int64()) for i in range(3)]
                 texts = pa.array([";".join([x.groups for x in f]) for f in found], pa.string())
