@@ -17,7 +17,7 @@ import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, chain
 from string import ascii_letters
 
 import ahocorasick
@@ -59,21 +59,25 @@ class Units:
 
     def __init__(self, text: str, events: ahocorasick.Automaton):
         self.flat = text if text.isascii() else text.encode("ascii", "replace").decode("ascii")
-        self.size, self.events, self.sentinel = len(text), events, False
+        self.size, self.events, self.sentinel, self.last = len(text), events, False, (-1, None, None)
         counts = [int(self.runs(begin)[1].sum()) for begin in range(0, self.size, SEGMENT)]
         self.before = [0, *accumulate(counts)]
 
     def runs(self, begin: int) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, units that begin in it) of the runs of one class in a segment."""
+        """(starts, units that begin in it) of the runs of one class in a segment; those of the last one are kept."""
+        if self.last[0] == begin:
+            return self.last[1:]
         end = min(begin + SEGMENT, self.size)
-        found = [*self.events.iter(self.flat, max(0, begin - 2), end)]  # two more, for what a segment's border cuts
-        self.sentinel |= any(kind for _, kind in found)
-        starts = np.array([begin, *(at for at, kind in found if not kind and at > begin)], np.int64)
+        # two more, for what a segment's border cuts
+        at, sentinel = np.fromiter(chain.from_iterable(self.events.iter(self.flat, max(0, begin - 2), end)), np.int64).reshape(-1, 2).T
+        self.sentinel |= bool(sentinel.any())
+        starts = np.append(begin, at[(sentinel == 0) & (at > begin)])
         units = np.diff(starts, append=end)
         letters = (np.arange(len(starts)) % 2 == 0) == (self.flat[begin] in ascii_letters)
         units[letters] = 1
         if letters[0] and begin and self.flat[begin - 1] in ascii_letters:
             units[0] = 0  # goes on from the segment before
+        self.last = (begin, starts, units)
         return starts, units
 
     def __len__(self) -> int:
