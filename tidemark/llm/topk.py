@@ -1,15 +1,15 @@
 """Exact top-k search by inner product: dual-tree search over cover trees.
 
 Vectors are grouped by the nearest of some points of a bounded sample, one for each ROWS vectors and CENTRES at most; groups
-are cut into blocks of at most about ROWS rows and QUERIES queries, each with a cover tree, made once and written. A table of pairs of blocks is joined with both, and
-each task descends a pair of trees together. A pair of blocks or of nodes is dropped when the most that any of its inner
-products can be (from centres, covering radii and norms) is below the worst k-th score of the queries there. Those start
-from scores against the sample, and grow by a first pass over the pairs of the same group, before all other pairs. Every
-row is indexed and every answer is exact; ties go to the smaller vec_id.
+are cut into blocks of at most about ROWS rows and QUERIES queries, each with a cover tree, made once and written. Query blocks
+are sent to each group's data blocks, and each task descends a pair of trees together. A pair of blocks or of nodes is dropped
+when the most that any of its inner products can be (from centres, covering radii and norms) is below the worst k-th score of
+the queries there. Those start from scores against the sample, and grow by a first pass over the pairs of the same group,
+before all other pairs. Every row is indexed and every answer is exact; ties go to the smaller vec_id.
 
 A cover tree's node of level l covers its points within 2^l; its children are points of it, itself among them, more than
-2^(l-1) apart, and cover it within that. Where such a net would hold much of a node's points itself, or a node has LEAF
-points or fewer, levels below are left out and the node is a leaf.
+2^(l-1) apart, and cover it within that. It goes down to leaves of LEAF points or fewer, or of equal points. Where points
+are all about as far apart, as random ones of many components are, one level parts them all, and bounds drop next to nothing.
 """
 
 from __future__ import annotations
@@ -24,77 +24,92 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-LEAF, DENSE, QUERIES, ROWS, SAMPLE, CENTRES = 256, 8, 4096, 16_384, 2048, 256
-NONE = np.iinfo(np.int64).min
-FITS = float(1 << 62)
+LEAF, QUERIES, ROWS, SAMPLE, CENTRES = 32, 4096, 16_384, 2048, 256
+#: Queries that are searched side by side; data points that are scored before what is left is judged again.
+SIDE, STEP = 128, 1024
+NONE, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id, v: floor(64 * x) of each component; vectors that are null or hold null or non-finite components are left out.
-
-    So are those whose squared norm doesn't fit 62 bits: all scores of the others fit 64.
-    """
+    """vec_id, v: floor(64 * x) of each component, a whole number as a double; vectors that are null or hold null or non-finite components are left out."""
     x = F.col("embedding").cast("array<double>")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    small = F.aggregate(x, F.lit(0.0), lambda acc, c: acc + F.floor(c * 64).cast("double") * F.floor(c * 64).cast("double")) < FITS
-    kept = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(F.when(fine, F.forall(x, lambda c: F.abs(c) < 2.0**25) & small).otherwise(False))
-    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * 64).cast("long")).alias("v"))
-
-
-def net(real: np.ndarray, first: int, radius: float, most: int) -> tuple[list[int], np.ndarray] | None:
-    """Centres (first one of them) more than radius apart that cover all points within it, and each point's; None beyond most."""
-    owner, open_, centres, at = np.full(len(real), -1), np.arange(len(real)), [], first
-    while True:
-        near = ((real[open_] - real[at]) ** 2).sum(axis=1) <= radius * radius
-        owner[open_[near]] = len(centres)
-        centres.append(at)
-        open_ = open_[~near]
-        if not len(open_):
-            return centres, owner
-        if len(centres) >= most:
-            return None
-        at = int(open_[0])
+    kept = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine)
+    whole = lambda c: F.when(F.abs(c) < 2.0**50, F.floor(c * 64).cast("double")).otherwise(c * 64)  # noqa: E731  (beyond, all are whole)
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
+
+
+def net(real: np.ndarray, first: int, radius: float) -> tuple[list[int], np.ndarray]:
+    """Centres, first one of them, more than radius apart that cover all points within it, and each point's. Points are taken in their order."""
+    squares, owner, centres = (real * real).sum(axis=1), np.full(len(real), -1), []
+    open_ = np.concatenate([[first], np.delete(np.arange(len(real)), first)])
+    while len(open_):
+        some = open_[:64]
+        near = squares[open_, None] - 2 * (real[open_] @ real[some].T) + squares[some] <= radius * radius
+        free = np.ones(len(open_), bool)
+        for k in range(len(some)):
+            if free[k]:
+                mine = free & near[:, k]
+                mine[k] = True
+                owner[open_[mine]] = len(centres)
+                centres.append(int(some[k]))
+                free &= ~mine
+        open_ = open_[free]
+    return centres, owner
 
 
 class CoverTree:
-    """Points in node order; for each node: its run of points, level, centre (a point of it), covering radius, children."""
+    """Points in node order; of each node its run of points (begin, end), level, centre (place of a point of it), covering radius, run of children.
+
+    Points are whole numbers as doubles.
+    """
 
     def __init__(self, ids: np.ndarray, points: np.ndarray):
-        order, real = np.arange(len(ids)), points.astype(np.float64)
-        self.begin, self.end, self.level, self.centre, self.radius, self.children = [], [], [], [], [], []
-        todo = [(0, len(ids), 0, None, -1)] if len(ids) else []
-        while todo:
-            lo, hi, centre, level, parent = todo.pop()  # the centre is a point's place in points
-            mine = real[order[lo:hi]]
-            reach = float(np.sqrt(((mine - real[centre]) ** 2).sum(axis=1).max()))
-            level = level if level is not None else int(np.ceil(np.log2(reach))) if reach else 0
-            node = len(self.begin)
-            for held, x in ((self.begin, lo), (self.end, hi), (self.level, level), (self.centre, real[centre]), (self.radius, reach), (self.children, [])):
+        order = np.arange(len(ids))
+        begin, end, level, centre, radius, children = [], [], [], [], [], []
+        todo, at = [(0, len(ids), 0, None)] if len(ids) else [], 0
+        while at < len(todo):
+            lo, hi, middle, lev = todo[at]  # middle: the centre's place in points
+            at += 1
+            mine = points[order[lo:hi]]
+            reach = float(np.sqrt(((mine - points[middle]) ** 2).sum(axis=1).max())) if hi - lo > 1 else 0.0
+            lev = lev if lev is not None else int(np.ceil(np.log2(reach))) if reach else 0
+            own = [len(todo), len(todo)]
+            if hi - lo > LEAF and reach:
+                below = min(lev, int(np.ceil(np.log2(reach)))) - 1
+                start = int(np.flatnonzero(order[lo:hi] == middle)[0])
+                while len((found := net(mine, start, 2.0**below))[0]) == 1:
+                    below -= 1  # levels between have this node only
+                lev = below + 1
+                centres, owner = found
+                places = order[lo:hi][centres]
+                order[lo:hi] = order[lo:hi][np.argsort(owner, kind="stable")]
+                ends = lo + np.cumsum(np.bincount(owner))
+                todo += [(int(x), int(y), int(p), below) for x, y, p in zip([lo, *ends[:-1]], ends, places, strict=True)]
+                own[1] = len(todo)
+            for held, x in ((begin, lo), (end, hi), (level, lev), (centre, middle), (radius, reach), (children, own)):
                 held.append(x)
-            if parent >= 0:
-                self.children[parent].append(node)
-            if hi - lo <= LEAF or reach == 0:
-                continue
-            below = min(level, int(np.ceil(np.log2(reach)))) - 1
-            while (found := net(mine, int(np.flatnonzero(order[lo:hi] == centre)[0]), 2.0**below, (hi - lo) // DENSE)) and len(found[0]) == 1:
-                below -= 1
-            if found is None:
-                continue
-            self.level[node] = below + 1  # levels between have this node only
-            centres, owner = found
-            places = order[lo:hi][centres]
-            by = np.argsort(owner, kind="stable")
-            order[lo:hi] = order[lo:hi][by]
-            ends = lo + np.cumsum(np.bincount(owner))
-            todo += [(int(x), int(y), int(at), below, node) for x, y, at in zip([lo, *ends[:-1]], ends, places, strict=True)]
-        self.ids, self.points, self.norm = ids[order], points[order], [float(np.sqrt((c * c).sum())) for c in self.centre]
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        self.ids, self.points = ids[order], points[order]
+        self.begin, self.end, self.level = (np.array(x, np.int64) for x in (begin, end, level))
+        self.centre, self.radius, self.children = place[centre] if len(ids) else np.array([], np.int64), np.array(radius), np.array(children, np.int64).reshape(-1, 2)
+
+    def below(self, nodes: np.ndarray) -> np.ndarray:
+        """The nodes' children, and those of them that have none."""
+        first, n = self.children[nodes, 0], self.children[nodes, 1] - self.children[nodes, 0]
+        opened = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.concatenate([opened, nodes[n == 0]])
+
+    def leaves(self, nodes: np.ndarray) -> np.ndarray:
+        return self.children[nodes, 0] == self.children[nodes, 1]
 
 
 class Best:
     """Each query's k best (score, id) so far, and the least score that can still matter."""
 
     def __init__(self, n: int, k: int, floor: np.ndarray):
-        self.k, self.score, self.id, self.floor = k, np.full((n, k), NONE), np.full((n, k), NONE), floor.copy()
+        self.k, self.score, self.id, self.floor, self.scored = k, np.full((n, k), NONE), np.full((n, k), NONE), floor.copy(), 0
 
     def add(self, rows: slice, own: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         scores = np.where(own[:, None] == ids[None, :], NONE, scores)
@@ -107,45 +122,80 @@ class Best:
         i = np.concatenate([self.id[at], np.broadcast_to(ids[keep], (len(some), len(keep)))], axis=1)
         by = np.argsort(i, axis=1, kind="stable")
         s, i = np.take_along_axis(s, by, 1), np.take_along_axis(i, by, 1)
-        by = np.argsort(-s.astype(np.float64) if np.abs(s[s != NONE]).max(initial=0) < 1 << 53 else ~s, axis=1, kind="stable")[:, : self.k]
+        by = np.argsort(~s, axis=1, kind="stable")[:, : self.k]
         self.score[at], self.id[at] = np.take_along_axis(s, by, 1), np.take_along_axis(i, by, 1)
         self.floor[at] = np.maximum(self.floor[at], self.score[at, -1])
 
 
-def search(queries: CoverTree, data: CoverTree, best: Best) -> None:
-    """Descend both trees together; the most promising data first."""
-    exact = float(np.abs(queries.points).max(initial=0)) * float(np.abs(data.points).max(initial=0)) * queries.points.shape[1] < 1 << 52
-    qp, dp = (queries.points.astype(np.float64), data.points.astype(np.float64)) if exact else (queries.points, data.points)
-    dc = np.array(data.centre)
-    dr, dn = np.array(data.radius), np.array(data.norm)
+def scores_of(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Exact integer inner products of whole numbers; those that don't fit 64 bits are the nearest that does."""
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * queries.shape[1]
+    if most < 1 << 52:
+        return (queries @ data.T).astype(np.int64)
+    if most < 1 << 62:
+        return queries.astype(np.int64) @ data.astype(np.int64).T
+    whole = np.vectorize(int, otypes=[object])
+    return np.vectorize(lambda x: min(MOST, max(NONE + 1, x)), otypes=[np.int64])(whole(queries) @ whole(data).T)
+
 
-    def bound(q: int, nodes: np.ndarray) -> np.ndarray:
-        top = dc[nodes] @ queries.centre[q] + queries.norm[q] * dr[nodes] + queries.radius[q] * (dn[nodes] + dr[nodes])
-        return top + 1e-6 * (1 + np.abs(top) + (queries.norm[q] + queries.radius[q]) * (dn[nodes] + dr[nodes]))
+def search(queries: CoverTree, data: CoverTree, best: Best) -> None:
+    """Descend both trees together; then queries side by side, each with its own bounds, the most promising data first."""
+    if not len(queries.ids) or not len(data.ids):
+        return
+    centres, norms = data.points[data.centre], np.sqrt((data.points[data.centre] ** 2).sum(axis=1))
+    own_centres = queries.points[queries.centre]
+    own_norms = np.sqrt((own_centres**2).sum(axis=1))
+    sizes = np.sqrt((queries.points**2).sum(axis=1))
+
+    def bounds(points: np.ndarray, size: np.ndarray, reach: float, nodes: np.ndarray) -> np.ndarray:
+        """The most that inner products of points, or of what lies within reach of them, can be."""
+        top = points @ centres[nodes].T
+        spread = size[:, None] * data.radius[nodes] + reach * (norms[nodes] + data.radius[nodes])
+        return top + spread + 1e-6 * (1 + np.abs(top) + (size[:, None] + reach) * (norms[nodes] + data.radius[nodes]))
+
+    def side_by_side(lo: int, hi: int, nodes: np.ndarray) -> None:
+        rows = slice(lo, hi)
+        while True:
+            tops = bounds(queries.points[rows], sizes[rows], 0.0, nodes)
+            alive = (tops >= best.floor[rows, None]).any(axis=0)
+            nodes, tops = nodes[alive], tops[:, alive]
+            if data.leaves(nodes).all():
+                break
+            nodes = data.below(nodes)
+        by = np.argsort(-(tops.max(axis=0) if len(nodes) else np.array([])), kind="stable")
+        nodes, tops = nodes[by], tops[:, by]
+        while len(nodes):
+            n = data.end[nodes] - data.begin[nodes]
+            now = max(1, int(np.searchsorted(np.cumsum(n), STEP, side="right")))
+            part = np.repeat(data.begin[nodes[:now]] - np.cumsum(n[:now]) + n[:now], n[:now]) + np.arange(n[:now].sum())
+            best.add(rows, queries.ids[rows], data.ids[part], scores_of(queries.points[rows], data.points[part]))
+            best.scored += (hi - lo) * len(part)
+            alive = (tops[:, now:] >= best.floor[rows, None]).any(axis=0)
+            nodes, tops = nodes[now:][alive], tops[:, now:][:, alive]
 
     def descend(q: int, nodes: np.ndarray) -> None:
-        rows = slice(queries.begin[q], queries.end[q])
-        bounds = bound(q, nodes)
-        by = np.argsort(-bounds)
-        nodes, bounds = nodes[by], bounds[by]
-        if queries.children[q]:
-            nodes = nodes[bounds >= best.floor[rows].min()]
-            opened = [c for n in nodes for c in (data.children[n] or [n])]
-            for child in queries.children[q] if len(opened) else ():
-                descend(child, np.array(opened))
+        lo, hi = int(queries.begin[q]), int(queries.end[q])
+        top = bounds(own_centres[q : q + 1], own_norms[q : q + 1], float(queries.radius[q]), nodes)[0]
+        nodes = nodes[top >= best.floor[lo:hi].min()]
+        if not len(nodes):
             return
-        for n, top in zip(nodes.tolist(), bounds.tolist(), strict=True):
-            if top < best.floor[rows].min():
-                break
-            if data.children[n]:
-                descend(q, np.array(data.children[n]))
-            else:
-                part = slice(data.begin[n], data.end[n])
-                scores = qp[rows] @ dp[part].T
-                best.add(rows, queries.ids[rows], data.ids[part], scores.astype(np.int64) if exact else scores)
+        first, last = queries.children[q]
+        if first == last or hi - lo <= SIDE:
+            side_by_side(lo, hi, nodes)
+            return
+        opened, child = data.below(nodes), int(first)
+        while child < last:
+            large = child
+            while large < last and queries.end[large] - queries.begin[child] <= SIDE:
+                large += 1
+            if large - child <= 1:
+                descend(child, opened)
+                child += 1
+            else:  # small children go together
+                side_by_side(int(queries.begin[child]), int(queries.end[large - 1]), opened)
+                child = large
 
-    if len(queries.ids) and len(data.ids):
-        descend(0, np.array([0]))
+    descend(0, np.array([0]))
 
 
 def _points(lists: pa.ListArray, width: int) -> np.ndarray:
@@ -153,8 +203,8 @@ def _points(lists: pa.ListArray, width: int) -> np.ndarray:
     flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.offsets)
     sizes = np.diff(ends)
     if (sizes == width).all():
-        return flat.reshape(-1, width).astype(np.int64)
-    out = np.zeros((len(sizes), width), np.int64)
+        return flat.reshape(-1, width).astype(np.float64)
+    out = np.zeros((len(sizes), width))
     for i, (a, b) in enumerate(zip(ends[:-1] - ends[0], ends[1:] - ends[0], strict=True)):
         out[i, : b - a] = flat[a:b]
     return out
@@ -162,7 +212,7 @@ def _points(lists: pa.ListArray, width: int) -> np.ndarray:
 
 def grouped(rows: DataFrame, sample: np.ndarray, n: int) -> DataFrame:
     """rows plus group: the nearest of n points of the sample, picked farthest first."""
-    real = sample.astype(np.float64)
+    real = sample
     nearest, picked = np.full(len(real), np.inf), [0]
     while len(picked) < min(n, len(real)):
         nearest = np.minimum(nearest, ((real - real[picked[-1]]) ** 2).sum(axis=1))
@@ -171,11 +221,11 @@ def grouped(rows: DataFrame, sample: np.ndarray, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _points(batch.column("v"), centres.shape[1]).astype(np.float64)
+            x = _points(batch.column("v"), centres.shape[1])
             group = ((centres * centres).sum(axis=1)[None, :] - 2 * (x @ centres.T)).argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group.astype(np.int32))], [*batch.schema.names, "group"])
 
-    return rows.mapInArrow(run, "vec_id long, v array<long>, group int")
+    return rows.mapInArrow(run, "vec_id long, v array<double>, group int")
 
 
 def blocks(rows: DataFrame, size: int, k: int, sample: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
@@ -191,7 +241,7 @@ def blocks(rows: DataFrame, size: int, k: int, sample: tuple[np.ndarray, np.ndar
         best = Best(len(ids), k, np.full(len(ids), NONE))
         if sample:
             search(tree, CoverTree(*sample), best)
-        out = {"block": [f"{table.column('group')[0]}-{table.column('part')[0]}"], "group": [table.column("group")[0].as_py()], "centre": [tree.centre[0].tolist()], "radius": [tree.radius[0]], "norm": [tree.norm[0]], "floor": [int(best.floor.min())], "tree": [pickle.dumps((tree, best.floor))]}
+        out = {"block": [f"{table.column('group')[0]}-{table.column('part')[0]}"], "group": [table.column("group")[0].as_py()], "centre": [tree.points[tree.centre[0]].tolist()], "radius": [float(tree.radius[0])], "norm": [float(np.sqrt((tree.points[tree.centre[0]] ** 2).sum()))], "floor": [int(best.floor.min())], "tree": [pickle.dumps((tree, best.floor))]}
         return pa.table(out, schema=pa.schema([("block", pa.string()), ("group", pa.int32()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), ("norm", pa.float64()), ("floor", pa.int64()), ("tree", pa.binary())]))
 
     return dealt.select("group", "part", "vec_id", "v").groupBy("group", "part").applyInArrow(pack, "block string, group int, centre array<double>, radius double, norm double, floor long, tree binary")
@@ -224,8 +274,9 @@ def top_k(vectors: DataFrame, every: int, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, its k best other rows.
 
     Shorter vectors count as padded with zeros. Repeated vec_ids are rows of their own, except that a row is never a
-    candidate of a query with its own vec_id, and of repeated query ids the smallest vector asks. Scores are 64-bit
-    integers. A table without vectors or without queries gives no rows.
+    candidate of a query with its own vec_id, and of repeated query ids the smallest vector asks. Scores are exact 64-bit
+    integers; one that doesn't fit is the nearest that does, and ranks as that. A table without vectors or without queries
+    gives no rows.
     """
     spark, folder = vectors.sparkSession, common.scratch(vectors.sparkSession, "topk")
     rows = common.written(quantised(vectors), f"{folder}/rows")
@@ -239,10 +290,11 @@ def top_k(vectors: DataFrame, every: int, k: int) -> DataFrame:
     data = common.written(blocks(rows, ROWS, k, None), f"{folder}/data")
     queries = common.written(blocks(asked, QUERIES, k, sample), f"{folder}/queries")
 
-    # every pair of blocks: of each stated query block with all data blocks, by what is known of each
-    numbered = queries.select("block", "group", "centre", "radius", "norm", "floor").withColumn("all", F.lit(0))
-    known = data.select(F.col("block").alias("data_block"), F.col("group").alias("data_group"), F.col("centre").alias("c"), F.col("radius").alias("r"), F.col("norm").alias("n")).withColumn("all", F.lit(0))
-    pairs = numbered.join(known, "all")
+    # query blocks are sent to each group, and there to its data blocks: by a key of up to CENTRES values, whatever the blocks
+    groups = data.select("group").distinct()
+    numbered = queries.select("block", "group", "centre", "radius", "norm", "floor", F.explode(F.lit([r[0] for r in groups.collect()])).alias("data_group"))  # CENTRES numbers
+    known = data.select(F.col("block").alias("data_block"), F.col("group").alias("data_group"), F.col("centre").alias("c"), F.col("radius").alias("r"), F.col("norm").alias("n"))
+    pairs = common.written(numbered, f"{folder}/sent").join(known, "data_group")
     dot = F.aggregate(F.zip_with("centre", "c", lambda x, y: F.coalesce(x, F.lit(0.0)) * F.coalesce(y, F.lit(0.0))), F.lit(0.0), lambda acc, x: acc + x)
     spread = F.col("norm") * F.col("r") + F.col("radius") * (F.col("n") + F.col("r"))
     most = dot + spread + 1e-6 * (1 + F.abs(dot) + spread)
