@@ -147,6 +147,16 @@ def test_disclosing_terms(spark):
     assert all(not got[i]["spans"] for i in range(200))
 
 
+def test_copies_disclose_nothing(spark):
+    """However often a text with an entity is copied, it is one text; two different ones that share a term do count."""
+    rows = [(i, f"plain words about nothing {i}") for i in range(200)] + [(500 + i, "note quixor ask zorblax at secret.person@mail.example.com today") for i in range(30)]
+    got = {r["doc_id"]: r for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[500 + i]["n_removed"] == got[500 + i]["n_generalised"] == 0 and got[500 + i]["n_email"] == 1 for i in range(30))
+    rows.append((600, "other zorblax words secret.person@mail.example.com"))
+    got = {r["doc_id"]: r for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[500 + i]["n_removed"] for i in range(30)} == {got[600]["n_removed"]} == {1}
+
+
 def test_addresses_with_zero_parts(spark):
     good, bad = ["10.0.0.1", "127.0.0.1", "0.0.0.0", "00.000.0.010", "192.168.0.1"], ["0.0.0.256", "10.0.0.0000999"]
     got = {r["doc_id"]: r for r in pii.scan(spark.createDataFrame([(i, f"from {x} on") for i, x in enumerate(good + bad)], "doc_id long, text string")).collect()}
@@ -157,9 +167,9 @@ def test_addresses_with_zero_parts(spark):
 def test_disclosing_terms_far_from_entities(spark):
     """Each place of a term counts, whatever its distance, and terms with digits or of two letters as well."""
     far = "plain words about nothing " * 9
-    rows = [(i, f"plain words about nothing {i}") for i in range(200)] + [(500 + i, f"zorblax q7 {far}secret.person@mail.example.com {far}Zorblax") for i in range(3)]
+    rows = [(i, f"plain words about nothing {i}") for i in range(200)] + [(500 + i, f"zorblax q7 {far}secret.person@mail.example.com {far}Zorblax" + "!" * i) for i in range(3)]
     got = {r["doc_id"]: r for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    n = len(rows[-1][1])
+    n = len(rows[-1][1]) - 2
     assert {"removed:0:7", "removed:8:10", f"removed:{n - 7}:{n}"} <= set(got[502]["spans"].split(",")) and got[502]["n_removed"] == 3
     assert all(not got[i]["spans"] for i in range(200))
 
@@ -256,17 +266,18 @@ def test_disclosure_by_brute_force(spark):
             words.append(f"hint{rng.randrange(6)}")
         texts.append((rng.choice([" ", ", ", " - "])).join(words) + (" filler" * 2500 + " Mark1" if rng.random() < 0.03 else ""))
     low = lambda w: w.lower()
+    texts += texts[:40] * 2  # copies count once
     split = [re.findall(pii.WORD, t) for t in texts]
     held = [{f"{k}:{t[a:b].lower()}" for a, _, b, k in private_spans(t)} for t in texts]
     n_t, n_e, n_te = {}, {}, {}
-    for ws, es in zip(split, held, strict=True):
+    for ws, es in {t: x for t, *x in zip(texts, split, held, strict=True)}.values():
         for e in es:
             n_e[e] = n_e.get(e, 0) + 1
         for w in {low(w) for w in ws}:
             n_t[w] = n_t.get(w, 0) + 1
             for e in es:
                 n_te[e, w] = n_te.get((e, w), 0) + 1
-    n = len(texts)
+    n = len(set(texts))
     share = {k: np.log2(n * c / (n_t[k[1]] * n_e[k[0]])) / np.log2(n / n_e[k[0]]) for k, c in n_te.items() if c >= 2}
     got = {r["doc_id"]: r for r in pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     seen = set()
@@ -289,23 +300,29 @@ def test_disclosure_by_brute_force(spark):
 
 
 def test_language_id_by_brute_force(spark):
-    """Dictionaries of few documents and every prediction, against plain code; each language's share of a small total."""
+    """Dictionaries of few documents and every prediction, against plain code, also where few documents or few bytes are asked for."""
     rng = random.Random(3)
     tongues = {f"l{k:02d}": ["".join(rng.choice("abcdefgé") for _ in range(rng.randrange(2, 8))) for _ in range(60)] for k in range(12)}
     rows = [(i, " ".join(rng.choice(tongues[k]) for _ in range(rng.randrange(1, 90))), k) for i, k in enumerate(rng.choice(list(tongues)) for _ in range(400))]
     rows += [(7, rows[7][1], rows[7][2])] * 3 + [(500, None, "l01"), (501, "", "l01"), (502, "12 34", None), (503, rows[0][1], None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    for total in (langid.TOTAL, 12 * 65 * 20):
-        langid.TOTAL, was = total, langid.TOTAL
+    h = {(r["doc_id"], r["text"]): r["h"] for r in df.selectExpr("doc_id", "text", "shiftrightunsigned(xxhash64(doc_id, text), 2) AS h").collect()}
+    for sample, total in ((langid.SAMPLE, langid.TOTAL), (5, langid.TOTAL), (langid.SAMPLE, 12 * 900)):
+        (langid.SAMPLE, langid.TOTAL), was = (sample, total), (langid.SAMPLE, langid.TOTAL)
+        usable = [r for r in set(rows) if r[1] is not None and r[2] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+        names = sorted({k for _, _, k in usable})
         held = {}
-        for i, t, k in set(rows):
-            if t is not None and k is not None and zlib.crc32(str(i).encode()) % 4 != 2:
-                held.setdefault(k, set()).update(langid.pieces_of(t))
+        for k in names:
+            own, size = sorted((r for r in usable if r[2] == k), key=lambda r: h[r[0], r[1]])[:sample], 0
+            for at, (_, t, _) in enumerate(own):
+                size += len(t.encode())
+                if at == 0 or size <= total / len(names):
+                    held.setdefault(k, set()).update(langid.pieces_of(t))
         digest = lambda p: hashlib.blake2b(p, digest_size=8).digest()
-        want = {k: b"\n".join(sorted(held[k], key=digest)[: total // len(held) // 65]) for k in sorted(held)}
+        want = {k: b"\n".join(sorted(held[k], key=digest)) for k in names}
         assert langid.fit(df) == want
         got = [tuple(r) for r in langid.identify(df).collect()]
-        langid.TOTAL = was
+        langid.SAMPLE, langid.TOTAL = was
         import zstandard
 
         known = {k: zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for k, v in want.items()}

@@ -5,9 +5,9 @@ The language whose dictionary gives the smallest output is chosen; the score is
 under every dictionary don't tell their language. Texts are lower-cased and reduced to letters and spaces, then compressed
 whole, in blocks of BLOCK bytes, so that a long text doesn't serve as its own dictionary.
 
-Dictionaries are fitted on a bounded sample: of each language at most SAMPLE documents, those with the smallest hash of
-doc_id and text, and of each whole text the PIECES pieces of PIECE bytes with the smallest hash, wherever they stand. All
-languages have one; where they are so many that dictionaries would exceed TOTAL bytes, each has an equal share of that.
+Dictionaries are fitted on a bounded sample of whole texts: of each language at most SAMPLE documents, those with the smallest
+hash of doc_id and text, as many of them in that order as fit a language's share of TOTAL bytes, but one at least. A dictionary
+has all of its documents' distinct pieces of PIECE bytes.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import common
 from tidemark.llm.common import schema_plus
 
-SAMPLE, PIECES, PIECE, TOTAL, BLOCK, LEVEL, MARGIN = 400, 8, 64, 64 << 20, 2048, 4, 0.005
+SAMPLE, PIECE, TOTAL, BLOCK, LEVEL, MARGIN = 200, 64, 32 << 20, 2048, 4, 0.005
 _LETTER = regex.compile(r"\p{L}")
 _TO_LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -39,9 +39,9 @@ def _digest(piece: bytes) -> bytes:
 
 
 def pieces_of(text: str) -> list[bytes]:
-    """The pieces with the smallest hashes, from anywhere in the text."""
+    """The whole text in pieces."""
     body = letters(text)
-    return sorted({body[i : i + PIECE] for i in range(0, len(body), PIECE)}, key=_digest)[:PIECES]
+    return [body[i : i + PIECE] for i in range(0, len(body), PIECE)]
 
 
 def held_out() -> Column:
@@ -57,10 +57,12 @@ def sampled(docs: DataFrame) -> DataFrame:
     usable = usable.select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).alias("h"))
     folder = common.scratch(docs.sparkSession, "languages")
     counts = common.few(usable.groupBy("lang").count(), f"{folder}/counts")  # a row per language
-    near = usable.select("lang", "h").join(counts, "lang").where(F.col("h") / float(1 << 62) < 2 * SAMPLE / F.col("count"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = near.groupBy("lang", "h").agg(F.count("*").alias("n")).withColumn("rank", rank).where(f"rank <= {SAMPLE}").select("lang", "h")
-    picked = common.few(picked, f"{folder}/picked")
+    near = usable.select("lang", "h", F.octet_length("text").alias("size")).join(counts, "lang").where(F.col("h") / float(1 << 62) < 2 * SAMPLE / F.col("count"))
+    order = Window.partitionBy("lang").orderBy("h")
+    share = F.lit(TOTAL) / F.greatest(F.lit(1), F.lit(counts.count()))
+    once = near.groupBy("lang", "h").agg(F.max("size").alias("size")).withColumn("rank", F.row_number().over(order)).where(f"rank <= {SAMPLE}")
+    sized = once.withColumn("bytes", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))  # SAMPLE rows a language
+    picked = common.few(sized.where((F.col("rank") == 1) | (F.col("bytes") <= share)).select("lang", "h"), f"{folder}/picked")
     return usable.join(picked, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
 
 
@@ -73,10 +75,9 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(found, pa.list_(pa.binary()))], ["lang", "pieces"])
 
     held: dict[str, set[bytes]] = defaultdict(set)
-    for r in sampled(docs).mapInArrow(run, "lang string, pieces array<binary>").toLocalIterator():  # SAMPLE * PIECES * PIECE bytes a language
+    for r in sampled(docs).mapInArrow(run, "lang string, pieces array<binary>").toLocalIterator():  # TOTAL bytes, or a document a language
         held[r["lang"]].update(map(bytes, r["pieces"]))
-    most = TOTAL // max(1, len(held)) // (PIECE + 1)
-    return {lang: b"\n".join(sorted(held[lang], key=_digest)[:most]) for lang in sorted(held)}
+    return {lang: b"\n".join(sorted(held[lang], key=_digest)) for lang in sorted(held)}
 
 
 class Classifier:

@@ -2,9 +2,13 @@
 
 Patterns find the protected entities. Over the corpus, a term's disclosure of an entity is their pointwise mutual
 information as a share of the entity's information content: log2(N n_te / (n_t n_e)) / log2(N / n_e), where N counts
-documents, n_e those with the entity, n_t those with the term and n_te those with both, anywhere. Beyond REMOVE a term is
+distinct texts, n_e those with the entity, n_t those with the term and n_te those with both, anywhere. Beyond REMOVE a term is
 removed, beyond GENERALISE generalised: each place of it in documents with the entity, outside of entities, becomes a span
-of kind `removed` or `general`. A pair must co-occur in SUPPORT documents, as one document says nothing about co-occurrence.
+of kind `removed` or `general`. A pair must co-occur in SUPPORT distinct texts: one text says nothing about co-occurrence,
+however often it is copied.
+
+As n_te is at most n_e, a term of more than n_e (N / n_e)^(1 - GENERALISE) texts can't disclose the entity; so only rare
+terms are paired with the entities of their texts.
 In the sanitised text entities are named by their kind, removed terms are gone, generalised ones say what they are.
 """
 
@@ -19,6 +23,8 @@ from tidemark.llm.spans import listed, replaced, tagged, with_spans
 SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.95
 #: Tables of at most so many terms are broadcast (100 bytes each or so); larger ones are joined by exchanges.
 FEW = 500_000
+#: As many hashes of repeated texts are broadcast (24 bytes each).
+MOST_COPIED = 1_000_000
 #: Words of a text that are placed together, and those whose lengths are added up together.
 SEGMENT, BLOCK = 1024, 32
 #: The base kinds' patterns, in forms without repeated groups that vary in width: those recurse, and a long text overflows the
@@ -66,16 +72,29 @@ def _words(text: str = "text") -> Column:
     return F.explode(F.array_distinct(F.filter(F.split(F.lower(text), BETWEEN), lambda w: w != ""))).alias("term")
 
 
-def told_terms(texts: DataFrame, docs: DataFrame, frequent: DataFrame, folder: str) -> DataFrame:
-    """entity, term, removed: what discloses. texts: text, entities of documents with frequent entities (entity, n_e); docs: text."""
-    both = texts.select("entities", _words()).select(F.explode("entities").alias("entity"), "term")
-    together = common.written(both.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT), f"{folder}/together")
-    terms = common.few(together.select("term").distinct(), f"{folder}/terms", FEW)
-    words = docs.select(_words()).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.agg(F.count("*").alias("n"))  # one row
-    pairs = together.join(frequent, "entity").join(common.written(words, f"{folder}/words"), "term").join(F.broadcast(total))
-    share = F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.col("n") / F.col("n_e"))
-    told = pairs.where("n > n_e").withColumn("share", share).where(F.col("share") >= GENERALISE)
+def distinct_weight(docs: DataFrame, folder: str) -> DataFrame:
+    """docs plus weight: of equal texts each has its share of one, so that sums count distinct texts."""
+    key = {"__h0": F.xxhash64("text"), "__h1": F.xxhash64(F.lit(7), "text")}
+    copies = docs.select(*(v.alias(k) for k, v in key.items())).groupBy(*key).agg(F.count("*").alias("__copies")).where("__copies > 1")
+    repeated = common.few(copies, f"{folder}/copies", MOST_COPIED)
+    return docs.withColumns(key).join(repeated, list(key), "left").withColumn("weight", 1.0 / F.coalesce("__copies", F.lit(1))).drop("__copies", *key)
+
+
+def told_terms(texts: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
+    """entity, term, removed: what discloses. texts: text, entities (struct<entity, n_e>) of distinct texts with frequent entities; docs: text."""
+    words = texts.select("entities", _words())
+    often = words.groupBy("term").count().where(F.col("count") >= SUPPORT).select("term")
+    terms = common.few(often, f"{folder}/terms", FEW)
+    weighed = distinct_weight(docs, folder)
+    n = round(weighed.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0])
+    most = texts.select(F.array_max(F.transform("entities", lambda e: e["n_e"])).alias("m")).agg(F.coalesce(F.max("m"), F.lit(0))).first()[0]
+    bound = lambda n_e: F.pow(n_e.cast("double"), F.lit(GENERALISE)) * float(n) ** (1 - GENERALISE) * (1 + 1e-9)
+    counted = weighed.select(_words(), "weight").join(terms, "term", "left_semi").groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("n_t"))
+    rare = common.few(counted.where(F.col("n_t") <= bound(F.lit(most))), f"{folder}/rare", FEW)
+    met = words.join(rare, "term").select("term", "n_t", F.explode("entities").alias("e")).select("term", "n_t", "e.*").where(F.col("n_t") <= bound(F.col("n_e")))
+    together = met.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e")).where(F.col("n_te") >= SUPPORT)
+    share = F.log2(F.lit(n) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.lit(n) / F.col("n_e"))
+    told = together.where(F.col("n_e") < n).withColumn("share", share).where(F.col("share") >= GENERALISE)
     return common.few(told.select("entity", "term", (F.col("share") >= REMOVE).alias("removed")), f"{folder}/told", FEW)
 
 
@@ -105,14 +124,18 @@ def placed(texts: DataFrame) -> DataFrame:
 
 
 def disclosing(found: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
-    """row, terms: struct<start, rank, end, kind, value>. found: row, base, text of documents with entities; docs: text."""
-    each = found.select("row", F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity"))
-    entities = each.groupBy("entity").agg(F.count("*").alias("n_e"))
-    frequent = common.written(entities.where(F.col("n_e") >= SUPPORT), f"{folder}/frequent")  # no other pair can co-occur so often
-    held = each.join(frequent, "entity").groupBy("row").agg(F.collect_list("entity").alias("entities"))  # of one document
+    """row, terms: struct<start, rank, end, kind, value>. found: a written table of row, base, text of documents with entities; docs: text."""
+    key = {"h0": F.xxhash64("text"), "h1": F.xxhash64(F.lit(7), "text")}
+    entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))
+    marked = common.written(found.select("row", *(v.alias(k) for k, v in key.items()), entities.alias("entities")), f"{folder}/marked-rows")
+    firsts = common.written(marked.groupBy(*key).agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first")), f"{folder}/firsts")  # a row for each distinct text
+    each = marked.join(firsts, "row", "left").select("row", "first", F.explode("entities").alias("entity"))
+    counts = each.where("first").groupBy("entity").agg(F.count("*").alias("n_e"))
+    frequent = common.written(counts.where(F.col("n_e") >= SUPPORT), f"{folder}/frequent")  # no other pair can co-occur so often
+    held = each.join(frequent, "entity").groupBy("row").agg(F.first("first").alias("first"), F.collect_list(F.struct("entity", "n_e")).alias("entities"))  # of one document
     texts = common.written(found.join(common.written(held, f"{folder}/held"), "row"), f"{folder}/texts")
-    told = told_terms(texts, docs, frequent, folder)
-    met = texts.select("row", "entities", _words()).select("row", F.explode("entities").alias("entity"), "term").join(told, ["entity", "term"])
+    told = told_terms(texts.where("first"), docs, folder)
+    met = texts.select("row", F.transform("entities", lambda e: e["entity"]).alias("entities"), _words()).join(told, "term").where(F.array_contains("entities", F.col("entity"))).select("row", "term", "removed")
     worst = met.groupBy("row", "term").agg(F.max("removed").alias("removed"))
     which = lambda removed: F.collect_list(F.when(F.col("removed") == F.lit(removed), F.col("term")))
     marked = common.written(worst.groupBy("row").agg(which(True).alias("gone"), which(False).alias("dim")), f"{folder}/marked")
