@@ -119,26 +119,73 @@ def test_top_k(spark):
     assert topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").limit(0), 20, 20).count() == 0
 
 
+def depth(tree, node=0):
+    first, last = tree.children[node]
+    return 1 + max((depth(tree, c) for c in range(first, last)), default=0)
+
+
 def test_cover_tree():
-    """Nesting, covering and separation, on clustered and on evenly spread points, with repeated ones."""
+    """Nesting, covering and separation, on clustered and on evenly spread points, with repeated ones; real leaves at the bottom."""
     rng = np.random.default_rng(4)
-    for points in (rng.integers(-50, 50, (40, 8)).repeat(30, axis=0) * 20 + rng.integers(-6, 7, (1200, 8)), rng.integers(-999, 999, (900, 3)), np.zeros((700, 4), np.int64)):
-        tree, inner = topk.CoverTree(np.arange(len(points)), points), 0
-        assert sorted(tree.ids) == list(range(len(points)))
-        for node, children in enumerate(tree.children):
-            own = tree.points[tree.begin[node] : tree.end[node]].astype(float)
-            far = np.sqrt(((own - tree.centre[node]) ** 2).sum(axis=1))
-            assert far.max() <= tree.radius[node] + 1e-9 and (far == 0).any()
-            if children:
-                inner += 1
-                assert tree.radius[node] <= 2.0 ** tree.level[node]
-                centres = np.array([tree.centre[c] for c in children])
-                assert (centres == tree.centre[node]).all(axis=1).any()
-                assert all(tree.radius[c] <= 2.0 ** (tree.level[node] - 1) for c in children)
-                d = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2)) + np.eye(len(centres)) * 1e9
-                assert d.min() > 2.0 ** (tree.level[node] - 1)
-                assert [tree.begin[node], *(tree.end[c] for c in sorted(children, key=lambda c: tree.begin[c]))][-1] == tree.end[node]
-        assert inner or len(points) == 700
+    unit = rng.normal(size=(1500, 64))
+    unit = np.floor(64 * unit / np.linalg.norm(unit, axis=1)[:, None])
+    cases = [rng.integers(-50, 50, (40, 8)).repeat(30, axis=0) * 20 + rng.integers(-6, 7, (1200, 8)), rng.integers(-999, 999, (900, 3)), np.zeros((700, 4)), unit]
+    for points, least in zip(cases, (3, 4, 1, 2), strict=True):
+        tree = topk.CoverTree(np.arange(len(points)), points.astype(float))
+        assert sorted(tree.ids) == list(range(len(points))) and depth(tree) >= least
+        assert (tree.points == points[tree.ids]).all()
+        for node, (first, last) in enumerate(tree.children):
+            own = tree.points[tree.begin[node] : tree.end[node]]
+            far = np.sqrt(((own - tree.points[tree.centre[node]]) ** 2).sum(axis=1))
+            assert far.max() <= tree.radius[node] + 1e-9 and tree.begin[node] <= tree.centre[node] < tree.end[node]
+            if first == last:
+                assert len(own) <= topk.LEAF or tree.radius[node] == 0
+                continue
+            kids = range(first, last)
+            assert tree.radius[node] <= 2.0 ** tree.level[node]
+            centres = tree.points[tree.centre[first:last]]
+            assert (centres == tree.points[tree.centre[node]]).all(axis=1).any()
+            assert all(tree.radius[c] <= 2.0 ** (tree.level[node] - 1) for c in kids)
+            d = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2)) + np.eye(len(centres)) * 1e9
+            assert d.min() > 2.0 ** (tree.level[node] - 1)
+            assert [tree.begin[node], *(tree.end[c] for c in kids)] == [*(tree.begin[c] for c in kids), tree.end[node]]
+
+
+def test_dual_tree_search():
+    """Exact whatever is dropped, and most pairs are dropped where points have clusters."""
+    rng = np.random.default_rng(6)
+    clustered = np.floor(rng.normal(size=(60, 16)).repeat(50, axis=0) * 300 + rng.normal(size=(3000, 16)) * 6)
+    for points, share in ((clustered, 0.5), (np.floor(rng.normal(size=(1200, 24)) * 40), 1.0)):
+        ids = np.arange(len(points)) * 3
+        data, queries = topk.CoverTree(ids, points), topk.CoverTree(ids[::4], points[::4])
+        best = topk.Best(len(queries.ids), 20, np.full(len(queries.ids), topk.NONE))
+        topk.search(queries, data, best)
+        for q, scores, found in zip(queries.ids, best.score, best.id, strict=True):
+            exact = points @ points[q // 3]
+            order = [i for i in np.lexsort((ids, -exact)) if ids[i] != q][:20]
+            assert found.tolist() == ids[order].tolist() and scores.tolist() == exact[order].tolist()
+        assert best.scored <= share * len(queries.ids) * len(ids)
+
+
+def test_top_k_of_large_numbers(spark):
+    """Finite vectors of any size take part: scores are exact, and those beyond 64 bits are the nearest that fit."""
+    rng = random.Random(8)
+    rows = [(0, [2.0**26, 0.0]), (20, [1.0, 1.0]), (3, [2.0**26, 1.0]), (40, [-(2.0**30), 2.0**29 + 0.5]), (5, [1e30, -1.0]), (60, [3e38, 3e38]), (61, [0.015625, -1e-9])] + [(100 + i, [rng.uniform(-1, 1) * 2.0 ** rng.randrange(40), rng.uniform(-9, 9)]) for i in range(120)]
+    whole = {i: [int(np.floor(np.float64(np.float32(x)) * 64)) for x in v] for i, v in rows}
+    want = []
+    for q in sorted(i for i in whole if i % 20 == 0):
+        fits = lambda x: min(2**63 - 1, max(-(2**63) + 1, x))
+        scores = sorted(((-fits(sum(a * b for a, b in zip(whole[q], v, strict=True))), i) for i, v in whole.items() if i != q))[:20]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 20, 20).collect()]
+    assert sorted(got) == want
+
+
+def jaccard_roots(texts):
+    """Which texts similarities of 0.8 or more link, by plain five-word sets; texts without words are alike."""
+    words = [re.sub("[A-Z]", lambda m: m.group().lower(), t or "").split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    return closure(np.array([[a == b or len(a & b) >= 0.8 * len(a | b) for a in sets] for b in sets]))
 
 
 def test_pipeline(spark, tmp_path):
@@ -151,15 +198,17 @@ def test_pipeline(spark, tmp_path):
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
     clean = [text(120) for _ in range(60)]
     item = text(40)
-    texts = [*clean, clean[0], clean[1] + " " + words[0], "12 34 !!", text(30) + " " + item, text(50) + " password=s3cretvalue99 " + text(20), "", None, "kurz nur"]
+    # of five-word shingles: 0.97, 0.86 and 0.72 in common with the texts that they come from; fingerprints differ in many bits
+    near = [clean[1] + " " + text(3), clean[2] + " " + text(20), clean[3] + " " + text(45)]
+    texts = [*clean, clean[0], *near, "12 34 !!", text(30) + " " + item, text(50) + " password=s3cretvalue99 " + text(20), "", None, "kurz nur"]
     rows = [(i, t, "aa", f"src{i % 5}", None if t is None else len(t)) for i, t in enumerate(texts)] + [(3, clean[3], "aa", "src3", len(clean[3]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    fps = np.array([fingerprint(t) for t in texts], np.uint64)
     kept = [i for i, t in enumerate(texts) if t and re.search("[a-z]", t)]
-    root = closure((np.bitwise_count(fps[kept][:, None] ^ fps[kept][None, :]) <= 3))
+    root = jaccard_roots([texts[i] for i in kept])
+    assert [int(root[kept.index(61 + i)]) for i in range(3)] == [1, 2, kept.index(63)]
     first = [kept[i] for i in range(len(kept)) if root[i] == i]
     assert set(out) == {i for i in first if item not in texts[i]}
     assert len(out) == corpus_pipeline.run(spark, str(tmp_path)).count()
@@ -170,7 +219,9 @@ def test_pipeline(spark, tmp_path):
 
     ids = [e.ids for e in Tokenizer.from_file(stages.tokenizer(stages.BYTE_BPE)).encode_batch([r["text"] for r in out.values()], add_special_tokens=False)]
     assert all(np.frombuffer(r["token_ids"], "<u4").tolist() == x for r, x in zip(out.values(), ids, strict=True))
-    assert all(list(f(spark, docs.limit(0), str(tmp_path)).columns) == docs.columns and f(spark, docs.limit(0), str(tmp_path)).count() == 0 for _, f in corpus_pipeline.STAGES[:-1])
+    for name, f in corpus_pipeline.STAGES:
+        empty = f(spark, docs.limit(0), str(tmp_path))
+        assert empty.columns == docs.columns + ["n_tokens", "token_ids"] * (name == "bpe_encoding") and empty.count() == 0, name
 
 
 def test_clashing_columns_survive(spark, tmp_path):
@@ -198,18 +249,34 @@ def test_near_dedup_reaches_similarity(spark, documents, odd):
     base = [[f"w{rng.randrange(100_000)}" for _ in range(400)] for _ in range(20)]
     change = lambda w, n: " ".join("new" if i % 40 == 20 and i // 40 < n else x for i, x in enumerate(w))
     texts = [*(" ".join(w) for w in base), *(change(w, n) for n in (4, 8) for w in base), *(" ".join("far" if i % 20 == 10 else x for i, x in enumerate(w)) for w in base)]
-    sets = [{tuple(t.split()[i : i + 5]) for i in range(396)} for t in texts]
-    root = closure(np.array([[len(a & b) >= 0.8 * len(a | b) for a in sets] for b in sets]))
-    assert len(set(root)) == 40
-    for large in (resemblance.LARGE, 2):
-        resemblance.LARGE, was = large, resemblance.LARGE
+    short = ["one two three four five six seven eight", "one two three four five six seven eight nine", "one two three four five six seven"]
+    texts += short
+    root = jaccard_roots(texts)
+    assert len(set(root)) == 42
+    for large, size in ((resemblance.LARGE, resemblance.BYTES), (2, resemblance.BYTES), (resemblance.LARGE, 3000)):
+        (resemblance.LARGE, resemblance.BYTES), was = (large, size), (resemblance.LARGE, resemblance.BYTES)
         out = stages.simhash_near_dedup(spark, documents(texts), "")
         assert sorted(r["doc_id"] for r in out.collect()) == sorted({100 + int(r) for r in root})
-        resemblance.LARGE = was
+        resemblance.LARGE, resemblance.BYTES = was
     seen = {r["text"] for r in stages.simhash_near_dedup(spark, documents(odd), "").collect()}
     assert {t for t in odd if t and t.strip()} <= seen
 
 
+def test_sieve(spark):
+    """What is among the keys is always caught, and a small sieve catches more without losing any."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(2000).select("id", F.xxhash64("id").alias("h"))
+    keys = df.where("id % 10 = 0").union(df.where("id = 7"))
+    for bits in (common.SIEVE_BITS, 1 << 12):
+        common.SIEVE_BITS, was = bits, common.SIEVE_BITS
+        words = common.sieve(keys, "h", f"{common.scratch(spark, 'sieve')}/words")
+        caught, clear = ({r["id"] for r in common.sifted(df, "h", words, x).collect()} for x in (True, False))
+        common.SIEVE_BITS = was
+        assert {r["id"] for r in keys.collect()} <= caught and not caught & clear and len(caught) + len(clear) == 2000
+        assert len(caught) < 400 and words.count() <= bits // 64
+
+
 def test_near_dedup_of_shared_ids(spark):
     """Different texts under one doc_id stay, and copies without a doc_id go."""
     texts = [" ".join(f"{c}{i}" for i in range(50)) for c in "abcd"]
