@@ -26,9 +26,9 @@ def flag(column: str | Column) -> Column:
 
 
 def id_or_sentinel(column: str | Column) -> Column:
-    """A number, also when written like 12.0, as a long; -1 for what isn't one."""
-    raw = F.col(column) if isinstance(column, str) else column
-    return F.coalesce(raw.cast("string").try_cast("double").try_cast("bigint"), F.lit(-1).cast("bigint"))
+    """A number, also when written like 12.0, as a long; -1 for what isn't one. Whole numbers keep all their digits."""
+    raw = (F.col(column) if isinstance(column, str) else column).cast("string")
+    return F.coalesce(raw.try_cast("bigint"), raw.try_cast("double").try_cast("bigint"), F.lit(-1).cast("bigint"))
 
 
 def timestamp_or_null(column: str) -> Column:

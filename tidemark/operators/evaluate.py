@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.scratch import scratch, written
+from tidemark.operators import ranges
 
-#: Ranges of scores that running sums are made in.
-RANGES = 64
 #: Sizes of targeted groups.
 TOP_K = (1000, 2000, 3000, 5000, 10000)
 
@@ -33,20 +31,14 @@ def classification(cm: DataFrame) -> DataFrame:
 def curve(df: DataFrame, label: str = "label", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """Per distinct score: pos, neg, and tp, fp among scores at least as high, p and n in all.
 
-    Scores are pre-aggregated and written; running sums are made inside ranges of them and over the ranges' totals. Ranges
-    lie between quantiles of the distinct scores, so no task holds all of them however they crowd.
+    Scores are pre-aggregated; running sums are made in ranges of them, so no task holds all of them however they crowd.
     """
+    order = [F.desc(score)]
     counts = df.groupBy(*by, score).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
-    counts = written(counts, f"{scratch(df.sparkSession, 'curve')}/scores")
-    cuts = counts.agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 100 * RANGES).alias("__cuts"))  # one row
-    parts = counts.join(F.broadcast(cuts)).withColumn("__r", F.size(F.filter("__cuts", lambda c: c <= F.col(score)))).drop("__cuts")
-    totals = parts.groupBy(*by, "__r").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
-    above = Window.partitionBy(*by).orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, -1)
-    all_ = Window.partitionBy(*by)
-    totals = totals.select(*by, "__r", F.coalesce(F.sum("__p").over(above), F.lit(0)).alias("__p0"), F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__n0"), F.sum("__p").over(all_).alias("p"), F.sum("__n").over(all_).alias("n"))
-    inside = Window.partitionBy(*by, "__r").orderBy(F.desc(score))
-    joined = parts.join(totals, [*by, "__r"])
-    return joined.withColumns({"tp": F.sum("pos").over(inside) + F.col("__p0"), "fp": F.sum("neg").over(inside) + F.col("__n0")}).drop("__r", "__p0", "__n0")
+    rows = ranges.in_ranges(counts, [*map(F.col, by), *order], "curve")
+    totals = rows.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    points = ranges.running(rows, order, {"tp": F.col("pos"), "fp": F.col("neg")}, by=by)
+    return points.join(totals, list(by)) if by else points.join(F.broadcast(totals))  # one row
 
 
 def best_threshold(points: DataFrame, beta: float = 1.0, score: str = "score") -> DataFrame:
@@ -69,10 +61,9 @@ def roc_auc(points: DataFrame) -> DataFrame:
 def ranked_hits(df: DataFrame, sizes: tuple[int, ...], label: str = "label", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """by, top_k, tp_hits: positives among the k highest scores, ties by message_id.
 
-    Only the largest k rows of each task travel.
+    Only the k highest rows of each task travel, and a few tasks' at a time.
     """
-    order = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(score), "message_id"))
-    top = df.withColumn("__n", order).where(F.col("__n") <= max(sizes))
+    top = ranges.first_rows(df, max(sizes), [F.desc(score), F.col("message_id")], by, "__n")
     ks = F.explode(F.array(*map(F.lit, sizes))).alias("top_k")
     return top.select(*by, label, "__n", ks).where("__n <= top_k").groupBy(*by, "top_k").agg(F.sum(label).alias("tp_hits"))
 

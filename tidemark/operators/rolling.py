@@ -1,13 +1,14 @@
-"""Look-back windows of 30 and 7 days: per client by prefix sums, and over all clients by bucketed prefix sums."""
+"""Look-back windows of 30 and 7 days: per client by prefix sums, and over all clients by prefix sums in ranges of time."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranges
 from tidemark.operators.history import earlier, kernel, order, up_to_now
 
-MONTH, WEEK, BUCKET = 720.0, 168.0, 24.0
+MONTH, WEEK = 720.0, 168.0
 
 
 def _start(value: Column, hours: float) -> Column:
@@ -56,19 +57,16 @@ rolling = kernel(_running, after=_looked_back)
 def global_open_rate(df: DataFrame) -> DataFrame:
     """ctx_tc_open_rate_30d: the open rate of all clients' earlier messages of the last 30 days; 0.25 without any.
 
-    Each message is an event at t and a probe at t - 30 days. Both are dealt out by day; totals of days are summed up over
-    the few days, those inside a day by a window. The difference of a message's two running totals is its window.
-    Messages without a time have no window.
+    Each message is an event at t and a probe at t - 30 days, in one order of time. Running totals of events and opens are
+    made in ranges of that order which follow the load, so a day of any size is many tasks; the difference of a message's
+    two is its window. Messages without a time have no window.
     """
     timed = df.where("t IS NOT NULL").select("message_id", "t", "is_opened")
     both = timed.select("message_id", "is_opened", F.explode(F.array(F.struct(F.lit(1).alias("kind"), F.col("t").alias("pos")), F.struct(F.lit(0).alias("kind"), (F.col("t") - MONTH).alias("pos")))).alias("e"))
-    both = both.select("message_id", "e.kind", "e.pos", F.when(F.col("e.kind") == 1, F.col("is_opened")).otherwise(0).alias("opened"), F.floor(F.col("e.pos") / BUCKET).alias("bucket"))
-    inside = Window.partitionBy("bucket").orderBy("pos", "kind", "message_id").rowsBetween(Window.unboundedPreceding, -1)
-    days = both.groupBy("bucket").agg(F.sum("kind").alias("n"), F.sum("opened").alias("s"))
-    over_days = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per day
-    days = days.select("bucket", F.coalesce(F.sum("n").over(over_days), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(over_days), F.lit(0)).alias("s0"))
-    run = both.withColumns({"n": F.coalesce(F.sum("kind").over(inside), F.lit(0)), "s": F.coalesce(F.sum("opened").over(inside), F.lit(0))}).join(F.broadcast(days), "bucket")
+    both = both.select("message_id", "e.kind", "e.pos", F.when(F.col("e.kind") == 1, F.col("is_opened")).otherwise(0).alias("opened"))
+    order = [F.col("pos"), F.col("kind"), F.col("message_id")]
+    run = ranges.running(ranges.in_ranges(both, order, "open-rate"), order, {"n": F.col("kind"), "s": F.col("opened")}, inclusive=False)
     sign = F.when(F.col("kind") == 1, 1).otherwise(-1)
-    windows = run.groupBy("message_id").agg(F.sum(sign * (F.col("n") + F.col("n0"))).alias("__n"), F.sum(sign * (F.col("s") + F.col("s0"))).alias("__s"))
+    windows = run.groupBy("message_id").agg(F.sum(sign * F.col("n")).alias("__n"), F.sum(sign * F.col("s")).alias("__s"))
     rate = F.when(F.col("__n") > 0, F.col("__s") / F.col("__n")).otherwise(0.25)
     return df.join(windows, "message_id", "left").withColumn("ctx_tc_open_rate_30d", rate).drop("__n", "__s")

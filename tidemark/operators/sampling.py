@@ -1,19 +1,22 @@
 """Samples, splits and folds by a hash of the id, so that they don't depend on how rows are laid out.
 
-The hash is a fifth power modulo a prime, plain integer arithmetic, and one-to-one below the prime.
+The hash is a fifth power modulo a prime, plain integer arithmetic, and one-to-one below the prime; larger and negative ids
+are taken modulo the prime first, and ties go by the id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranges
+
 PRIME = 2147483647
 
 
 def unit_hash(column: str = "message_id", seed: int = 1) -> Column:
     """A number from 0 to 1 for each id."""
-    x = F.pmod(F.col(column) * 48271 + seed * 69621 + 11, F.lit(PRIME))
+    x = F.pmod(F.pmod(F.col(column).cast("long"), F.lit(PRIME)) * 48271 + seed * 69621 + 11, F.lit(PRIME))
     square = F.pmod(x * x, F.lit(PRIME))
     return F.pmod(F.pmod(square * square, F.lit(PRIME)) * x, F.lit(PRIME)) / F.lit(float(PRIME))
 
@@ -47,17 +50,24 @@ def capped_negatives(df: DataFrame, most: int, label: str = "is_purchased", seed
 
 
 def subsample(df: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    return df.orderBy(unit_hash(seed=seed), "message_id").limit(n)
+    return ranges.first_rows(df, n, [unit_hash(seed=seed), F.col("message_id")], rank="__rank").drop("__rank")
+
+
+def replicated(df: DataFrame, weight: Column | float, label: str = "is_purchased", seed: int = 2) -> DataFrame:
+    """Positives `weight` times over, for classifiers that take no weights; the fraction is a share of rows, by their hash."""
+    weight = weight if isinstance(weight, Column) else F.lit(float(weight))
+    times = F.floor(weight).cast("int") + (unit_hash(seed=seed) < weight - F.floor(weight)).cast("int")
+    copies = F.when(F.col(label) == 1, times).otherwise(1)
+    return df.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies", "__copy")
 
 
-def _class_rank(df: DataFrame, label: str, seed: int, buckets: int = 1024) -> DataFrame:
-    """__rank: place in the class by hash, from 0. Hash ranges are counted, so no task holds a whole class."""
-    df = df.withColumn("__h", unit_hash(seed=seed)).withColumn("__b", F.floor(F.col("__h") * buckets).cast("int"))
-    counts = df.groupBy(label, "__b").count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(label, "__b", before.alias("__before"), F.sum("count").over(Window.partitionBy(label)).alias("__size"))  # 1024 rows a class
-    inside = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", "message_id")) - 1
-    return df.withColumn("__in", inside).join(F.broadcast(starts), [label, "__b"]).withColumn("__rank", F.col("__before") + F.col("__in")).drop("__b", "__h", "__in", "__before")
+def _class_rank(df: DataFrame, label: str, seed: int) -> DataFrame:
+    """__rank: place in the class by hash, from 0; __size: of the class. Counted in ranges, so no task holds a whole class."""
+    order = [F.col("__h"), F.col("message_id")]
+    rows = ranges.in_ranges(df.withColumn("__h", unit_hash(seed=seed)), [F.col(label), *order], "class-ranks")
+    ranked = ranges.running(rows, order, {"__rank": F.lit(1)}, by=(label,), inclusive=False)
+    sizes = rows.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__size"))  # a row for each class
+    return ranked.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("__label"))).drop("__label", "__h")
 
 
 def stratified_split(df: DataFrame, test: float = 0.15, validation: float = 0.17647, label: str = "is_purchased", seed: int = 1) -> DataFrame:
