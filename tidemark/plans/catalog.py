@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import clean
 from tidemark.functions.calendar import calendar
+from tidemark.networks import train
 from tidemark.operators import diagnostics, evaluate, history, impute, rolling, sampling, similarity
-from tidemark.plans import features, models, oracle, studies
+from tidemark.plans import features, models, oracle, studies, tune
+from tidemark.plans.ledger import Ledger, digest_of
 from tidemark.sources import crm
+from tidemark.sources.scratch import scratch, written
 
 #: Sizes of samples and groups that suit the driver's tables.
 POSITIVES, NEGATIVES, CAP, SMALL = 100, 500, 400, 200
@@ -485,9 +488,9 @@ def _training(s, d):
     return models.training_rows(_table(s, d), features.INPUTS)
 
 
-@query("gbt_scores", "i:message_id i:label s:split d:score")
+@query("gbt_scores", "i:message_id i:label s:split d:score i:trees")
 def _(s, d):
-    return models.ensemble(_training(s, d), "gbt", features.INPUTS, **TREES)
+    return models.ensemble(_training(s, d), "gbt", features.INPUTS, patience=4, **TREES)
 
 
 @query("rf_scores", "i:message_id i:label s:split d:score")
@@ -500,6 +503,26 @@ def _(s, d):
     return models.ensemble(_training(s, d), "mlp", features.INPUTS, maxIter=40)
 
 
+#: Inputs of the networks' queries.
+NETWORK_INPUTS = [*features.GROUPS["v0"][:24], "feat_fatigue", "u_open_rate_30d", "u_click_rate_30d", "days_since_last_purchase"]
+
+
+def _network(s, d, kind: str, steps: int = 1, **params):
+    table = _table(s, d).where("t IS NOT NULL")
+    table = train.sequences(table, NETWORK_INPUTS, steps) if steps > 1 else train.vectors(table, NETWORK_INPUTS)
+    rows = sampling.stratified_split(table.select("message_id", "is_purchased", "x")).withColumnRenamed("is_purchased", "label")
+    rows = written(rows, f"{scratch(s, 'network')}/rows")
+    model = train.fit(rows.where("split = 'train'"), rows.where("split = 'validation'"), kind, NETWORK_INPUTS, epochs=3, pos_weight=4.0, **params)
+    return train.scored(model, rows.where("split = 'test'"))
+
+
+for _kind, _steps, _params in (("cnn", 1, {"filters": 16}), ("rnn", 4, {"hidden": 16}), ("lstm", 4, {"hidden": 16}), ("cnn_lstm", 1, {"filters": 16, "hidden": 16}), ("rnn_lstm", 4, {"hidden": 16}), ("tabnet", 1, {"width": 8})):
+
+    @query(f"{_kind}_scores", "i:message_id i:label d:score")
+    def _(s, d, kind=_kind, steps=_steps, params=_params):
+        return _network(s, d, kind, steps, **params)
+
+
 @query("model_ablation", f"{REPORTED} i:top100_hits i:top200_hits i:top300_hits i:tn i:fp i:fn i:tp")
 def _(s, d):
     return studies.report_rows(models.ablation(_table(s, d), "rf", sizes=(100, 200, 300), folds=2, numTrees=10, maxDepth=6))
@@ -516,6 +539,47 @@ def _(s, d):
     return s.createDataFrame([(i + 1, p["numTrees"], p["maxDepth"], v) for i, (p, v) in enumerate(found)], "place int, trees int, depth int, pr_auc double")
 
 
+@query("model_tuning", "i:number s:params d:value")
+def _(s, d):
+    space = {"pos_weight": tune.Real(1.0, 20.0, log=True), "numTrees": tune.Whole(5, 15, 5), "maxDepth": tune.Whole(3, 7)}
+    return models.tuned(_training(s, d), "rf", features.INPUTS, f"{scratch(s, 'tuning')}/trials", space, folds=2)
+
+
+@query("model_missing_parameters", "i:number s:params d:value")
+def _(s, d):
+    return models.missing_parameters(_training(s, d), "rf", features.INPUTS, {"numTrees": 8, "maxDepth": 5}, scratch(s, "missing"), folds=2, trials=6)
+
+
+@query("replicated_positives", "i:message_id i:copies", f"SELECT message_id, CASE WHEN is_purchased = 1 THEN 2 + CAST(h < CAST(0.5 AS DOUBLE) AS INTEGER) ELSE 1 END AS copies FROM (SELECT *, {oracle.HASH} AS h FROM (SELECT *, (message_id * 48271 + 2 * 69621 + 11) % 2147483647 AS x FROM msg))")
+def _(s, d):
+    return sampling.replicated(msg(s, d), 2.5).groupBy("message_id").agg(F.count("*").alias("copies"))
+
+
+@query("saved_fold_models", "i:message_id i:same", f"SELECT message_id, 1 AS same FROM (SELECT message_id, {SPLIT} AS split FROM (SELECT *, row_number() OVER (PARTITION BY is_purchased ORDER BY h, message_id) - 1 AS r, count(*) OVER (PARTITION BY is_purchased) AS size FROM hashed WHERE is_hard_bounced = 0 AND is_blocked = 0)) WHERE split <> 'train'")
+def _(s, d):
+    """Fold models are fitted and saved; a second study loads them, and its scores are the same."""
+    rows = models.training_rows(logged(s, d), ["k", "value", "is_opened", "is_clicked"])
+    folder, found = scratch(s, "fold-models"), []
+    for _ in range(2):
+        ledger = Ledger(s, folder, digest_of(rows))
+        found.append(models.ensemble(rows, "rf", ["k", "value", "is_opened", "is_clicked"], folds=2, ledger=ledger, numTrees=5, maxDepth=4))
+    again = F.lit(int(ledger.reused == ["fold-0", "fold-1"]))
+    both = found[0].join(found[1].select("message_id", F.col("score").alias("loaded")), "message_id")
+    return both.select("message_id", ((F.col("score") == F.col("loaded")).cast("int") * again).alias("same"))
+
+
+@query("tau_targeting_resumed", "s:tau_multiplier i:top_k i:tp_hits i:reused", f"SELECT tau_multiplier, top_k, h AS tp_hits, CAST(tau_multiplier IN ('0.50x', '0.75x') AS INTEGER) AS reused FROM (SELECT tau_multiplier, top_k, sum(is_purchased) AS h FROM ({RANKED}) JOIN {KS} ON rk <= top_k GROUP BY tau_multiplier, top_k)")
+def _(s, d):
+    """A sweep that stopped after two multipliers goes on with the third."""
+    log = clean.live(msg(s, d))
+    folder, inputs = scratch(s, "sweep"), digest_of(log)
+    studies.resumable_targeting(log, TOP_K, Ledger(s, folder, inputs), studies.MULTIPLIERS[:2])
+    ledger = Ledger(s, folder, inputs)
+    rows = studies.resumable_targeting(log, TOP_K, ledger)
+    reused = F.col("tau_multiplier").isin(*(name.removeprefix("targeting-") for name in ledger.reused))
+    return rows.withColumn("reused", reused.cast("int"))
+
+
 @query("tau_model_targeting", "s:tau_multiplier i:top_k i:tp_hits d:population_share d:precision_at_k d:cumulative_recall d:lift_vs_random")
 def _(s, d):
     return models.tau_targeting(logged(s, d), "rf", TOP_K, folds=2, numTrees=10, maxDepth=6)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate, history
+from tidemark.plans.ledger import Ledger
 
 #: Multipliers of the sweep; multichannel and unknown channels keep their constants.
 MULTIPLIERS = (0.5, 0.75, 1.0, 1.25, 1.5)
@@ -35,6 +36,21 @@ def tau_targeting(log: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     return evaluate.targeting(scored, sizes, by=("tau_multiplier",))
 
 
+def resumable_targeting(log: DataFrame, sizes: tuple[int, ...], ledger: Ledger, multipliers: tuple[float, ...] = MULTIPLIERS) -> DataFrame:
+    """tau_targeting(), a finished table for each multiplier: those that the ledger has aren't made again."""
+
+    def one(m: float) -> DataFrame:
+        rows = history.fatigue(history.channel_times(log), tau_of(m))
+        scored = rows.select("message_id", F.lit(f"{m:.2f}x").alias("tau_multiplier"), F.col("is_purchased").alias("label"), F.round(-F.col("feat_fatigue"), 9).alias("score"))
+        return evaluate.targeting(scored, sizes, by=("tau_multiplier",))
+
+    parts = [ledger.table(f"targeting-{m:.2f}x", {"sizes": sizes, "tau": tau_of(m)}, lambda m=m: one(m)) for m in multipliers]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def change(base: Column, value: Column, form: str = "%+.1f%%") -> Column:
     """The relative change as text; empty where the base is null or 0."""
     return F.when(base.isNull() | value.isNull() | (base == 0), "").otherwise(F.format_string(form, (value - base) / base * 100))

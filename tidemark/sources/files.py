@@ -85,6 +85,22 @@ def corrupt_parts(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return plain(listed).join(plain(good), "path", "left_anti")
 
 
+def damage_row_group(spark: SparkSession, folder: str, number: int) -> None:
+    """Overwrite the pages of a row group of the folder's one small Parquet file, to try out what reads damaged logs."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    system = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    file = next(p for p in (f.getPath() for f in system.listStatus(spark._jvm.org.apache.hadoop.fs.Path(folder))) if p.getName().endswith(".parquet"))
+    data = bytearray(spark.read.format("binaryFile").load(file.toString()).first()["content"])
+    column = pq.ParquetFile(pa.BufferReader(bytes(data))).metadata.row_group(number).column(0)
+    begin = min(x for x in (column.data_page_offset, column.dictionary_page_offset) if x is not None)
+    data[begin : begin + column.total_compressed_size] = b"\xff" * column.total_compressed_size
+    out = system.create(file, True)
+    out.write(data)
+    out.close()
+
+
 def resumed(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The finished table at path, else what build gives, written there."""
     if not exists(spark, path):
