@@ -111,15 +111,6 @@ def compressed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key binary, words binary")
 
 
-def _runs(rows: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    """row, places: the places of each row."""
-    order = np.lexsort((places, rows))
-    rows, places = rows[order], places[order]
-    first = np.flatnonzero(np.diff(rows, prepend=-1))
-    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(rows)), pa.int32()), pa.array(places, pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(rows[first]), lists], ["row", "places"])
-
-
 def _shared(kinds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order that sorts by minimiser and row, whether each in that order has a minimiser that several rows have)."""
     order = np.lexsort((rows, kinds))
@@ -142,7 +133,7 @@ def _entries(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def shared_places(found: DataFrame) -> DataFrame:
-    """row, places: of super-k-mers whose minimiser other rows have as well; found: a written table of row, minimisers. A row may come several times."""
+    """row, place: of super-k-mers whose minimiser other rows have as well; found: a written table of row, minimisers. Some come twice."""
     total = found.agg(F.coalesce(F.sum(F.size("minimisers")), F.lit(0))).first()[0]
     shards = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_ROWS))
 
@@ -169,15 +160,15 @@ def shared_places(found: DataFrame) -> DataFrame:
 
     def met(table: pa.Table) -> pa.Table:
         parts = {k: [_entries(b) for b, known in zip(table.column("block").to_pylist(), table.column("known").to_pylist(), strict=True) if known == k] for k in (False, True)}
-        out = [_runs(rows, places) for _, rows, places in parts[True]]
+        out = [(rows, places) for _, rows, places in parts[True]]
         if parts[False]:
             kinds, rows, places = (np.concatenate(x) for x in zip(*parts[False], strict=True))
             order, live = _shared(kinds, rows)
-            out.append(_runs(rows[order][live], places[order][live]))
-        return pa.Table.from_batches(out, pa.schema([("row", pa.int64()), ("places", pa.list_(pa.int32()))]))
+            out.append((rows[order][live], places[order][live]))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["row", "place"])
 
     dealt = found.select("row", "minimisers").where(F.size("minimisers") > 0).mapInArrow(blocks, "shard long, known boolean, block binary")
-    return dealt.groupBy("shard").applyInArrow(lambda t: met(t.select(["known", "block"])), "row long, places array<int>")
+    return dealt.groupBy("shard").applyInArrow(lambda t: met(t.select(["known", "block"])), "row long, place int")
 
 
 def strings_of(held: DataFrame) -> DataFrame:
@@ -290,7 +281,7 @@ def removals(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     firsts = common.written(firsts.select("key", F.col("f.doc_id").alias("first"), F.col("f.row").alias("row"), "last"), f"{folder}/firsts")
 
     # what is joined on is a written table each time: a join of plain exchanges is one whose hot keys are split at run time
-    asked = shared_places(found).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    asked = shared_places(found).groupBy("row").agg(F.collect_set("place").alias("places"))
     asked = asked.join(firsts.select("row", "key", F.col("first").alias("doc")), "row")
     asked = common.written(asked.withColumn("h", F.xxhash64("key")), f"{folder}/asked")
     texts = common.sifted(compressed(docs).withColumn("h", F.xxhash64("key")), "h", common.sieve(asked, "h", f"{folder}/sieve"), True).drop("h")
