@@ -31,14 +31,14 @@ def typed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*(kinds[k](c).alias(c) for c, k in columns.items()))
 
 
-def query(name: str, columns: str, body: str | None = None):
-    """Register a plan; columns: kind:name of each (i long, d double, s text); body: the SQL that gives the same."""
+def query(name: str, columns: str, body: str | None = None, sampled: bool = False):
+    """Register a plan; columns: kind:name of each (i long, d double, s text); body: the SQL that gives the same; sampled: its log is."""
     kinds = {c: k for k, _, c in (x.partition(":") for x in columns.split())}
 
     def add(build):
         BUILDS[name] = lambda spark, sf_dir: typed(build(spark, sf_dir), kinds)
         if body:
-            SQL[name] = oracle.sql(body, kinds)
+            SQL[name] = oracle.sql(body, kinds, sampled)
         return build
 
     return add
@@ -479,6 +479,19 @@ def _(s, d):
     return _table(s, d)
 
 
+SAMPLED = "i:message_id i:is_purchased " + feature_kinds(["total_messages", "avg_time_since_last_open", "feat_fatigue", "u_open_rate_30d", "ctx_tc_open_rate_30d", "days_since_last_purchase"])
+
+
+@query("features_sampled_first", SAMPLED, "SELECT * FROM feat", sampled=True)
+def _(s, d):
+    return features.sampled(logged(s, d), 0.4)
+
+
+@query("features_full_history", SAMPLED, "SELECT * FROM feat WHERE message_id IN (SELECT message_id FROM hashed WHERE is_purchased = 1 OR h < CAST(0.4 AS DOUBLE))")
+def _(s, d):
+    return features.sampled(logged(s, d), 0.4, full_history=True)
+
+
 #: Sizes of models that suit the driver's tables.
 TREES = {"maxIter": 10, "maxDepth": 4}
 REPORTED = "s:experiment i:num_features d:optimal_threshold d:accuracy d:precision d:recall d:f1_score d:f2_score d:roc_auc d:pr_auc"

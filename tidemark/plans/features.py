@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import clean
 from tidemark.functions.calendar import calendar
-from tidemark.operators import history, impute, rolling, similarity
+from tidemark.operators import history, impute, rolling, sampling, similarity
 from tidemark.sources import crm
 from tidemark.sources.scratch import scratch, written
 
@@ -69,3 +69,13 @@ def build(df: DataFrame, tau: dict[str, float] | None = None, fit_on: Column | N
     accuracy: approximate medians for a log whose distinct values don't fit a task.
     """
     return completed(stated(df, tau, strict_time), fit_on, accuracy)
+
+
+def sampled(df: DataFrame, rate: Column | float, full_history: bool = False, **how) -> DataFrame:
+    """The feature table of all positives and of negatives at this rate.
+
+    Rows are sampled first, so that history is the sampled one; with full_history features are made of the whole log.
+    """
+    if full_history:
+        return sampling.bernoulli_negatives(build(df, **how), rate)
+    return build(sampling.bernoulli_negatives(df, rate), **how)

@@ -53,6 +53,15 @@ def _(s, d):
     return _cleaned(files.read_log(s, folder, ["message_id", "client_id", "campaign_id", "sent_at", *FLAGS]))
 
 
+@query("resolved_log", RAW, RAW_SQL)
+def _(s, d):
+    """The log is where the first finished folder of the candidates is, as the environment doesn't name one."""
+    folder = scratch(s, "resolved")
+    files.write_parquet(_text_log(s, d), f"{folder}/second")
+    path = files.resolve("MESSAGE_LOG", [f"{folder}/first", f"{folder}/second"], {}, f"{folder}/none", lambda c: files.exists(s, c))
+    return _cleaned(files.read_log(s, path))
+
+
 @query("campaign_csv", f"i:campaign_id {with_kind('i', features.CAMPAIGN)} d:avg_campaign_duration", "SELECT * FROM camp")
 def _(s, d):
     start = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))

@@ -126,9 +126,11 @@ CTES: dict[str, str] = {
     "sweep": "SELECT message_id, is_purchased, tau_multiplier, feat_fatigue FROM (" + " UNION ALL ".join(f"SELECT message_id, is_purchased, '{m:.2f}x' AS tau_multiplier, {fatigue(m)} AS feat_fatigue FROM hist0" for m in (0.5, 0.75, 1.0, 1.25, 1.5)) + ")",
 }
 HEAD = "WITH " + ", ".join(f"{k} AS ({v})" for k, v in CTES.items())
+#: The same over a log of all positives and of negatives whose hash is below a rate.
+SAMPLED_HEAD = HEAD.replace("FROM msg m LEFT JOIN cust", f"FROM (SELECT * EXCLUDE (x, h) FROM (SELECT *, {HASH} AS h FROM (SELECT *, (message_id * 48271 + 1 * 69621 + 11) % 2147483647 AS x FROM msg)) WHERE is_purchased = 1 OR h < CAST(0.4 AS DOUBLE)) m LEFT JOIN cust")
 
 
-def sql(body: str, columns: dict[str, str]) -> str:
+def sql(body: str, columns: dict[str, str], sampled: bool = False) -> str:
     """The query with its columns in the types of the plans: i long, d double rounded to 6 places, s text."""
     kinds = {"i": "CAST({0} AS BIGINT) AS {0}", "d": "round(CAST({0} AS DOUBLE), 6) + 0.0 AS {0}", "s": "CAST({0} AS VARCHAR) AS {0}"}
-    return f"{HEAD} SELECT {', '.join(kinds[k].format(c) for c, k in columns.items())} FROM ({body}) AS q"
+    return f"{SAMPLED_HEAD if sampled else HEAD} SELECT {', '.join(kinds[k].format(c) for c, k in columns.items())} FROM ({body}) AS q"

@@ -134,6 +134,6 @@ def read_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, "experiment string, body string").select("experiment", F.from_json("body", schema).alias("r"))
 
 
-def resolve(name: str, candidates: list[str], env: dict[str, str], default: str) -> str:
+def resolve(name: str, candidates: list[str], env: dict[str, str], default: str, there: Callable[[str], bool] = lambda c: Path(c).exists()) -> str:
     """A path from the environment, else the first candidate that is there, else the default."""
-    return env.get(name) or next((c for c in candidates if Path(c).exists()), default)
+    return env.get(name) or next((c for c in candidates if there(c)), default)
