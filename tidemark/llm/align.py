@@ -4,20 +4,20 @@ The B tokens' byte ranges are a static interval index: their starts and ends, as
 it and give the run of B tokens that it overlaps. The gap behind an A token that no B token spans, so where both end, is a
 group boundary; the tokens between two such gaps are a group, and the two that end there are linked.
 
-Neither tokenizer joins over a single space between two other characters, so texts are cut there into stretches, and both end
-a token at each cut. A stretch is aligned once and its groups are kept; a text's alignment is its stretches' in a row. Whether
-a B model allows that is read off its pieces; if not, a text is one stretch.
+Neither tokenizer joins over a single space or line end between two other characters, so texts are cut there into stretches,
+and both end a token at each cut. A stretch is aligned once and its groups are kept; a text's alignment is its stretches' in a
+row. Whether a B model allows that is read off its pieces; if not, a text is one stretch.
 
 How often two ids are linked is counted over all documents: bounded by the vocabularies' product, whatever the corpus.
 """
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +32,14 @@ MARK = "▁"
 FEW_PAIRS = 1_000_000
 
 
-#: Where a space has white space or an end of the text beside it.
-_NEXT_TO_SPACE = re.compile(r" \s|\s |^ | \Z")
+#: Where a space, or a line end, has white space or an end of the text beside it.
+_NEXT_TO_SPACE, _NEXT_TO_LINE_END = re.compile(r" \s|\s |^ | \Z"), re.compile(r"\n\s|\s\n|^\n|\n\Z")
 
 
-class Aligned(NamedTuple):
-    """A stretch's alignment: token counts, groups as text, linked pairs of ids (a * B's size + b, 64 bits each)."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    pairs: bytes
+#: A stretch: its text behind a space, or as a tuple of one its text behind a line end.
+Stretch = str | tuple[str]
+#: A stretch's alignment: token counts, groups as text, linked pairs of ids (a * B's size + b, 64 bits each).
+Aligned = tuple[int, int, str, bytes]
 
 
 def overlapped(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +88,9 @@ class Aligner:
         plain = "  x  y\té "  # as it is, but for the space in front
         kept = b"".join(self.b_bytes[i] for i in self.b.encode(plain)) == f" {plain}".encode()
         self.cuts = kept and not self.b.is_unknown(self.space) and not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.known: dict[str, Aligned | None] = {}
-        self.before: dict[str, Aligned | None] = {}
+        self.lines = self.cuts and not any("\n" in p for p in pieces) and self.b.encode("\nx")[0] == self.space
+        self.known: dict[Stretch, Aligned | None] = {}
+        self.before: dict[Stretch, Aligned | None] = {}
         self.most, self.longest = most, longest
 
     @classmethod
@@ -103,11 +100,25 @@ class Aligner:
             cls._made = {key: cls(a_model, b_model)}
         return cls._made[key]
 
-    def stretches(self, text: str) -> list[str]:
-        """The text's parts; each is encoded with a space in front. Next to other white space no cut is made."""
+    def stretches(self, text: str) -> list[Stretch]:
+        """The text's parts. Next to other white space no cut is made."""
         parts = text.split(" ") if self.cuts else [text]
-        if not _NEXT_TO_SPACE.search(text):
+        if self.cuts and _NEXT_TO_SPACE.search(text):
+            parts = self.merged(parts)
+        if not self.lines or "\n" not in text:
             return parts
+        out = []
+        for p in parts:
+            if "\n" in p and not _NEXT_TO_LINE_END.search(p):
+                first, *more = p.split("\n")
+                out.append(first)
+                out += [(x,) for x in more]
+            else:
+                out.append(p)
+        return out
+
+    def merged(self, parts: list[str]) -> list[str]:
+        """Parts between which no cut can be made, together."""
         out, joins = [], False
         for p in parts:
             if out and (joins or not p or p[0].isspace()):
@@ -125,11 +136,13 @@ class Aligner:
             return np.ones(len(data), bool)
         return np.array([b"".join(parts[x:y]) == d for x, y, d in zip(ends[:-1].tolist(), ends[1:].tolist(), data, strict=True)])
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[Stretch]) -> None:
         """Align new stretches, all at once: one behind the other they are one text that both tokenizers cut between any two."""
-        data = [f" {s}".encode() for s in new]
-        a = [x.ids for x in self.a.encode_batch_fast([f" {s}" for s in new], add_special_tokens=False)]
-        b = [x if s else [self.space] for s, x in zip(new, self.b.encode(new, num_threads=1), strict=True)]
+        spaced = [f" {s}" if isinstance(s, str) else f"\n{s[0]}" for s in new]
+        data = [s.encode() for s in spaced]
+        a = [x.ids for x in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        coded = self.b.encode([s if isinstance(s, str) else f"\n{s[0]}" for s in new], num_threads=1)
+        b = [x[1:] if isinstance(s, tuple) else x if s else [self.space] for s, x in zip(new, coded, strict=True)]  # it adds a space
         n_a, n_b = (np.array([*map(len, part)], np.int64) for part in (a, b))
         ids_a, ids_b = (np.array([*chain.from_iterable(part)], np.int64) for part in (a, b))
         fine = self.exact(ids_a, n_a, self.a_bytes, self.a_sizes, data) & self.exact(ids_b, n_b, self.b_bytes, self.b_sizes, data)
@@ -145,10 +158,10 @@ class Aligner:
         pairs = (ids_a[ends] * self.n_b + ids_b[last[ends]]).tobytes()
         text, stops = listed(ids_a, ids_b, ends, last[ends])
         groups = np.searchsorted(ends, np.cumsum(n_a) - 1, side="right")  # before the end of each stretch
-        lo, begin = 0, 0
+        known, lo, begin = self.known, 0, 0
         for s, x, y, hi in zip(new, n_a.tolist(), n_b.tolist(), groups.tolist(), strict=True):
             stop = stops[hi - 1]
-            self.known[s] = Aligned(x, y, hi - lo, text[begin : stop - 1], pairs[8 * lo : 8 * hi])
+            known[s] = (x, y, text[begin : stop - 1], pairs[8 * lo : 8 * hi])
             lo, begin = hi, stop
 
     def texts(self, texts: list[str | None]) -> list[list[Aligned]]:
@@ -160,10 +173,14 @@ class Aligner:
         again = new & self.before.keys()
         self.known.update((s, self.before[s]) for s in again)
         new = [*new - again]
-        self.learn(new)
+        gc.disable()  # many small tuples and no cycles: collections would take a sixth of the time
+        try:
+            self.learn(new)
+        finally:
+            gc.enable()
         out = [[*map(self.known.__getitem__, p)] for p in parts]
         for s in new:
-            if len(s) > self.longest:
+            if len(s if isinstance(s, str) else s[0]) > self.longest:
                 del self.known[s]
         return [[] if None in found else found for found in out]
 
@@ -185,9 +202,10 @@ def alignments(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
         for whole in batches:
             for batch in common.slices(iter([whole]), "text", 1 << 20):
                 found = aligner.texts(batch.column(batch.schema.get_field_index("text")).to_pylist())
-                sums = [pa.array([sum(x[i] for x in f) for f in found], pa.int64()) for i in range(3)]
-                texts = pa.array([";".join([x.groups for x in f]) for f in found], pa.string())
-                links = [np.frombuffer(b"".join([x.pairs for x in f]), np.int64) for f in found]
+                n_a, n_b, groups, pairs = zip(*(zip(*f, strict=True) if f else ((),) * 4 for f in found), strict=True)
+                links = [np.frombuffer(b"".join(x), np.int64) for x in pairs]
+                sums = [pa.array(x, pa.int64()) for x in (map(sum, n_a), map(sum, n_b), map(len, links))]
+                texts = pa.array(map(";".join, groups), pa.string())
                 each = [np.unique(x, return_counts=True) for x in links]
                 lists = [pa.array([x[i] for x in each], pa.list_(pa.int64())) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *sums, texts, *lists], [*batch.schema.names, *types])
