@@ -213,10 +213,10 @@ def test_decontamination(spark, documents, odd):
         w = words(text)
         for i in range(max(1, len(w) - 9)) if w else ():
             windows.setdefault(tuple(w[i : i + 10]), set()).add(item)
-    for block in (decontaminate.BLOCK, 7):
-        decontaminate.BLOCK, was = block, decontaminate.BLOCK
+    for bits in (decontaminate.FILTER_BITS, 64):
+        decontaminate.FILTER_BITS, was = bits, decontaminate.FILTER_BITS
         got = {r["doc_id"]: r for r in decontaminate.scan(documents(texts), bench, ["doc_id"]).collect()}
-        decontaminate.BLOCK = was
+        decontaminate.FILTER_BITS = was
         for n, t in enumerate(texts):
             w, hit, found = words(t), set(), set()
             for size in {len(k) for k in windows}:
@@ -230,6 +230,16 @@ def test_decontamination(spark, documents, odd):
     assert decontaminate.scan(documents(["x"]), bench.limit(0), ["doc_id"]).collect()[0]["contaminated"] is False
 
 
+def test_decontamination_by_many_windows(spark):
+    """A benchmark of a million windows: each passage is found by its own item."""
+    from pyspark.sql import functions as F
+
+    bench = spark.range(20_000).select(F.col("id").alias("item_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(50_000)).cast("string"))), " ").alias("text"))
+    picked = bench.where("item_id % 400 = 7").select((F.col("item_id") + 10**6).alias("doc_id"), F.concat(F.lit("clean start "), F.substring_index("text", " ", 20), F.lit(" clean end")).alias("text"))
+    got = decontaminate.scan(picked, bench, ["doc_id"]).collect()
+    assert len(got) == 50 and all((r["n_hit"], r["n_items"], r["items_sha256"]) == (20, 1, hashlib.sha256(str(r["doc_id"] - 10**6).encode()).hexdigest()) for r in got)
+
+
 def test_language_id(spark, odd):
     rng = random.Random(1)
     words = {"aa": "lorem ipsum dolor amet consectetur".split(), "bb": "zwei drei vier sieben zwölf".split()}

@@ -7,7 +7,8 @@ places of prefix tokens with the words around, and are joined with the windows'
 window gives the only place where the window can begin, which must lie inside the document (positional and length bounds),
 and there the words are compared. So hashes only choose candidates, and the result is exact.
 
-Tasks look tokens up in sorted blocks of at most BLOCK hashes (8 bytes each), one pass over documents for each block.
+Tasks first look tokens up in a filter of FILTER_BITS bits, whatever the number of windows; it lets all of them through and a
+few others, which the joins then drop. So the benchmark itself never passes through the driver or a task as a whole.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-WINDOW, SHINGLE, BLOCK = 10, 3, 16 << 20
+WINDOW, SHINGLE, FILTER_BITS = 10, 3, 1 << 26
 #: A-Z lower-cased, 0-9, a-z and bytes from 0x80 on kept, all else a space.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Odd factors of the words of a token, by place.
@@ -78,56 +80,58 @@ def windows_of(benchmark: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "item string, win array<binary>, tokens array<long>").distinct()
 
 
-def blocks_of(tokens: DataFrame) -> list:
-    """Broadcast sorted arrays of the distinct tokens, of about BLOCK each at most."""
-    tokens = tokens.distinct()
-    n = -(-tokens.count() // BLOCK)
-    parts = (tokens.where(F.pmod(F.xxhash64("token"), F.lit(n)) == i) if n > 1 else tokens for i in range(n))
-    return [tokens.sparkSession.sparkContext.broadcast(np.sort(part.toArrow().column(0).to_numpy())) for part in parts]
+def token_filter(tokens: DataFrame) -> Broadcast:
+    """Bits of the hashes in the column token, as words of 64."""
+    at = F.pmod("token", F.lit(FILTER_BITS))
+    words = tokens.select((at / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b")).groupBy("word").agg(F.bit_or("b").alias("bits"))
+    rows = words.toArrow()  # FILTER_BITS / 64 rows at most
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return tokens.sparkSession.sparkContext.broadcast(bits)
 
 
-def _found(own: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places in own, places in known) of the tokens that are known."""
-    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-    hit = np.flatnonzero(known[at] == own)
-    return hit, at[hit]
+def _passing(own: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the tokens that the filter lets through."""
+    at = own.view(np.uint64) & np.uint64(64 * len(bits) - 1)
+    return np.flatnonzero(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
 
 
-def frequencies(docs: DataFrame, block, sizes: list[int]) -> DataFrame:
-    """token, n: in how many documents (text) each of the block's tokens occurs."""
+def frequencies(docs: DataFrame, known: Broadcast, sizes: list[int]) -> DataFrame:
+    """token, n: in how many documents (text) each token that the filter lets through occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hashes = block.value, _Hashes()
-        counts = np.zeros(len(known), np.int64)
+        bits, hashes = known.value, _Hashes()
         for whole in batches:
             for batch in common.slices(iter([whole]), "text"):
+                met = [np.array([], np.int64)]
                 for text in common.raw(batch, "text"):
                     words = words_of(text)
                     for size in sizes:
-                        counts[np.unique(_found(tokens_of(words, hashes, size), known)[1])] += 1
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(known[seen]), pa.array(counts[seen])], ["token", "n"])
+                        own = tokens_of(words, hashes, size)
+                        met.append(np.unique(own[_passing(own, bits)]))
+                tokens, n = np.unique(np.concatenate(met), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(n)], ["token", "n"])
 
     return docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def places(rows: DataFrame, block, sizes: list[int]) -> DataFrame:
-    """rows without text, plus n_words and met: struct<token, at, offset, around>, where the block's tokens begin.
+def places(rows: DataFrame, known: Broadcast, sizes: list[int]) -> DataFrame:
+    """rows without text, plus n_words and met: struct<token, at, offset, around>, where tokens that the filter lets through begin.
 
     around are the words that a window with the token there can reach, at their offset.
     """
     kind = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int32()), ("offset", pa.int32()), ("around", pa.list_(pa.binary()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hashes = block.value if block else np.array([], np.int64), _Hashes()
+        bits, hashes = known.value, _Hashes()
         for whole in batches:
             for batch in common.slices(iter([whole]), "text"):
                 sums, out = [], []
                 for text in common.raw(batch, "text"):
                     words, met = words_of(text), []
-                    for size in sizes if len(known) else ():
+                    for size in sizes:
                         own = tokens_of(words, hashes, size)
-                        for at in _found(own, known)[0].tolist():
+                        for at in _passing(own, bits).tolist():
                             first = max(0, at - WINDOW + 1)
                             met.append({"token": int(own[at]), "at": at, "offset": at - first, "around": words[first : at + WINDOW]})
                     sums.append(len(words))
@@ -155,22 +159,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     windows = common.written(windows_of(benchmark), f"{folder}/windows")
     sizes = [r[0] for r in windows.select(F.least(F.size("win"), F.lit(SHINGLE)).alias("size")).distinct().collect()]  # SHINGLE values at most
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    counts = None
-    for block in blocks_of(windows.select(F.explode("tokens").alias("token"))):
-        part = frequencies(texts, block, sizes)
-        counts = part if counts is None else counts.union(part)
-    counts = counts if counts is not None else docs.sparkSession.createDataFrame([], "token long, n long")
-    wanted = common.written(prefixes(windows, common.written(counts, f"{folder}/counts")), f"{folder}/prefixes")
+    counts = frequencies(texts, token_filter(windows.select(F.explode("tokens").alias("token"))), sizes)
+    wanted = common.written(prefixes(windows, counts), f"{folder}/prefixes")
 
     rows = docs.select(*(F.col(c).alias(f"__kept_{i}") for i, c in enumerate(keep)), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
-    blocks = blocks_of(wanted.select("token")) or [None]
-    if len(blocks) > 1:  # so that every pass has the same numbers
-        rows = common.written(rows, f"{folder}/numbered")
-    found = [common.written(places(rows, block, sizes), f"{folder}/places-{i}") for i, block in enumerate(blocks)]
-    met = None
-    for part in found:
-        each = part.select("row", F.explode("met").alias("m")).select("row", "m.*")
-        met = each if met is None else met.union(each)
+    found = common.written(places(rows, token_filter(wanted.select("token")), sizes), f"{folder}/places")
+    met = found.select("row", F.explode("met").alias("m")).select("row", "m.*")
     begin = F.col("offset") - F.col("place")
     fits = (begin >= 0) & (begin + F.size("win") <= F.size("around"))
     same = F.slice("around", F.greatest(begin, F.lit(0)) + 1, F.size("win")) == F.col("win")
@@ -180,7 +174,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     items = hits.select("row", "win").distinct().join(windows.select("win", "item"), "win").where("item IS NOT NULL").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     facts = n_hit.join(items, "row", "left")
     none = F.lit(0).cast("long")
-    return found[0].join(facts, "row", "left").select(
+    return found.join(facts, "row", "left").select(
         *(F.col(f"__kept_{i}").alias(c) for i, c in enumerate(keep)),
         "n_words",
         F.coalesce("n_hit", none).alias("n_hit"),
