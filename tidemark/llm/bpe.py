@@ -185,7 +185,8 @@ class ByteBpe:
 def encode(docs: DataFrame, tokenizer_file: str, decoded: bool = True) -> DataFrame:
     """docs (any columns, with text) plus n_tokens, token_ids (binary, little-endian 32 bits each) and decoded (text).
 
-    Null text counts as empty. Columns of these names are replaced.
+    Null text counts as empty, repeated rows get the same, an empty table gives no rows. Columns of these names are replaced.
+    A long text is encoded in one piece, so a task's memory follows its longest text.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))  # one file of fixed size

@@ -103,7 +103,8 @@ class Classifier:
 def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """docs plus lang_pred, score and rejected; lang_pred is `und`, and rejected, for null texts and those without letters.
 
-    Columns of these names are replaced. Repeated rows get the same; without any dictionary all are `und`.
+    Columns of these names are replaced. Repeated rows get the same, an empty table gives no rows; without any dictionary all
+    are `und`. A long text is compressed block by block.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # TOTAL bytes at most
     kept = docs.drop("lang_pred", "score", "rejected")

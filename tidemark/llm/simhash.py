@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the smallest doc_id reachable over links, itself included.
 
     Repeated rows and equal texts share a fingerprint; documents without words have fingerprint zero. A component without
-    any non-null doc_id has a null component_id.
+    any non-null doc_id has a null component_id. An empty table gives no rows.
     """
     folder = common.scratch(docs.sparkSession, "simhash")
     marked = common.written(fingerprints(docs), f"{folder}/fingerprints")

@@ -97,7 +97,12 @@ def crc32_joined(crcs: np.ndarray, sizes: np.ndarray, firsts: np.ndarray) -> np.
 
 
 def write_store(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 1) -> None:
-    """Encode docs (doc_id, text; null text counts as empty) and write the store."""
+    """Encode docs (doc_id, text; null text counts as empty) and write the store.
+
+    Repeated rows are one row of the manifest, with their number as copies, and stand one behind the other when read; rows
+    without a doc_id come first. An empty table makes an empty store. A long text is encoded in one piece, so a task's
+    memory follows its longest text.
+    """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))  # one file of fixed size
 
@@ -140,7 +145,10 @@ def write_store(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int =
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
-    """Per document: doc_id, start, n_tokens, ids_crc32, root, n_chunks, all from the files, all checked."""
+    """Per document: doc_id, start, n_tokens, ids_crc32, merkle_root, n_chunks, all from the files, all checked.
+
+    Repeated documents give a row each; an empty store gives none.
+    """
     made = spark.read.schema("key binary, doc_id long, n long, data binary, copies long, kind string").parquet(f"{folder}/objects")
     manifest = spark.read.schema("part int, doc_id long, root binary, n_tokens long, copies long").parquet(f"{folder}/manifest")
 
