@@ -67,7 +67,7 @@ class Aligner:
 
     _made: dict[tuple[int, int], Aligner] = {}
 
-    def __init__(self, a_model: str, b_model: bytes, most: int = 100_000, longest: int = 64):
+    def __init__(self, a_model: str, b_model: bytes, most: int = 80_000, longest: int = 64):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -200,7 +200,7 @@ def alignments(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner.of(*models.value)
         for whole in batches:
-            for batch in common.slices(iter([whole]), "text", 1 << 20):
+            for batch in common.slices(iter([whole]), "text", 1 << 19):
                 found = aligner.texts(batch.column(batch.schema.get_field_index("text")).to_pylist())
                 n_a, n_b, groups, pairs = zip(*(zip(*f, strict=True) if f else ((),) * 4 for f in found), strict=True)
                 links = [np.frombuffer(b"".join(x), np.int64) for x in pairs]
@@ -237,7 +237,7 @@ def digests(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     each = coded.select("row", *names, F.explode_outer(F.arrays_zip("pairs", "times")).alias("p")).select("row", *names, F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     sums = {"n_links": total(F.col("times")), "n_best": total(F.when(F.col("best"), F.col("times"))), "count_sum": total(F.col("times") * F.col("count"))}
-    found = each.join(facts, "pair", "left").groupBy("row").agg(*(F.first(c).alias(c) for c in names), *(v.alias(k) for k, v in sums.items()))
+    found = each.join(facts, "pair", "left").groupBy("row", *names).agg(*(v.alias(k) for k, v in sums.items()))
     return found.select("doc_id", "n_a", "n_b", "n_groups", *sums, "groups_sha256")
 
 
