@@ -516,12 +516,13 @@ def _(s, d):
     return models.ensemble(_training(s, d), "mlp", features.INPUTS, maxIter=40)
 
 
-#: Inputs of the networks' queries.
-NETWORK_INPUTS = [*features.GROUPS["v0"][:24], "feat_fatigue", "u_open_rate_30d", "u_click_rate_30d", "days_since_last_purchase"]
+#: Inputs of the networks' queries: state that is cheap to make.
+NETWORK_INPUTS = ["total_messages", "total_purchases", "has_prior_purchase", *(f"prev_is_{c}" for c in ("opened", "clicked", "unsubscribed", "complained")), "feat_fatigue", "feat_cooldown_ok", *(f"feat_last_{c}_hours" for c in ("email", "mobile_push", "sms", "multichannel", "any")), *features.CAMPAIGN]
 
 
 def _network(s, d, kind: str, steps: int = 1, **params):
-    table = _table(s, d).where("t IS NOT NULL")
+    table = history.applied(logged(s, d).where("t IS NOT NULL"), history.counters, history.previous_flags, history.channel_times)
+    table = history.channel_recency(history.cooldown(history.fatigue(table)))
     table = train.sequences(table, NETWORK_INPUTS, steps) if steps > 1 else train.vectors(table, NETWORK_INPUTS)
     rows = sampling.stratified_split(table.select("message_id", "is_purchased", "x")).withColumnRenamed("is_purchased", "label")
     rows = written(rows, f"{scratch(s, 'network')}/rows")
