@@ -41,10 +41,10 @@ _LOW = np.uint64(0xFFFFFFFF)
 
 
 class _Hashes(dict):
-    """Words' hashes; a million at most are kept."""
+    """Words' hashes; some are kept, as many as fit 50 MB or so."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word)
         return out
