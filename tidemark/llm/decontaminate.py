@@ -36,10 +36,10 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class _Hashes(dict):
-    """Words' hashes; a million at most are kept."""
+    """Words' hashes; some are kept, as many as fit 35 MB or so."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word)
         return out
