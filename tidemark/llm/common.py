@@ -68,8 +68,9 @@ def packed(df: DataFrame, column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            yield _changed(batch, column, pa.array([None if t is None else pack.compress(t) for t in raw(batch, column)], pa.binary()))
+        for whole in batches:
+            for batch in slices(iter([whole]), column):
+                yield _changed(batch, column, pa.array([None if t is None else pack.compress(t) for t in raw(batch, column)], pa.binary()))
 
     return df.mapInArrow(run, _with_type(df, column, "binary"))
 
@@ -77,9 +78,10 @@ def packed(df: DataFrame, column: str) -> DataFrame:
 def unpacked(df: DataFrame, column: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            texts = [None if t is None else unpack.decompress(t) for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-            yield _changed(batch, column, pa.array(texts, pa.binary()).cast(pa.string()))
+        for whole in batches:
+            for batch in slices(iter([whole]), column, 1 << 20):
+                texts = [None if t is None else unpack.decompress(t) for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+                yield _changed(batch, column, pa.array(texts, pa.binary()).cast(pa.string()))
 
     return df.mapInArrow(run, _with_type(df, column, "string"))
 
