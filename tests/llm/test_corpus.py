@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -283,3 +284,48 @@ def test_near_dedup_of_shared_ids(spark):
     rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (2, texts[0])]
     out = stages.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(map(tuple, out), key=lambda r: r[1]) == [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3])]
+
+
+def test_near_dedup_retrieves_by_simhash(spark):
+    """Bands are what BK-trees over fingerprints link inside a table's buckets, also in crowds of near copies and in split buckets."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in (1, 4, 9, 60, 700)]
+    found = resemblance.fingerprints(sets)
+    bits = np.unpackbits(found.view(np.uint8).reshape(len(sets), -1), axis=1, bitorder="little")
+    for own, row in zip(sets, bits, strict=True):  # a bit is 1 if set in over half of the word's hashes
+        x = (own[:, None] * resemblance._FACTORS).view(np.uint64)
+        x = (x ^ x >> np.uint64(32)) * resemblance._MIX
+        x ^= x >> np.uint64(29)
+        each = np.unpackbits(x.view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
+        assert (row == (2 * each.sum(axis=0, dtype=int) > len(own))).all()
+
+    centres = rng.integers(0, 1 << 63, (40, 2), np.uint64)
+    flips = np.packbits(rng.random((400, 128)) < np.repeat(rng.uniform(0, 0.35, 400), 128).reshape(400, 128), axis=1).view(np.uint64)
+    words = np.concatenate([centres, centres[np.where(np.arange(400) < 250, 0, rng.integers(0, 40, 400))] ^ flips])
+    key, fp = np.where(rng.random(440) < 0.6, 3, rng.integers(0, 9, 440)), rng.permutation(440)
+    out = resemblance.bands_of(pa.table({"key": key, "fp": fp, "w0": words[:, 0].view(np.int64), "w1": words[:, 1].view(np.int64)}))
+    close = (np.bitwise_count(words[:, None] ^ words[None]).sum(axis=2) <= resemblance.NEAR) & (key[:, None] == key)
+    order = np.argsort(fp)
+    root = closure(close[np.ix_(order, order)])
+    sizes = np.bincount(root, minlength=440)
+    want = sorted((int(i), int(r)) for i, r in enumerate(root) if sizes[r] > 1)
+    assert sorted(zip(out["fp"].to_pylist(), out["first"].to_pylist(), strict=True)) == want and sizes.max() > 100
+    assert len(set(out["band"].to_pylist())) == len({r for _, r in want})
+
+    assert resemblance.bands_of(pa.table({c: np.arange(3) for c in ("key", "fp", "w0", "w1")})).num_rows == 0
+
+    # one text's words changed bit by bit: crowded buckets are dealt out as pairs of blocks, and all stay linked
+    base = resemblance.fingerprints([sets[4]])[0]
+    rows = [(i, (base ^ np.array([1 << (i % 60), 0, 0, 0, 0, 0, 0, i // 60], np.uint64)).tobytes()) for i in range(900)] + [(5000, resemblance.fingerprints(sets[3:4])[0].tobytes()), (5001, None)]
+    each = spark.createDataFrame(rows, "fp long, bits binary")
+    for crowd in (resemblance.CROWD, 200):
+        resemblance.CROWD, was = crowd, resemblance.CROWD
+        bands = resemblance.banded(each, common.scratch(spark, "bands")).select("fp", "first").distinct().collect()
+        resemblance.CROWD = was
+        at = {r["fp"]: i for i, r in enumerate(bands)}
+        ids = sorted({r["fp"] for r in bands})
+        assert ids == [*range(900)] and at
+        linked = np.eye(900, dtype=bool)
+        for r in bands:
+            linked[r["fp"], r["first"]] = linked[r["first"], r["fp"]] = True
+        assert (closure(linked) == 0).all()

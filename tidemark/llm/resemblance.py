@@ -1,13 +1,16 @@
 """Near-duplicates by resemblance: components of texts whose sets of SHINGLE-word shingles have Jaccard similarity 0.8 or more.
 
-The SimHash operator's radius of 3 bits finds near copies only: at 0.8 fingerprints differ in 10 bits or so, and trees
-over all fingerprints prune nothing at a radius that reaches them. So MinHash bands bring texts together first: a pair at
-0.8 shares one of BANDS bands of ROWS values with probability 1 - (1 - 0.8^5)^24 = 0.9999, closer ones more surely.
-
-1. Each text is compared with the text that comes first in most of its bands, exactly. So a group of copies costs one
+They are retrieved by SimHash. The SimHash operator's 64 bits and its radius of 3 find near copies only: at 0.8 about 15 % of
+the bits differ, which no block of a short fingerprint survives for sure. So fingerprints have WORDS * 64 bits, and each of
+TABLES tables is a choice of KEY of them, under which texts meet: a pair at 0.8 agrees on one with probability (1 - 0.15)^16 =
+0.07, so in one table or more with probability 0.9999 (0.999, as tables share bits), closer ones more surely.
+
+1. Inside a table's bucket BK-trees over FILTER words of the fingerprints find pairs within NEAR bits (at 0.8, all but one in
+   10^5; unrelated ones one in 10^5 as well). Texts that such pairs link inside a bucket are a band.
+2. Each text is compared with the text that comes first in most of its bands, exactly. So a group of copies costs one
    comparison a text.
-2. Texts that share bands, directly or over others, form a group. Where a group isn't one component yet, its texts meet in
-   a task: BK-trees over their SimHash fingerprints find pairs within REACH bits (at 0.8, all but one in 10^5), and those
+3. Texts that share bands, directly or over others, form a group. Where a group isn't one component yet, its texts meet in
+   a task: BK-trees over their 64-bit fingerprints find pairs within REACH bits (at 0.8, all but one in 10^5), and those
    of different components are compared exactly. A group over LARGE texts, or BYTES of them, is dealt out by single bands,
    a band over that by pairs of blocks of its texts, so a task's texts are bounded and no pair is lost.
 
@@ -27,12 +30,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
-from tidemark.llm.graph import components
+from tidemark.llm.graph import components, local_roots
 from tidemark.llm.simhash import BkForest, bits_of, shingle_hashes
 
-SHINGLE, BANDS, ROWS, REACH, LARGE, BYTES = 5, 24, 5, 26, 1000, 8 << 20
-#: Odd factors: each orders the hashes in another way.
-_FACTORS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+SHINGLE, REACH, LARGE, BYTES = 5, 26, 1000, 8 << 20
+#: Words of a fingerprint, those that trees search, bits in which they may differ, tables, bits of a table's key.
+WORDS, FILTER, NEAR, TABLES, KEY = 8, 2, 38, 144, 16
+#: A bucket of more rows is dealt out as pairs of blocks; so many rows go to a task.
+CROWD, SHARD = 20_000, 100_000
+_RNG = np.random.default_rng(7)
+#: Odd factors: each turns the hashes into another word's.
+_FACTORS = _RNG.integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: The bits of each table's key.
+_CHOICES = np.array([_RNG.choice(64 * WORDS, KEY, replace=False) for _ in range(TABLES)])
+_MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -40,17 +51,25 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, SHINGLE), np.uint64))
 
 
-def sketch(text: bytes) -> tuple[int, int, np.ndarray]:
-    """(digest of the set of shingles in two halves, bands). Without words: 0, 0, none."""
-    own = shingles(text)
-    if not len(own):
-        return 0, 0, own.view(np.int64)
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for begin in range(0, len(own), 1024):
-        least = np.minimum(least, (own[begin : begin + 1024, None] * _FACTORS).min(axis=0))
-    bands = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))]
-    digest = xxhash.xxh128_intdigest(own.tobytes())
-    return digest >> 64, digest & (1 << 64) - 1, np.array(bands, np.uint64).view(np.int64)
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash of each set of hashes, a row of WORDS words."""
+    out = np.empty((len(sets), WORDS), np.uint64)
+    for word, factor in enumerate(_FACTORS):
+        mixed = []
+        for own in sets:
+            x = own * factor
+            x ^= x >> np.uint64(32)
+            x *= _MIX
+            x ^= x >> np.uint64(29)
+            mixed.append(x)
+        out[:, word] = bits_of(mixed)
+    return out
+
+
+def halves(own: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set of shingles; 0, 0 without words."""
+    digest = xxhash.xxh128_intdigest(own.tobytes()) if len(own) else 0
+    return digest >> 64, digest & (1 << 64) - 1
 
 
 def text_hashes() -> dict[str, Column]:
@@ -60,17 +79,84 @@ def text_hashes() -> dict[str, Column]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, h0, h1, s0, s1 (digest of the set of shingles), bands of each row of docs (doc_id, text)."""
+    """doc_id, h0, h1, s0, s1 (digest of the set of shingles), bits (the fingerprint; null without words) of each row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text"):
-            found = [sketch(t or b"") for t in common.raw(batch, "text")]
-            halves = [pa.array(np.array([x[i] for x in found], np.uint64).view(np.int64)) for i in (0, 1)]
-            columns = [*halves, pa.array([x[2] for x in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h0", "h1")), *columns], ["doc_id", "h0", "h1", "s0", "s1", "bands"])
+        for batch in common.slices(batches, "text", 1 << 20):
+            sets = [shingles(t or b"") for t in common.raw(batch, "text")]
+            digests = np.array([halves(own) for own in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            bits = [row.tobytes() if len(own) else None for row, own in zip(fingerprints(sets), sets, strict=True)]
+            columns = [*(pa.array(digests[:, i].copy()) for i in (0, 1)), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h0", "h1")), *columns], ["doc_id", "h0", "h1", "s0", "s1", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(v.alias(k) for k, v in text_hashes().items()), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, h0 long, h1 long, s0 long, s1 long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, h0 long, h1 long, s0 long, s1 long, bits binary")
+
+
+def tabled(rows: DataFrame) -> DataFrame:
+    """bucket (table and key), fp, w0, w1 (words that trees search) of rows (fp, bits): a row for each table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 256):
+                batch = whole.slice(begin, 256)
+                bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
+                keys = np.packbits(np.unpackbits(bits, axis=1, bitorder="little")[:, _CHOICES], axis=2).view(f"u{KEY // 8}").reshape(-1, TABLES)
+                buckets = (keys.astype(np.int64) + (np.arange(TABLES) << KEY)).astype(np.int32).ravel()
+                words = bits.view(np.int64)
+                each = [batch.column("fp").to_numpy(), *(words[:, i] for i in range(FILTER))]
+                yield pa.RecordBatch.from_arrays([pa.array(buckets), *(pa.array(np.repeat(x, TABLES)) for x in each)], ["bucket", "fp", "w0", "w1"])
+
+    return rows.mapInArrow(run, "bucket int, fp long, w0 long, w1 long")
+
+
+def bands_of(table: pa.Table) -> pa.Table:
+    """fp, band, first (the least fp of the band) of a shard's rows (key, fp, w0, w1): those that are linked within NEAR bits inside a key.
+
+    In large keys the star of one of three texts, if it is large, is linked first, and only other texts search: so a crowd of
+    near copies isn't expanded into its pairs, and no link is lost, as any that is left has an end outside the star.
+    """
+    key, fp, *words = (table.column(c).to_numpy() for c in ("key", "fp", "w0", "w1"))
+    order = np.lexsort((fp, key))
+    key, starts = key[order], np.flatnonzero(np.diff(key[order], prepend=~key[order][:1]))
+    sizes = np.diff(np.append(starts, len(key)))
+    order, fp = order[np.repeat(sizes > 1, sizes)], fp[order][np.repeat(sizes > 1, sizes)]
+    key, sizes = key[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
+    forest = BkForest(key, np.stack(words, axis=1)[order].view(np.uint64))
+    n, starts = len(fp), np.cumsum(sizes) - sizes
+    root, asks = np.arange(n), np.ones(n, bool)
+    for start, size in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
+        own = np.arange(start, start + size)
+        stars = [(own[forest.distance(own, np.full(size, start + size * i // 4)) <= NEAR], start + size * i // 4) for i in (1, 2, 3)]
+        star, centre = max(stars, key=lambda s: len(s[0]))
+        root[star] = star[0]
+        asks[star[star != centre]] = False
+    asked = np.flatnonzero(asks)
+    for begin in range(0, len(asked), 4096):
+        a, b = forest.links(asked[begin : begin + 4096], NEAR, later=True)
+        if len(a):
+            root = local_roots(n, np.concatenate([np.arange(n), root[a]]), np.concatenate([root, root[b]]))
+    many = np.bincount(root, minlength=n)[root] > 1
+    first = fp[root[many]]
+    band = key[many].view(np.uint64) * _MIX
+    band = (band ^ band >> np.uint64(31)) * _FACTORS[0] + first.view(np.uint64) * _FACTORS[1]
+    return pa.table({"fp": fp[many], "band": band.view(np.int64), "first": first})
+
+
+def banded(each: DataFrame, folder: str) -> DataFrame:
+    """fp, band, first of each (fp, bits): the bands of a text, as far as others are in them."""
+    spark, rows = each.sparkSession, each.select("fp", "bits").where("bits IS NOT NULL")
+    met = tabled(rows).withColumn("key", F.col("bucket").cast("long"))
+    # a sixteenth of the texts tells which buckets are crowded; all rows are dealt out either way
+    some = tabled(rows.where(F.pmod(F.xxhash64("fp"), F.lit(16)) == 0)).groupBy("bucket").agg((16 * F.count("*")).alias("n")).where(F.col("n") > CROWD)
+    some = common.written(some.select("bucket", F.ceil(2 * F.col("n") / CROWD).cast("int").alias("blocks")), f"{folder}/crowded")
+    if not some.isEmpty():
+        crowded = met.join(some, "bucket").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = crowded.withColumn("key", F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j"))).select(met.columns)
+        met = met.join(some, "bucket", "left_anti").select(met.columns).unionByName(pairs)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-TABLES * each.count() // SHARD))
+    dealt = met.select("key", "fp", "w0", "w1", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"))
+    return dealt.groupBy("shard").applyInArrow(lambda t: bands_of(t.select(["key", "fp", "w0", "w1"])), "fp long, band long, first long")
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -151,10 +237,8 @@ def components_of(docs: DataFrame) -> DataFrame:
     spark, folder = docs.sparkSession, common.scratch(docs.sparkSession, "resemblance")
     marked = common.written(sketches(docs).select(F.monotonically_increasing_id().alias("row"), "*"), f"{folder}/sketches")
     # a set of shingles goes by its first row's number: fp
-    each = common.written(marked.groupBy("s0", "s1").agg(F.min("row").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("h0", "h1")).alias("h")), f"{folder}/distinct")
-    bands = each.select("fp", F.explode(F.array_distinct("bands")).alias("band"))
-    firsts = bands.groupBy("band").agg(F.min("fp").alias("first"), F.count("*").alias("n")).where("n > 1")
-    shared = common.written(bands.join(common.written(firsts, f"{folder}/bands"), "band"), f"{folder}/shared")
+    each = common.written(marked.groupBy("s0", "s1").agg(F.min("row").alias("fp"), F.first("bits").alias("bits"), F.min(F.struct("h0", "h1")).alias("h")), f"{folder}/distinct")
+    shared = common.written(banded(each, folder), f"{folder}/shared")
     groups = common.written(components(shared.select(F.col("fp").alias("a"), F.col("first").alias("b")), f"{folder}/groups").withColumnsRenamed({"node": "fp", "root": "group"}), f"{folder}/group")
 
     chosen = common.written(each.select("fp", "h.h0", "h.h1").join(groups.select("fp"), "fp"), f"{folder}/chosen")

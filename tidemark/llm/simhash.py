@@ -72,10 +72,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class BkForest:
-    """BK-trees over values (64 bits each), one for each group; built and searched level by level for all at once."""
+    """BK-trees over values (64 bits each, or rows of several such words), one for each group; built and searched level by level for all at once."""
 
     def __init__(self, groups: np.ndarray, values: np.ndarray):
-        self.values = values
+        self.values = values = values if values.ndim > 1 else values[:, None]
+        self.span = 64 * values.shape[1] + 1
         _, spot = np.unique(groups, return_inverse=True)
         self.root_of, items, base = spot, np.argsort(spot, kind="stable"), 0
         spot, nodes, edges = spot[items], [], []
@@ -87,27 +88,31 @@ class BkForest:
             rest = np.ones(len(items), bool)
             rest[first] = False
             at, items = spot[rest], items[rest]
-            key = (base + at) * 65 + np.bitwise_count(values[items] ^ values[nodes[-1][at]])
+            key = (base + at) * self.span + self.distance(items, nodes[-1][at])
             order = np.argsort(key, kind="stable")
             items, (keys, spot) = items[order], np.unique(key[order], return_inverse=True)
             base += len(first)
         self.node_item = np.concatenate(nodes) if nodes else np.array([], np.int64)
-        self.child_keys = np.concatenate(edges[1:]) if len(edges) > 1 else np.array([], np.int64)  # parent * 65 + distance, ascending
+        self.child_keys = np.concatenate(edges[1:]) if len(edges) > 1 else np.array([], np.int64)  # parent * span + distance, ascending
         self.first_child = len(edges[0]) if edges else 0
 
-    def links(self, queries: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query item, earlier item of its group) at radius or fewer bits."""
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits in which items a and b differ."""
+        return sum(np.bitwise_count(self.values[a, i] ^ self.values[b, i]).astype(np.int64) for i in range(self.values.shape[1]))
+
+    def links(self, queries: np.ndarray, radius: int = RADIUS, later: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query item, earlier item of its group, or later ones too) at radius or fewer bits."""
         q, node, left, right = queries, self.root_of[queries], [], []
         while len(q):
             item = self.node_item[node]
-            d = np.bitwise_count(self.values[q] ^ self.values[item]).astype(np.int64)
-            hit = (d <= radius) & (item < q)
+            d = self.distance(q, item)
+            hit = (d <= radius) & ((item != q) if later else (item < q))
             left.append(q[hit])
             right.append(item[hit])
             if not len(self.child_keys):
                 break
-            lo = np.searchsorted(self.child_keys, node * 65 + np.maximum(d - radius, 0))
-            hi = np.searchsorted(self.child_keys, node * 65 + np.minimum(d + radius, 64), side="right")
+            lo = np.searchsorted(self.child_keys, node * self.span + np.maximum(d - radius, 0))
+            hi = np.searchsorted(self.child_keys, node * self.span + np.minimum(d + radius, self.span - 1), side="right")
             n = hi - lo
             q = np.repeat(q, n)
             node = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()) + self.first_child
