@@ -347,3 +347,23 @@ def test_language_id_by_brute_force(spark):
             score = 1 - sizes[0][0] / sizes[1][0]
             expected.append((i, out, sizes[0][1], score, score < langid.MARGIN))
         assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_bpe_retries_from_the_first_bad_boundary():
+    """Failing proposals are put right from their first failing boundary on, as exact merging does; pieces are kept across stretches."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from pathlib import Path
+
+    from tidemark.llm import bpe
+
+    coder = bpe.ByteBpe(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8"))
+    rng = random.Random(9)
+    words = ["".join(rng.choice("th er on an re ed nd ea schö keit ü eux ==" .split(" ")) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    coder.learn(words)
+    assert coder.exact_words > 300
+    for w in words:
+        want = [t for p in coder.split(w) for t in coder.merge(p.encode())[0]]
+        assert np.frombuffer(coder.known[w], "<u4").tolist() == want, w
+    before = len(coder.coded)
+    coder.learn([f"{w}," for w in words[:50] if w.isalpha()])
+    assert len(coder.coded) <= before + 1

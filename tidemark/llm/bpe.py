@@ -2,14 +2,17 @@
 
 A word's tokens are proposed by greedy longest match. A proposal is the exact encoding when every token is one that
 exact merging gives for its own bytes and no merge would ever cross a boundary between neighbours. Both are checked for
-all new words at once with NumPy; only failing words undergo exact merging. Words are cached, so each costs this once.
+all new words at once with NumPy; failing words are proposed anew token by token, each verified against the one before it, with
+shorter tokens and then earlier ones in place of what fails. Words are cached, so each costs this once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -37,7 +40,7 @@ def byte_letters() -> dict[str, int]:
 class ByteBpe:
     _made: dict[int, ByteBpe] = {}
 
-    def __init__(self, model: str, most: int = 600_000, longest: int = 64):
+    def __init__(self, model: str, most: int = 300_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         spec, letters = json.loads(model), byte_letters()
@@ -49,9 +52,8 @@ class ByteBpe:
         self.bytes_of = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.added.items()}
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed([*enumerate(merges)])}
-        self.prefixes = {b[:n] for b in self.ids for n in range(1, len(b) + 1)}
         self.first = [self.ids[bytes([b])] for b in range(256)]
-        self.most, self.longest, self.known, self.exact_words = most, longest, {}, 0
+        self.most, self.longest, self.known, self.coded, self.exact_words = most, longest, {}, {}, 0
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.stretches, self.pieces = regex.compile(STRETCHES), regex.compile(PIECES)
         n = self.n = max(self.bytes_of) + 1
@@ -64,6 +66,21 @@ class ByteBpe:
             self.sound[i] = got == [i]
         order = self.sound & (self.rank >= 0)
         self.sound[order] &= (self.rank[self.left] < self.rank)[order] & (self.rank[self.right] < self.rank)[order]
+        # a trie of the sound tokens: (node << 8 | byte) gives the next node, taken the token that ends at a node
+        self.steps, self.taken, self.sizes, self.shorter, at_node = {}, [-1], [0] * n, [-1] * n, {}
+        for b, i in sorted(self.ids.items(), key=lambda x: len(x[0])):
+            if self.sound[i]:
+                node, before = 0, -1
+                for x in b:
+                    before = node if self.taken[node] >= 0 else before
+                    if (after := self.steps.get(node << 8 | x)) is None:
+                        after = self.steps[node << 8 | x] = len(self.taken)
+                        self.taken.append(-1)
+                    node = after
+                self.taken[node], self.sizes[i] = i, len(b)
+                self.shorter[i] = self.taken[before] if before >= 0 else -1
+        self.widest = max(self.sizes)
+        self.ranks_of, self.undone, self.apart_known = {a * n + b: r for (a, b), (r, _) in self.merges.items()}, [x.tolist() for x in (self.rank, self.left, self.right)], {}
         self.pair_keys = np.array(sorted(a * n + b for a, b in self.merges), np.int64)
         self.pair_ranks = np.array([self.merges[divmod(int(k), n)][0] for k in self.pair_keys], np.int64)
 
@@ -85,39 +102,71 @@ class ByteBpe:
             parts[at : at + 2] = [self.merges[parts[at], parts[at + 1]][1]]
         return parts, last
 
-    def merge_long(self, word: bytes) -> list[int]:
-        """The same for long words, with a heap and links instead of repeated scans."""
-        import heapq
-
-        parts, n = [self.first[b] for b in word], len(word)
-        after, before, alive = [*range(1, n + 1)], [*range(-1, n - 1)], [True] * n
-        heap = [(self.merges[p][0], at, p) for at, p in enumerate(zip(parts, parts[1:], strict=False)) if p in self.merges]
-        heapq.heapify(heap)
-        while heap:
-            _, at, pair = heapq.heappop(heap)
-            nxt = after[at]
-            if not alive[at] or nxt >= n or (parts[at], parts[nxt]) != pair:
-                continue
-            parts[at], alive[nxt], after[at] = self.merges[pair][1], False, after[nxt]
-            if after[at] < n:
-                before[after[at]] = at
-            for a, b in ((before[at], at), (at, after[at])):
-                if a >= 0 and b < n and (p := (parts[a], parts[b])) in self.merges:
-                    heapq.heappush(heap, (self.merges[p][0], a, p))
-        return [p for p, on in zip(parts, alive, strict=True) if on]
+    def longest_at(self, word: bytes, at: int) -> int:
+        """The longest sound token at a place."""
+        node, best, steps, taken = 0, -1, self.steps, self.taken
+        for b in word[at : at + self.widest]:
+            if (node := steps.get(node << 8 | b)) is None:
+                break
+            if (t := taken[node]) >= 0:
+                best = t
+        return best
 
     def greedy(self, word: bytes) -> list[int]:
-        out, at, ids, prefixes, n = [], 0, self.ids, self.prefixes, len(word)
+        out, at, n, sizes, longest = [], 0, len(word), self.sizes, self.longest_at
         while at < n:
-            end, best = at + 1, at + 1
-            while end < n and word[at : end + 1] in prefixes:
-                end += 1
-                if word[at:end] in ids:
-                    best = end
-            out.append(ids[word[at:best]])
-            at = best
+            out.append(t := longest(word, at))
+            at += sizes[t]
         return out
 
+    def retried(self, word: bytes, out: list[int], t: int) -> list[int]:
+        """The exact encoding, from the first tokens of a proposal (out) and the one behind them that fails on: the longest token that stays apart from the one before it; where none does, the one before gives way to
+        a shorter one. A place that was given up is never tried again, as the exact tokens up to a place are the only ones."""
+        n, sizes, shorter, longest, apart, known = len(word), self.sizes, self.shorter, self.longest_at, self.apart, self.apart_known
+        at, open_ = sum(map(sizes.__getitem__, out)), bytearray(b"\1") * (n + 1)
+        while True:
+            last = out[-1] * self.n if out else -1
+            while t >= 0:
+                if open_[at + sizes[t]]:
+                    if last < 0:
+                        break
+                    if (ok := known.get(last + t)) is None:
+                        ok = apart(last // self.n, t)
+                    if ok:
+                        break
+                t = shorter[t]
+            if t >= 0:
+                out.append(t)
+                at += sizes[t]
+                if at == n:
+                    return out
+                t = longest(word, at)
+            else:
+                open_[at] = 0
+                t = out.pop()
+                at -= sizes[t]
+
+    def apart(self, a: int, b: int) -> bool:
+        """compatible() for one pair; verdicts are kept."""
+        (rank, left, right), x, y, limit = self.undone, a, b, 1 << 62
+        while True:
+            found = self.ranks_of.get(x * self.n + y)
+            if found is not None and 2 * found < limit:
+                ok = False
+                break
+            rx, ry = rank[x], rank[y]
+            if rx < 0 and ry < 0:
+                ok = True
+                break
+            if rx > ry:
+                limit, x = 2 * rx, right[x]
+            else:
+                limit, y = 2 * ry + 1, left[y]
+        if len(self.apart_known) > 200_000:
+            self.apart_known.clear()
+        self.apart_known[a * self.n + b] = ok
+        return ok
+
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether a and b side by side stay apart. Merges are undone from the last back; before each undoing, a merge of
         the two tokens at the boundary must not come before the one undone. Of equal ranks the leftmost goes first."""
@@ -143,23 +192,28 @@ class ByteBpe:
         return [stretch[a:b] for _, (a, b) in self.library.pre_tokenize_str(stretch)]
 
     def learn(self, words: list[str]) -> None:
-        """Encode new stretches into the cache."""
-        pieces = [[p.encode() for p in self.split(w)] for w in words]
-        new = list(dict.fromkeys(p for x in pieces for p in x))
-        guess = [self.greedy(p) for p in new]
-        sizes = np.array([len(g) for g in guess], np.int64)
-        tokens = np.array([t for g in guess for t in g], np.int64)
+        """Encode new stretches into the cache; their pieces are kept as well, as most occur with other marks behind them too."""
+        if len(self.coded) > self.most:
+            self.coded = {}
+        pieces, coded = [*map(self.split, words)], self.coded
+        new = list(set(chain.from_iterable(pieces)).difference(coded))
+        data = [p.encode() for p in new]
+        guess = [*map(self.greedy, data)]
+        sizes = np.array([*map(len, guess)], np.int64)
+        tokens = np.array([*chain.from_iterable(guess)], np.int64)
         owner = np.repeat(np.arange(len(new)), sizes)
-        bad = np.zeros(len(new), bool)
-        bad[owner[~self.sound[tokens]]] = True
         inside = np.flatnonzero(owner[1:] == owner[:-1])
-        if len(inside):
-            bad[owner[inside[~self.compatible(tokens[inside], tokens[inside + 1])]]] = True
-        for i in np.flatnonzero(bad):
-            guess[i] = self.merge_long(new[i]) if len(new[i]) > 24 else self.merge(new[i])[0]
-        self.exact_words += int(bad.sum())
-        coded = dict(zip(new, guess, strict=True))
-        self.known.update(zip(words, (np.array([t for p in x for t in coded[p]], "<u4").tobytes() for x in pieces), strict=True))
+        crossed = inside[~self.compatible(tokens[inside], tokens[inside + 1])] if len(inside) else inside
+        bad, at = np.unique(owner[crossed], return_index=True)  # the first boundary of each
+        first = crossed[at] + 1 - (np.cumsum(sizes) - sizes)[bad]
+        for i, k in zip(bad.tolist(), first.tolist(), strict=True):
+            guess[i] = self.retried(data[i], guess[i][:k], guess[i][k])
+        self.exact_words += len(bad)
+        coded.update(zip(new, (array("I", g).tobytes() for g in guess), strict=True))
+        self.known.update((w, coded[p[0]] if len(p) == 1 else b"".join(map(coded.__getitem__, p))) for w, p in zip(words, pieces, strict=True))
+        for p in new:
+            if len(p) > self.longest:
+                del coded[p]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit integers."""

@@ -25,6 +25,7 @@ def sheltered(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., Dat
 
     So no column of an operator can take the place of one that came in. Columns passed by name are new values.
     """
+    common.small_batches(docs.sparkSession)
     names = {c: c if c in used else f"__in_{i}" for i, c in enumerate(docs.columns)}
     inside = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
     return inside, lambda df, **new: df.select(*(new.get(c, F.col(n)).alias(c) for c, n in names.items()))
