@@ -201,6 +201,24 @@ def test_licenses(spark, documents, odd):
     assert licenses.scan(documents(["x"]).limit(0)).count() == 0
 
 
+def test_license_windows_are_made_where_bands_can_agree(spark):
+    rng, all_ = random.Random(8), licenses.templates(licenses.TEMPLATES)
+    known = licenses._template_rows(spark, all_).cache()
+    fill = lambda n: [rng.choice("alpha beta gamma license the of software".split()) for _ in range(n)]
+    texts = [[*fill(700), *licenses.words_of(t), *fill(700)] for _, t in [(n, x) for n, xs in licenses.TEMPLATES.items() for x in xs][:12]]
+    shingled = [[" ".join(w[j : j + 5]) for j in range(len(w) - 4)] for w in texts]
+    segments = spark.createDataFrame([(i, 0, s) for i, s in enumerate(shingled)], "row long, segment int, shingles array<string>")
+    got = {tuple(r) for r in licenses.candidates(segments, known).collect()}
+    holders = {}
+    for r in known.select("template", "size", "stride", "holders").collect():
+        hashed = spark.createDataFrame([(x,) for x in all_[r["template"]][1]], "s string").selectExpr("s", "xxhash64(s) AS h").collect()
+        assert set(r["holders"]) <= {x["h"] for x in hashed}
+        holders.setdefault((r["size"], r["stride"]), set()).update(x["s"] for x in hashed if x["h"] in set(r["holders"]))
+    every = {(i, 0, size, b): bool(own & set(s[b : b + size])) for i, s in enumerate(shingled) for (size, stride), own in holders.items() for b in range(0, min(len(s), licenses.SEGMENT), stride)}
+    assert got == {w for w, holds in every.items() if holds}  # and so all that can agree in a band
+    assert len(got) < len(every) / 10
+
+
 def test_decontamination(spark, documents, odd):
     rng = random.Random(6)
     passage = lambda n: " ".join(rng.choice("one two three four five six Seven eight-nine ten élan 42".split()) for _ in range(n))

@@ -7,6 +7,7 @@ the template's SHINGLE-word shingles that the window has, CONTAINED or more.
 Templates are grouped by size, from 2^m to 2^(m+1) shingles. Such a group's windows hold 2^(m+1) + stride shingles and begin
 every 2^(m-1) (at least 1), so some window holds all of any occurrence, and its Jaccard similarity with a template contained
 to 0.8 is at least 0.8 / 2.7 = 0.29. One of 32 bands then agrees with probability 1 - 0.71^32 > 0.9999.
+Only windows that hold a shingle with a template's band value are made, as no other can agree.
 
 A template that mostly stands in another license's template as well (GPL notices differ in a version) must also have
 CONTAINED of the shingles that tell it from that one; a text from which they can't be told apart has neither.
@@ -95,9 +96,26 @@ def _least(shingles: Column) -> Column:
 
 
 def _template_rows(spark: SparkSession, known: list[tuple[str, list[str]]]) -> DataFrame:
+    """A row per template: also its band values (least) and the hashes of the shingles that have them (holders)."""
     made = [(i, name, s, others, *window_size(len(s))) for i, ((name, s), others) in enumerate(zip(known, apart(known), strict=True))]
     rows = spark.createDataFrame(made, "template int, license string, own array<string>, others array<array<string>>, size int, stride int")
-    return rows.select("*", F.posexplode(_least(F.transform("own", lambda s: F.xxhash64(s)))).alias("band", "least"))
+    rows = rows.withColumn("hashes", F.transform("own", lambda s: F.xxhash64(s)))
+    values = [F.transform("hashes", lambda s: F.xxhash64(s, F.lit(band))) for band in range(BANDS)]  # noqa: B023
+    holders = F.array_distinct(F.array(*(F.get("hashes", (F.array_position(v, F.array_min(v)) - 1).cast("int")) for v in values)))
+    return rows.select("*", _least(F.col("hashes")).alias("least"), holders.alias("holders")).drop("hashes")
+
+
+def candidates(segments: DataFrame, known_rows: DataFrame) -> DataFrame:
+    """row, segment, size, begin of the windows that can agree with a template in a band, from segments (row, segment, shingles).
+
+    A window's band value is a template's only if the window holds the shingle that has this value in the template. So windows
+    around such shingles are made, and no others.
+    """
+    held = known_rows.select("size", "stride", F.explode("holders").alias("hash")).distinct()
+    at = segments.select("row", "segment", F.posexplode(F.transform("shingles", lambda s: F.xxhash64(s))).alias("at", "hash")).join(F.broadcast(held), "hash")
+    first = F.greatest(F.lit(0), F.ceil((F.col("at") - F.col("size") + 1) / F.col("stride")).cast("int") * F.col("stride"))
+    last = F.least(F.col("at"), F.lit(SEGMENT - 1))
+    return at.select("row", "segment", "size", F.explode(F.when(first <= last, F.sequence(first, last, F.col("stride")))).alias("begin")).distinct()
 
 
 def scan(docs: DataFrame, texts: dict[str, list[str]] = TEMPLATES) -> DataFrame:
@@ -113,8 +131,7 @@ def scan(docs: DataFrame, texts: dict[str, list[str]] = TEMPLATES) -> DataFrame:
         maybe = maybe | low.contains(w)
     none = F.array().cast("array<string>")
     split = F.when(maybe, F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w != "")).otherwise(none)
-    sizes = sorted({window_size(len(s)) for _, s in known})
-    reach = SEGMENT + max(size for size, _ in sizes) + SHINGLE - 1
+    reach = SEGMENT + max(window_size(len(s))[0] for _, s in known) + SHINGLE - 1
     last = F.floor((F.size("words") - SHINGLE) / SEGMENT).cast("int")
     parts = F.when(F.size("words") >= SHINGLE, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice("words", i * SEGMENT + 1, F.lit(reach)))).otherwise(F.array().cast("array<array<string>>"))
     kept = common.written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", split.alias("words")).select("row", "doc_id", parts.alias("parts")), f"{folder}/words")
@@ -122,21 +139,13 @@ def scan(docs: DataFrame, texts: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     segments = kept.select("row", F.posexplode("parts").alias("segment", "words"))
     shingled = F.transform(F.sequence(F.lit(1), F.size("words") - SHINGLE + 1), lambda i: F.array_join(F.slice("words", i, SHINGLE), " "))
     segments = common.written(segments.where(F.size("words") >= SHINGLE).select("row", "segment", shingled.alias("shingles")), f"{folder}/segments")
-    # a small table is one or two tasks' scan, but its windows are the work
-    dealt = segments.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row", "segment")
-    hashed = dealt.select("row", "segment", F.transform("shingles", lambda s: F.xxhash64(s)).alias("hashes"))
-    valued = hashed.select("row", "segment", F.size("hashes").alias("n"), *(F.transform("hashes", lambda s: F.xxhash64(s, F.lit(band))).alias(f"h{band}") for band in range(BANDS)))  # noqa: B023
-
-    def windows(size: int, stride: int) -> Column:
-        begins = F.sequence(F.lit(0), F.least(F.col("n") - 1, F.lit(SEGMENT - 1)), F.lit(stride))
-        least = lambda begin: F.array(*(F.array_min(F.slice(f"h{band}", begin + 1, F.lit(size))) for band in range(BANDS)))
-        return F.transform(begins, lambda b: F.struct(F.lit(size).alias("size"), b.alias("begin"), least(b).alias("least")))
-
-    each = valued.select("row", "segment", F.explode(F.concat(*(windows(*x) for x in sizes))).alias("w")).select("row", "segment", "w.size", "w.begin", F.posexplode("w.least").alias("band", "least"))
     known_rows = _template_rows(spark, known)  # a fixed list
-    met = each.join(F.broadcast(known_rows.select("template", "size", "band", "least")), ["size", "band", "least"]).select("row", "segment", "size", "begin", "template").distinct()
-    facts = known_rows.where("band = 0").select("template", "license", "own", "others")
-    checked = common.written(met, f"{folder}/retrieved").join(segments, ["row", "segment"]).select("row", "template", F.slice("shingles", F.col("begin") + 1, F.col("size")).alias("has")).join(F.broadcast(facts), "template")
+    windows = common.written(candidates(segments, known_rows), f"{folder}/windows")
+    has = F.slice("shingles", F.col("begin") + 1, F.col("size"))
+    valued = windows.join(segments, ["row", "segment"]).select("row", "size", has.alias("has"), _least(F.transform(has, lambda s: F.xxhash64(s))).alias("least"))
+    facts = known_rows.select("template", "license", "own", "others", "size", F.col("least").alias("known"))
+    agrees = F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda band: F.get("least", band) == F.get("known", band))
+    checked = valued.join(F.broadcast(facts), "size").where(agrees)
     share = lambda part: F.size(F.array_intersect("has", part)) / F.size(part)
     told = F.forall("others", lambda part: share(part) >= CONTAINED)
     best = checked.withColumn("share", share(F.col("own"))).where((F.col("share") >= CONTAINED) & told).groupBy("row", "license").agg(F.max("share").alias("share"))
