@@ -385,3 +385,13 @@ def test_bpe_retries_from_the_first_bad_boundary():
     before = len(coder.coded)
     coder.learn([f"{w}," for w in words[:50] if w.isalpha()])
     assert len(coder.coded) <= before + 1
+
+
+def test_bpe_caches_hold_few_words_and_what_is_used_again():
+    texts = [f"often seen words and rare{i} some{i}thing x{i}.y" for i in range(400)]
+    coder, whole = bpe.ByteBpe(open(BYTE).read(), most=100), library(BYTE, texts)[1]
+    for i in range(0, len(texts), 20):
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts[i : i + 20])] == whole[i : i + 20]
+        assert " seen" in coder.known
+        assert all(len(x) <= 300 for x in (coder.known, coder.coded, coder.known_before, coder.coded_before))
+    assert coder.known_before and coder.coded_before

@@ -27,6 +27,8 @@ from tidemark.llm.word_cache import SPACE
 #: The splitting rule of the vocabulary's pre-tokenizer (fixed values), for text up to U+00FF; what counts as a letter or a
 #: number beyond depends on the Unicode version, so the library's own pre-tokenizer splits stretches with other characters.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: Bytes of texts that are encoded at once: their words, as strings of their own, take some 15 times as much.
+AT_ONCE = 1 << 20
 #: No piece crosses the boundaries that this coarser rule draws.
 STRETCHES = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]"
 
@@ -38,7 +40,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteBpe:
-    _made: dict[int, ByteBpe] = {}
+    _made: dict[tuple[int, int], ByteBpe] = {}
 
     def __init__(self, model: str, most: int = 300_000, longest: int = 64):
         from tokenizers import Tokenizer
@@ -53,7 +55,8 @@ class ByteBpe:
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed([*enumerate(merges)])}
         self.first = [self.ids[bytes([b])] for b in range(256)]
-        self.most, self.longest, self.known, self.coded, self.exact_words = most, longest, {}, {}, 0
+        self.most, self.longest, self.exact_words = most, longest, 0
+        self.known, self.coded, self.known_before, self.coded_before = {}, {}, {}, {}  # what is used again moves on from a full cache to the next
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.stretches, self.pieces = regex.compile(STRETCHES), regex.compile(PIECES)
         n = self.n = max(self.bytes_of) + 1
@@ -85,9 +88,9 @@ class ByteBpe:
         self.pair_ranks = np.array([self.merges[divmod(int(k), n)][0] for k in self.pair_keys], np.int64)
 
     @classmethod
-    def of(cls, model: str) -> ByteBpe:
-        if (key := hash(model)) not in cls._made:
-            cls._made = {key: cls(model)}
+    def of(cls, model: str, most: int = 300_000) -> ByteBpe:
+        if (key := (hash(model), most)) not in cls._made:
+            cls._made = {key: cls(model, most)}
         return cls._made[key]
 
     def merge(self, word: bytes) -> tuple[list[int], tuple[int, int, int] | None]:
@@ -194,9 +197,11 @@ class ByteBpe:
     def learn(self, words: list[str]) -> None:
         """Encode new stretches into the cache; their pieces are kept as well, as most occur with other marks behind them too."""
         if len(self.coded) > self.most:
-            self.coded = {}
-        pieces, coded = [*map(self.split, words)], self.coded
-        new = list(set(chain.from_iterable(pieces)).difference(coded))
+            self.coded, self.coded_before = {}, self.coded
+        pieces, coded, before = [*map(self.split, words)], self.coded, self.coded_before
+        new = set(chain.from_iterable(pieces)).difference(coded)
+        coded.update((p, before[p]) for p in new.intersection(before))
+        new = list(new.difference(before))
         data = [p.encode() for p in new]
         guess = [*map(self.greedy, data)]
         sizes = np.array([*map(len, guess)], np.int64)
@@ -218,12 +223,14 @@ class ByteBpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit integers."""
         if len(self.known) > self.most:
-            self.known = {}
-        known, cut = self.known, self.stretches.findall
+            self.known, self.known_before = {}, self.known
+        known, before, cut = self.known, self.known_before, self.stretches.findall
         parts = [[cut(t)] if not self.special or "<" not in t and not self.special.search(t) else [[s] if i % 2 else cut(s) for i, s in enumerate(self.special.split(t))] for t in texts]
         if self.special:
             known.update((s, np.array([i], "<u4").tobytes()) for s, i in self.added.items())
-        new = list(set().union(*(x for p in parts for x in p)).difference(known))
+        new = set().union(*(x for p in parts for x in p)).difference(known)
+        known.update((w, before[w]) for w in new.intersection(before))
+        new = list(new.difference(before))
         self.learn(new)
         out = [b"".join([known[w] for x in p for w in x]) if len(p) != 1 else b"".join(map(known.__getitem__, p[0])) for p in parts]
         for w in new:
@@ -236,19 +243,20 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, tokenizer_file: str, decoded: bool = True) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_file: str, decoded: bool = True, most: int = 300_000) -> DataFrame:
     """docs (any columns, with text) plus n_tokens, token_ids (binary, little-endian 32 bits each) and decoded (text).
 
     Null text counts as empty, repeated rows get the same, an empty table gives no rows. Columns of these names are replaced.
-    A long text is encoded in one piece, so a task's memory follows its longest text.
+    A long text is encoded in one piece, so a task's memory follows its longest text. most: words in a worker's cache, of which
+    there are two.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))  # one file of fixed size
     kept = docs.drop("n_tokens", "token_ids", "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe.of(model.value)
-        for batch in common.slices(batches, "text"):
+        bpe = ByteBpe.of(model.value, most)
+        for batch in common.slices(batches, "text", AT_ONCE):
             coded = bpe.encode([t or "" for t in batch.column("text").to_pylist()])
             cols = [pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array(coded, pa.binary())]
             cols += [pa.array([bpe.decode(x) for x in coded], pa.string())] if decoded else []

@@ -12,6 +12,8 @@ from tidemark.llm import bpe, common, decontaminate, langid, resemblance, secret
 
 #: File of the byte-level BPE vocabulary in the folder of public tokenizers.
 BYTE_BPE, MASK = "byte_bpe_50k.json", "[SECRET]"
+#: Words in an encoder's cache: workers keep theirs beside a heap that all stages before have grown.
+WORDS_KEPT = 60_000
 
 
 def tokenizer(name: str) -> str:
@@ -114,7 +116,8 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     `_input` behind it.
     """
     rows, _ = sheltered(docs, "text")
-    coded = bpe.encode(rows, tokenizer(BYTE_BPE))
+    common.small_batches(spark, bpe.AT_ONCE)
+    coded = bpe.encode(rows, tokenizer(BYTE_BPE), most=WORDS_KEPT)
     right = F.col("decoded") == F.coalesce("text", F.lit(""))
     n = F.when(right, F.col("n_tokens")).otherwise(F.raise_error(F.lit("decoding doesn't give the text")).cast("long"))
     names = [c if c not in ("n_tokens", "token_ids") else f"{c}_input" for c in docs.columns]
