@@ -263,6 +263,33 @@ def test_near_dedup_reaches_similarity(spark, documents, odd):
     assert {t for t in odd if t and t.strip()} <= seen
 
 
+def test_near_dedup_of_a_crowd(spark, documents, monkeypatch):
+    """A crowd of near copies around the limit is dealt out once a text and block, not once a band, and no link in it is lost."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(f"n{rng.randrange(10**9)}" if x in gone else x for x in base) for gone in (set(rng.sample(base, rng.randrange(2, 9))) for _ in range(160))]
+    root = jaccard_roots(texts)
+    assert 20 < len(set(root)) < 150
+    # neighbours in a chain of windows link if they are 12 words apart or fewer, and share bands if somewhat more
+    at = np.cumsum([rng.randrange(9, 17) for _ in range(150)])
+    chain = [" ".join(f"c{i}" for i in range(x, x + 120)) for x in at]
+    dealt, written = [], common.written
+
+    def counted(df, folder):
+        out = written(df, folder)
+        dealt.extend([out.count()] if folder.endswith("/keyed") else [])
+        return out
+
+    monkeypatch.setattr(common, "written", counted)
+    # in a table of few places shared shingles are counted too often, never too seldom; groups of over WHOLE blocks may go by bands
+    for some, large, marks, most in ((texts, 40, 64, 4 * len(texts)), (chain, 1, 1 << 20, len(chain) ** 2 - 1)):
+        monkeypatch.setattr(resemblance, "LARGE", large)
+        monkeypatch.setattr(resemblance, "MARKS", marks, raising=False)
+        out = stages.simhash_near_dedup(spark, documents(some), "")
+        assert sorted(r["doc_id"] for r in out.collect()) == sorted({100 + int(r) for r in jaccard_roots(some)})
+        assert 0 < dealt[-1] <= most
+
+
 def test_sieve(spark):
     """What is among the keys is always caught, and a small sieve catches more without losing any."""
     from pyspark.sql import functions as F

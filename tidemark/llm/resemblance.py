@@ -6,13 +6,15 @@ TABLES tables is a choice of KEY of them, under which texts meet: a pair at 0.8
 0.07, so in one table or more with probability 0.9999 (0.999, as tables share bits), closer ones more surely.
 
 1. Inside a table's bucket BK-trees over FILTER words of the fingerprints find pairs within NEAR bits (at 0.8, all but one in
-   10^5; unrelated ones one in 10^5 as well). Texts that such pairs link inside a bucket are a band.
+   10^5; unrelated ones one in 10^5 as well). Texts that such pairs link inside a bucket are a band. A band's rows then get
+   their whole fingerprints and are linked anew within FAR of all bits, which unlinks what is only alike in the few.
 2. Each text is compared with the text that comes first in most of its bands, exactly. So a group of copies costs one
    comparison a text.
 3. Texts that share bands, directly or over others, form a group. Where a group isn't one component yet, its texts meet in
-   a task: BK-trees over their 64-bit fingerprints find pairs within REACH bits (at 0.8, all but one in 10^5), and those
-   of different components are compared exactly. A group over LARGE texts, or BYTES of them, is dealt out by single bands,
-   a band over that by pairs of blocks of its texts, so a task's texts are bounded and no pair is lost.
+   a task: those of different components within FAR bits are counted against each other, and what may reach 0.8 is compared
+   exactly. A group over LARGE texts, or BYTES of them, is dealt out as pairs of blocks of its texts, so a task's texts are
+   bounded and no pair is lost: a text is dealt once a block, however many bands it is in. Groups of over WHOLE blocks are
+   dealt out by single bands instead where that is fewer rows.
 
 Only texts that share a band are dealt out, compressed: a sieve of fixed size tells most others apart where they are read.
 Texts and sets of shingles are told apart by 128 bits of hashes.
@@ -33,9 +35,11 @@ from tidemark.llm import common
 from tidemark.llm.graph import components, local_roots
 from tidemark.llm.simhash import BkForest, bits_of, shingle_hashes
 
-SHINGLE, REACH, LARGE, BYTES = 5, 26, 1000, 8 << 20
+SHINGLE, LARGE, BYTES, WHOLE = 5, 1000, 8 << 20, 16
 #: Words of a fingerprint, those that trees search, bits in which they may differ, tables, bits of a table's key.
 WORDS, FILTER, NEAR, TABLES, KEY = 8, 2, 38, 144, 16
+#: Bits of whole fingerprints in which similar texts may differ: at 0.8 they differ in 78 (one in 10^10 in more than this), 4 of 5 shingles in 96 (one in 50,000).
+FAR = 132
 #: A bucket of more rows is dealt out as pairs of blocks; so many rows go to a task.
 CROWD, SHARD = 20_000, 100_000
 _RNG = np.random.default_rng(7)
@@ -43,6 +47,8 @@ _RNG = np.random.default_rng(7)
 _FACTORS = _RNG.integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: The bits of each table's key.
 _CHOICES = np.array([_RNG.choice(64 * WORDS, KEY, replace=False) for _ in range(TABLES)])
+#: Places in the table where a text's shingles are marked.
+MARKS = 1 << 20
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -110,13 +116,14 @@ def tabled(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, fp long, w0 long, w1 long")
 
 
-def bands_of(table: pa.Table) -> pa.Table:
-    """fp, band, first (the least fp of the band) of a shard's rows (key, fp, w0, w1): those that are linked within NEAR bits inside a key.
+def bands_of(table: pa.Table, near: int | None = None) -> pa.Table:
+    """fp, band, first (the least fp of the band) of a shard's rows (key, fp, w0, w1 or more words): those that are linked within near bits (by default NEAR) inside a key.
 
     In large keys the star of one of three texts, if it is large, is linked first, and only other texts search: so a crowd of
     near copies isn't expanded into its pairs, and no link is lost, as any that is left has an end outside the star.
     """
-    key, fp, *words = (table.column(c).to_numpy() for c in ("key", "fp", "w0", "w1"))
+    near = NEAR if near is None else near
+    key, fp, *words = (table.column(c).to_numpy() for c in ("key", "fp", *(c for c in table.column_names if c not in ("key", "fp"))))
     order = np.lexsort((fp, key))
     key, starts = key[order], np.flatnonzero(np.diff(key[order], prepend=~key[order][:1]))
     sizes = np.diff(np.append(starts, len(key)))
@@ -127,13 +134,13 @@ def bands_of(table: pa.Table) -> pa.Table:
     root, asks = np.arange(n), np.ones(n, bool)
     for start, size in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
         own = np.arange(start, start + size)
-        stars = [(own[forest.distance(own, np.full(size, start + size * i // 4)) <= NEAR], start + size * i // 4) for i in (1, 2, 3)]
+        stars = [(own[forest.distance(own, np.full(size, start + size * i // 4)) <= near], start + size * i // 4) for i in (1, 2, 3)]
         star, centre = max(stars, key=lambda s: len(s[0]))
         root[star] = star[0]
         asks[star[star != centre]] = False
     asked = np.flatnonzero(asks)
     for begin in range(0, len(asked), 4096):
-        a, b = forest.links(asked[begin : begin + 4096], NEAR, later=True)
+        a, b = forest.links(asked[begin : begin + 4096], near, later=True)
         if len(a):
             root = local_roots(n, np.concatenate([np.arange(n), root[a]]), np.concatenate([root, root[b]]))
     many = np.bincount(root, minlength=n)[root] > 1
@@ -159,6 +166,18 @@ def banded(each: DataFrame, folder: str) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(lambda t: bands_of(t.select(["key", "fp", "w0", "w1"])), "fp long, band long, first long")
 
 
+def tightened(shared: DataFrame, each: DataFrame) -> DataFrame:
+    """fp, band, first of shared (the same), with bands cut into what whole fingerprints of each (fp, bits) link within FAR bits."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.int64).reshape(-1, WORDS)
+        return bands_of(pa.table({"key": table.column("band"), "fp": table.column("fp"), **{f"w{i}": bits[:, i].copy() for i in range(WORDS)}}), FAR)
+
+    shards = max(int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shared.count() // SHARD))
+    rows = shared.select("fp", "band").join(each.select("fp", "bits"), "fp").withColumn("shard", F.pmod(F.xxhash64("band"), F.lit(shards)))
+    return rows.groupBy("shard").applyInArrow(lambda t: run(t.select(["band", "fp", "bits"])), "fp long, band long, first long")
+
+
 def packed(rows: DataFrame) -> DataFrame:
     """h0, h1, text (compressed) of rows (h0, h1, text), for dealing out."""
 
@@ -193,27 +212,36 @@ def first_links(pairs: DataFrame) -> DataFrame:
 
 
 def shard_links(table: pa.Table) -> pa.Table:
-    """A shard's links (a, b) between the components (root) that they join: rows (key, fp, root, text)."""
+    """A shard's links (a, b) between the components (root) that they join: rows (key, root, text)."""
+    table = table.sort_by("key")
     keys, known = (table.column(c).to_numpy() for c in ("key", "root"))
     unpack = zstandard.ZstdDecompressor()
     sets = [shingles(unpack.decompress(t)) for t in table.column("text").to_pylist()]
-    forest = BkForest(keys, bits_of(sets))
+    bits, sizes = fingerprints(sets), np.array([len(own) for own in sets], np.int64)
     nodes, of = np.unique(known, return_inverse=True)
-    above, linked = np.arange(len(nodes)), []
-
-    def top(x: int) -> int:
-        while above[x] != x:
-            above[x] = above[above[x]]
-            x = int(above[x])
-        return x
-
-    for begin in range(0, len(sets), 256):
-        i, j = forest.links(np.arange(begin, min(begin + 256, len(sets))), REACH)
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            a, b = top(int(of[x])), top(int(of[y]))
-            if a != b and similar(sets[x], sets[y]):
-                above[a] = b
-                linked.append((known[x], known[y]))
+    top, linked = np.arange(len(nodes)), []
+    # shingles meet in places of a table: what two texts share there is never less than what they share
+    places = np.concatenate(sets).astype(np.uint32) & np.uint32(MARKS - 1) if sets else np.array([], np.uint32)
+    begins, marks = np.cumsum(sizes) - sizes, np.zeros(MARKS, np.uint8)
+    first = np.searchsorted(keys, keys)
+    for i, low in enumerate(first.tolist()):
+        far = np.zeros(i - low, np.int64)
+        for word in range(WORDS):
+            far += np.bitwise_count(bits[low:i, word] ^ bits[i, word])
+        small, big = np.minimum(sizes[low:i], sizes[i]), np.maximum(sizes[low:i], sizes[i])
+        asked = low + np.flatnonzero((far <= FAR) & (5 * small >= 4 * big) & (top[of[low:i]] != top[of[i]]))
+        if len(asked) > 8:
+            own = places[begins[i] : begins[i] + sizes[i]]
+            marks[own] = 1
+            # that many of the other's shingles are marked, places of its own that meet counted each
+            both = np.add.reduceat(marks[places[begins[low] : begins[i]]], begins[low:i] - begins[low], dtype=np.int64)
+            marks[own] = 0
+            asked = asked[9 * both[asked - low] >= 4 * (sizes[asked] + sizes[i])]
+        for j in asked.tolist():
+            a, b = top[of[i]], top[of[j]]
+            if a != b and similar(sets[i], sets[j]):
+                top[top == a] = b
+                linked.append((known[i], known[j]))
     return pa.table({"a": pa.array([a for a, _ in linked], pa.int64()), "b": pa.array([b for _, b in linked], pa.int64())})
 
 
@@ -223,10 +251,10 @@ def blocks_of(n: Column, size: Column) -> Column:
 
 
 def dealt(members: DataFrame) -> DataFrame:
-    """members (key, fp, root, blocks: of the key) with keys of one block as they are, larger ones as pairs of blocks."""
+    """members (key, fp, root, size, blocks: of the key) with keys of one block as they are, larger ones as pairs of blocks."""
     own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    each = members.select("key", "fp", "root", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    return each.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fp", "root")
+    each = members.select("key", "fp", "root", "size", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    return each.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fp", "root", "size")
 
 
 def components_of(docs: DataFrame) -> DataFrame:
@@ -238,7 +266,7 @@ def components_of(docs: DataFrame) -> DataFrame:
     marked = common.written(sketches(docs).select(F.monotonically_increasing_id().alias("row"), "*"), f"{folder}/sketches")
     # a set of shingles goes by its first row's number: fp
     each = common.written(marked.groupBy("s0", "s1").agg(F.min("row").alias("fp"), F.first("bits").alias("bits"), F.min(F.struct("h0", "h1")).alias("h")), f"{folder}/distinct")
-    shared = common.written(banded(each, folder), f"{folder}/shared")
+    shared = common.written(tightened(common.written(banded(each, folder), f"{folder}/loose"), each), f"{folder}/shared")
     groups = common.written(components(shared.select(F.col("fp").alias("a"), F.col("first").alias("b")), f"{folder}/groups").withColumnsRenamed({"node": "fp", "root": "group"}), f"{folder}/group")
 
     chosen = common.written(each.select("fp", "h.h0", "h.h1").join(groups.select("fp"), "fp"), f"{folder}/chosen")
@@ -253,16 +281,23 @@ def components_of(docs: DataFrame) -> DataFrame:
 
     members = groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "group", F.coalesce("root", "fp").alias("root")).join(texts.select("fp", "size"), "fp")
     members = common.written(members, f"{folder}/members")
-    sizes = members.groupBy("group").agg(blocks_of(F.count("*"), F.sum("size")).alias("blocks"), F.min("root").alias("least"), F.max("root").alias("most"))
-    open_ = common.written(sizes.where("least <> most").select("group", "blocks"), f"{folder}/open")
-    keyed = members.join(open_.where("blocks = 1"), "group").select(F.col("group").alias("key"), "fp", "root", "blocks")
-    hot = members.join(open_.where("blocks > 1").select("group"), "group", "left_semi").select("fp", "root", "size")
-    hot = common.written(shared.select("fp", "band").join(hot, "fp"), f"{folder}/hot")
-    crowds = common.written(hot.groupBy("band").agg(blocks_of(F.count("*"), F.sum("size")).alias("blocks"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band", "blocks"), f"{folder}/crowds")
-    keyed = keyed.union(hot.join(crowds, "band").select(F.col("band").alias("key"), "fp", "root", "blocks"))
+    sizes = members.groupBy("group").agg(F.count("*").alias("n"), blocks_of(F.count("*"), F.sum("size")).alias("blocks"), F.min("root").alias("least"), F.max("root").alias("most"))
+    open_ = common.written(sizes.where("least <> most").select("group", "n", "blocks"), f"{folder}/open")
+    keyed = members.join(open_.select("group", "blocks"), "group").select("group", F.col("group").alias("key"), "fp", "root", "size", "blocks")
+    vast = open_.where(F.col("blocks") > WHOLE)
+    if not vast.isEmpty():
+        hot = members.join(vast.select("group"), "group", "left_semi").select("group", "fp", "root", "size")
+        hot = common.written(shared.select("fp", "band").join(hot, "fp"), f"{folder}/hot")
+        bands = hot.groupBy("group", "band").agg(F.count("*").alias("n"), blocks_of(F.count("*"), F.sum("size")).alias("blocks"), F.min("root").alias("least"), F.max("root").alias("most"))
+        bands = common.written(bands.where("least <> most").select("group", "band", "n", "blocks"), f"{folder}/crowds")
+        whole = vast.select("group", (F.col("n") * F.col("blocks")).alias("rows"))
+        split = bands.groupBy("group").agg(F.sum(F.col("n") * F.col("blocks")).alias("by_band")).join(whole, "group").where("by_band < rows").select("group")
+        split = common.written(split, f"{folder}/split")
+        by_band = hot.join(split, "group", "left_semi").join(bands.select("band", "blocks"), "band").select("group", F.col("band").alias("key"), "fp", "root", "size", "blocks")
+        keyed = keyed.join(split, "group", "left_anti").union(by_band)
     keyed = common.written(dealt(keyed), f"{folder}/keyed")
-    rows = keyed.join(texts.select("fp", "text"), "fp")
-    size = keyed.join(texts.select("fp", "size"), "fp").agg(F.sum("size")).first()[0] or 0
+    rows = keyed.drop("size").join(texts.select("fp", "text"), "fp")
+    size = keyed.agg(F.sum("size")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (1 << 20)))
     more = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(lambda t: shard_links(t.select(["key", "root", "text"])), "a long, b long")
     more = common.written(more, f"{folder}/more")
