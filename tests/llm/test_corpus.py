@@ -23,6 +23,63 @@ def test_suffix_dedup_of_long_texts(spark):
     assert got == {0: (1_500_000, 900_000, 1), 1: (2_200_002, 900_000, 1), 2: (2_200_000, 0, 0)}
 
 
+def _steps(monkeypatch):
+    """(what runs a step of suffix_dedup on a batch here, sizes of the arrays of names that are made meanwhile)."""
+    made, refined = [], suffix_dedup._refined
+    monkeypatch.setattr(suffix_dedup, "_refined", lambda a, b: made.append(len(a)) or refined(a, b))
+
+    class Rows:
+        mapInArrow = staticmethod(lambda run, schema: run)
+
+    def step(what, **columns):
+        made.clear()
+        return pa.Table.from_batches(what(Rows)(iter([pa.RecordBatch.from_pydict(columns)]))).to_pylist()
+
+    return step, made
+
+
+def test_suffix_dedup_names_each_byte_a_few_times(monkeypatch):
+    """Anchors take less than five names a byte; single starts of many short texts are named together; removing names nothing."""
+    rng = random.Random(12)
+    texts = [rng.randbytes(rng.randrange(300, 700)).hex() for _ in range(200)]
+    step, made = _steps(monkeypatch)
+    rows = step(suffix_dedup.anchored, doc_id=list(range(200)), text=texts)
+    assert sum(made) < 5 * sum(map(len, texts))
+    keys, data = zip(*((r["key"], r["packed"]) for r in step(suffix_dedup.packed, text=texts)), strict=True)
+    shapes, places = [r["shapes"] for r in rows], [list(range(len(r["near"]))) for r in rows]
+    starts = step(suffix_dedup.open_starts, row=list(range(200)), packed=data, shapes=shapes, open=places, shown=[None] * 200)
+    assert len(made) < 200
+    assert sorted((r["row"], r["start"]) for r in starts) == [(i, at) for i, t in enumerate(texts) for at in range(len(t) - 399)]
+    gone = step(suffix_dedup.removed, key=keys, packed=data, shapes=shapes, whole=[p[:1] for p in places], starts=[[len(t) - 400] for t in texts])
+    assert not made and all(r["spans"][0]["start"] == 0 and r["spans"][-1]["end"] == len(t) for r, t in zip(gone, texts, strict=True))
+
+
+def test_suffix_dedup_shapes_hold_every_start(monkeypatch):
+    """Runs of anchors follow each other from the first start to the last, in texts of several pieces too; names are those of the strings."""
+    rng = random.Random(13)
+    texts = ["", None, "x" * 399, "y" * 400, "ab" * 90_000, *("".join(rng.choice("ab ") for _ in range(n)) for n in (401, 3000, 70_000, 140_000))]
+    step, _ = _steps(monkeypatch)
+    rows = step(suffix_dedup.anchored, doc_id=list(range(len(texts))), text=texts)
+    for r, t in zip(rows, texts, strict=True):
+        first, place, last = suffix_dedup.runs_of(r["shapes"])
+        assert len(first) == len(r["near"]) == len(r["next"]) == len(r["kinds"])
+        assert np.concatenate([[0], last + 1]).tolist() == np.append(first, max(0, len(t or "") - 399)).tolist()
+        assert (place >= last).all() and (place - first <= 200).all()
+    long = [i for i, t in enumerate(texts) if len(t or "") >= 400]
+    packed = {r["key"]: r["packed"] for r in step(suffix_dedup.packed, text=texts)}
+    pick = lambda c: [rows[i][c] for i in long]
+    shown = [list(range(0, len(near), 3)) for near in pick("near")]
+    opened = [[i for i in range(len(near)) if i % 3] for near in pick("near")]
+    starts = step(suffix_dedup.open_starts, row=long, packed=[packed[k] for k in pick("key")], shapes=pick("shapes"), open=opened, shown=shown)
+    assert sum(1 for r in starts if r["row"] is None) > 0 and len(starts) == sum(len(texts[i]) - 399 for i in long)
+    named = {}
+    for r in starts:
+        if r["row"] is not None:
+            named.setdefault((r["name"], r["more"]), set()).add(texts[r["row"]][r["start"] : r["start"] + 400])
+    strings = {next(iter(x)) for x in named.values()}
+    assert all(len(x) == 1 for x in named.values()) and len(strings) == len(named)
+
+
 def test_suffix_dedup(spark, documents, odd):
     rng = random.Random(8)
     base = ["".join(rng.choice("abcde ") for _ in range(700)) for _ in range(4)]
