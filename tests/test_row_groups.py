@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans import models
 from tidemark.plans.ledger import Ledger, digest_of
-from tidemark.sources import row_groups
+from tidemark.sources import files, row_groups
 
 
 def damage(path, group):
@@ -87,3 +87,17 @@ def test_saved_models(spark, tmp_path):
         found.append(models.scored(ledger.model("fold-0", {"k": 1}, fit), df).orderBy("message_id").collect())
     assert found[0] == found[1] and len(fits) == 1 and ledger.reused == ["fold-0"]
     assert not [p for p in tmp_path.iterdir() if p.name.count("-") > 2]
+
+
+def test_files_without_rows_are_not_corrupt(spark, tmp_path):
+    """A writer's first task leaves a file of no rows where the first split of its input has none."""
+    whole = pa.table({"message_id": ["1", "2"]})
+    for name, t in (("a", whole), ("b [1]", whole.slice(0, 0))):
+        pq.write_table(t, tmp_path / f"{name}.parquet")
+    (tmp_path / "c.parquet").write_bytes(b"PAR1 but no footer")
+    (tmp_path / "d.txt").write_bytes(b"no parquet")
+    bad = files.corrupt_parts(spark, f"{tmp_path}/*", "message_id string")
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in bad.collect()) == ["c.parquet", "d.txt"]
+    (tmp_path / "c.parquet").unlink()
+    (tmp_path / "d.txt").unlink()
+    assert files.corrupt_parts(spark, f"{tmp_path}/*", "message_id string").count() == 0
