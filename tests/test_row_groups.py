@@ -101,3 +101,19 @@ def test_files_without_rows_are_not_corrupt(spark, tmp_path):
     (tmp_path / "c.parquet").unlink()
     (tmp_path / "d.txt").unlink()
     assert files.corrupt_parts(spark, f"{tmp_path}/*", "message_id string").count() == 0
+
+
+def test_many_groups_share_tasks(spark, tmp_path):
+    """Thousands of small groups aren't a task each, nor a footer read each; a damaged one is still set aside by itself."""
+    for f in range(2):
+        pq.write_table(pa.table({"message_id": pa.array(range(3000 * f, 3000 * f + 3000), pa.int64())}), tmp_path / f"part{f}.parquet", row_group_size=2)
+    damage(tmp_path / "part1.parquet", 700)
+    found = row_groups.scan(spark, str(tmp_path), "message_id long")
+    assert found.rdd.getNumPartitions() <= 2 * row_groups.SINGLE
+    assert sorted(r["message_id"] for r in row_groups.rows(found).collect()) == [i for i in range(6000) if i not in (4400, 4401)]
+    assert [(r["file"].rsplit("/", 1)[1], r["row_group"]) for r in row_groups.quarantined(found).collect()] == [("part1.parquet", 700)]
+
+
+def test_runs():
+    assert list(row_groups.runs([], 5)) == [] and list(row_groups.runs([1, 1], 0)) == [(0, 0), (1, 1)]
+    assert list(row_groups.runs([3, 2, 9, 1, 1, 4], 5)) == [(0, 1), (2, 2), (3, 4), (5, 5)]

@@ -9,7 +9,7 @@ from tidemark.operators import evaluate, history
 from tidemark.plans import features, studies
 from tidemark.plans.catalog import FLAGS, MEASURED, _reports, logged, msg, query, scored, with_kind
 from tidemark.sources import crm, files, row_groups
-from tidemark.sources.scratch import scratch
+from tidemark.sources.scratch import scratch, written
 
 def _text_log(s, d):
     """The log as raw text, with flags in several spellings, ids like 12.0 and some bad timestamps."""
@@ -188,18 +188,25 @@ def _(s, d):
     return s.createDataFrame([(name, status.split(":")[0], n.get(name)) for name, status, _ in studies.run_all(jobs)], "job string, status string, n long")
 
 
-#: Rows of a row group, and the group of the second file that is damaged, in the query of row groups.
+#: Rows of a row group, and the group of the second part's first file that is damaged, in the query of row groups.
 GROUP_ROWS, DAMAGED = 100, 1
+#: Rows of one of its files, about.
+FILE_ROWS = 500_000
 
 
 @query("row_group_quarantine", "i:message_id s:channel i:bad_groups", f"SELECT message_id, channel, 1 AS bad_groups FROM (SELECT *, row_number() OVER (PARTITION BY message_id % 3 ORDER BY message_id) - 1 AS place FROM msg) WHERE NOT (message_id % 3 = 1 AND place // {GROUP_ROWS} = {DAMAGED})")
 def _(s, d):
-    """Three files of many row groups, one of them with damaged pages: all other rows come back, and the group is named."""
-    folder = f"{scratch(s, 'groups')}/log"
+    """Three parts of many row groups, one of them with damaged pages: all other rows come back, and the group is named.
+
+    A part's files are ranges of its ids, so the first file's groups are the part's first.
+    """
+    folder = scratch(s, "groups")
+    rows, part = msg(s, d).select("message_id", "channel"), F.col("message_id") % 3
+    sizes = {r["part"]: r["count"] for r in rows.groupBy(part.alias("part")).count().collect()}  # a row for each part
     for i in range(3):
-        part = msg(s, d).where(F.col("message_id") % 3 == i).select("message_id", "channel").coalesce(1).sortWithinPartitions("message_id")
-        part.write.option("parquet.block.row.count.limit", GROUP_ROWS).option("compression", "snappy").parquet(f"{folder}/part{i}")
-    files.damage_row_group(s, f"{folder}/part1", DAMAGED)
-    found = row_groups.scan(s, folder, "message_id long, channel string")
+        ranges = rows.where(part == i).repartitionByRange(max(1, -(-sizes.get(i, 0) // FILE_ROWS)), "message_id").sortWithinPartitions("message_id")
+        ranges.write.option("parquet.block.row.count.limit", GROUP_ROWS).option("compression", "snappy").parquet(f"{folder}/log/part{i}")
+    files.damage_row_group(s, f"{folder}/log/part1", DAMAGED)
+    found = written(row_groups.scan(s, f"{folder}/log", "message_id long, channel string"), f"{folder}/scanned")
     bad = row_groups.quarantined(found).agg(F.count("*").alias("bad_groups"))
     return row_groups.rows(found).join(F.broadcast(bad))  # one row
