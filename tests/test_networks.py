@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.networks import nets, tape, train
-from tidemark.operators import evaluate
+from tidemark.operators import evaluate, sampling
 
 KINDS = {"mlp": {"hidden": 6, "dropout": 0.0}, "cnn": {"filters": 3, "dropout": 0.0}, "rnn": {"hidden": 4, "dropout": 0.0}, "lstm": {"hidden": 4, "layers": 2, "dropout": 0.0}, "cnn_lstm": {"filters": 3, "hidden": 4, "dropout": 0.0}, "rnn_lstm": {"hidden": 4, "dropout": 0.0}, "tabnet": {"width": 3, "steps": 2}}
 SEQUENCES = ("rnn", "lstm", "cnn_lstm", "rnn_lstm")
@@ -97,3 +97,43 @@ def test_sequences(spark):
 def test_unknown_network():
     with pytest.raises(ValueError, match="no network x"):
         nets.net("x", 3, 1)
+
+
+def test_epoch_in_one_job(rows, monkeypatch):
+    """An epoch of small batches is one job, and moves a network without normalised layers as steps of a job each do."""
+    inputs, params = ["a", "b", "c", "d"], {"hidden": 3, "dropout": 0.0}
+    spark, table = rows.sparkSession, train.vectors(rows, inputs).select("message_id", "label", "x")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("fit"))
+    spark.sparkContext.setJobGroup("fit", "fit")
+    fit = lambda: train.fit(table.where("message_id % 3 > 0"), table.where("message_id % 3 = 0"), "rnn", inputs, epochs=2, batch_rows=20, rate=0.02, l2=0.01, pos_weight=2.0, **params)
+    monkeypatch.setattr(train, "PIECE_ROWS", 7)
+    one, n = fit(), jobs()
+    assert n < 60  # 30 batches twice
+    monkeypatch.setattr(train, "LONE_ROWS", 0)
+    each = fit()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs() - n >= 60 and one.precision == pytest.approx(each.precision, abs=1e-6)
+    for name, v in each.weights.items():
+        assert np.allclose(v, one.weights[name], atol=1e-9), name
+
+
+def test_fewer_rows_than_pieces(rows):
+    few = train.vectors(rows.where("message_id < 3"), ["a"]).select("message_id", "label", "x")
+    model = train.fit(few, few, "mlp", ["a"], epochs=1, hidden=4)
+    assert model.epochs == 1 and all(np.isfinite(v).all() for v in model.weights.values())
+
+
+def test_moments(rows):
+    table = train.vectors(rows, ["a", "t"]).repartition(5)
+    mean, sd = train.moments(table, 2)
+    own = rows.agg(F.avg("a"), F.avg("t"), F.stddev_pop("a"), F.stddev_pop("t")).first()
+    assert np.allclose([*mean, *sd], own)
+    assert [v.tolist() for v in train.moments(table.where("a > 99"), 2)] == [[0, 0], [1, 1]]
+
+
+@pytest.mark.parametrize(("test", "validation"), [(0.15, 0.17647), (0.0, 0.0), (0.5, 1.0), (1.0, 0.5)])
+def test_split_column(rows, test, validation):
+    """The split as a column is that of ranked rows, for classes of any size."""
+    df = rows.withColumn("label", F.when(F.col("message_id") == 7, None).otherwise(F.when(F.col("message_id") < 3, 5).otherwise(F.col("label"))))
+    ranked = sampling.stratified_split(df, test, validation, "label").select("message_id", "split")
+    assert sorted(df.select("message_id", sampling.split_column(df, test, validation, "label").alias("split")).collect()) == sorted(ranked.collect())
