@@ -88,3 +88,31 @@ def test_one_window_operator_for_most_kernels(spark):
         pytest.skip("no test tables here")
     plan = features.state(features.fact_columns(features.log(spark, DATA)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("+- Window ") + plan.count(":- Window ") <= 8
+
+
+def test_rows_by_one_ranking(rows, spark):
+    """Splits and folds from one ranking, and the cap as a condition, are what ranked rows give."""
+    df = rows.select("message_id", "label")
+    both = sampling.stratified_folds(sampling.stratified_split(df, label="label"), label="label")
+    assert sorted(sampling.split_and_folds(df, label="label").collect()) == sorted(both.select("message_id", "label", "split", "fold").collect())
+    for most in (0, 20, 10_000):
+        assert sorted(df.where(sampling.capped_filter(df, most, label="label")).collect()) == sorted(sampling.capped_negatives(df, most, label="label").collect())
+
+
+def test_studies_share_their_tables(spark, monkeypatch):
+    """An ablation's experiments and a sweep's multipliers fit on fold tables that are made once."""
+    if not Path(DATA).exists():
+        pytest.skip("no test tables here")
+    made, fold_tables, state = [], models.fold_tables, features.stated
+    monkeypatch.setattr(models, "fold_tables", lambda *a, **k: made.append("folds") or fold_tables(*a, **k))
+    monkeypatch.setattr(models, "training_rows", lambda *a, rows=models.training_rows: made.append("rows") or rows(*a))
+    log = features.log(spark, DATA)
+    models.ablation(features.build(log), "rf", ["base", "all"], (10, 20), folds=2, numTrees=2, maxDepth=2)
+    assert made == ["rows", "folds"]
+    made.clear()
+    found = models.tau_targeting(log, "rf", (10, 20), (0.5, 1.5), folds=2, numTrees=2, maxDepth=3).collect()
+    assert made == ["rows", "folds"] and len(found) == 4
+    own = features.completed(features.history.fatigue(state(log), studies.tau_of(1.5)))
+    alone = models.ensemble(models.training_rows(own, features.INPUTS), "rf", features.INPUTS, folds=2, numTrees=2, maxDepth=3)
+    hits = {r["top_k"]: r["tp_hits"] for r in evaluate.ranked_hits(alone.where("split = 'test'"), (10, 20)).collect()}
+    assert hits == {r["top_k"]: r["tp_hits"] for r in found if r["tau_multiplier"] == "1.50x"}
